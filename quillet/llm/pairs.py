@@ -1,8 +1,8 @@
 """Problem 5: broken prompt and response pairs.
 
 One pass in Arrow batches per record: a suffix automaton of the prompt measures how much of the response is copied, an
-Aho-Corasick automaton finds refusals, a stack finds delimiters left open, and stop-words of each language vote. Endings
-that complete responses hardly ever have are told by counts over all responses.
+Aho-Corasick automaton finds refusals, a stack finds delimiters left open, and stop-words of each language vote. A
+last word that is cut short is told from the words of question, passage and all responses.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.session import cut, hot_threshold, join_unique
-
 # Phrases by which a responder declines, lower case, with plain apostrophes.
 REFUSALS = """
 i cannot|i can't|i can not|i am unable|i'm unable|i am not able|i'm not able|i won't|i will not|i must decline|i have to decline
@@ -61,7 +59,7 @@ PLACEHOLDERS = frozenset(
 _WORD = re.compile(r"[+-]?\d+(?:[.,]\d+)*|[^\W\d_]+(?:['-][^\W\d_]+)*")
 _TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
 _CLOSERS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
-_WRAPPER = frozenset("question q you asked ask asks the is was my answer a regarding about prompt pregunta frage questão pergunta repeat repeated here again query".split())
+_WRAPPER = frozenset("question q you asked ask asks the is was my answer a regarding about prompt pregunta frage questão pergunta repeat repeated here again query want know wants wondering".split())
 _TAIL_MARKS = ("…", "...", "..", "(", "[", "{", ",", ":", ";", "–", "—", "-", "/", "…", "&", "=", "+")
 
 
@@ -205,8 +203,8 @@ def open_delimiters(text: str) -> bool:
     return bool(stack)
 
 
-def defect(q: str | None, a: str | None, passage: str | None, odd_end: bool, refusals: ahocorasick.Automaton) -> str | None:
-    """The defect of one response, None if it has none. odd_end: complete responses hardly ever end so (see endings)."""
+def defect(q: str | None, a: str | None, passage: str | None, common: frozenset[str], refusals: ahocorasick.Automaton) -> str | None:
+    """The defect of one response, None if it has none. common: words that many responses hold."""
     if a is None:
         return "empty"
     text = tidy(a)
@@ -219,7 +217,8 @@ def defect(q: str | None, a: str | None, passage: str | None, odd_end: bool, ref
     hit = next(refusals.iter(low), None)
     if hit is not None and not (passage and len(bare) > 20 and bare in tidy(passage).lower()):
         return "refusal"
-    if copied(qw, aw):
+    head, colon, tail = low.partition(":")
+    if copied(qw, aw) or colon and len(head.split()) <= 6 and copied(qw, _WORD.findall(tail)):
         return "copied"
     if other_language(ask, qw, low, aw):
         return "language"
@@ -232,68 +231,42 @@ def defect(q: str | None, a: str | None, passage: str | None, odd_end: bool, ref
         last = aw[-1]
         if last in OPEN_WORDS and not (len(aw) == 1):
             return "truncated"
-        if last.isalpha() and len(aw) > 1 and (passage is not None or ask):
-            known = set(qw)
-            if last not in known:
-                source = tidy(passage or "").lower()
-                seen = set(_WORD.findall(source)) if source else set()
-                if last not in seen and any(w.startswith(last) for w in known | seen if len(w) > len(last)):
-                    return "truncated"
-    if odd_end and (not core or core[-1] not in ".!?。"):
-        return "truncated"
+        # a word cut short: no word of question, passage or many responses, but the beginning of one
+        if last.isalpha() and len(aw) > 1 and last not in qw and last not in common:
+            seen = set(_WORD.findall(tidy(passage).lower())) if passage else set()
+            if last not in seen and any(len(w) > len(last) and w.startswith(last) for group in (qw, seen, common) for w in group):
+                return "truncated"
     return None
 
 
-ENDING = 3  # words of an ending
-SUPPORT = 60  # responses that must hold an ending before its rarity means anything
-RARE_END = 0.06  # an ending is odd if at most this share of its occurrences are final
-FREQUENT = 0.0035  # words in fewer than this share of all responses are one class, numbers another
-
+FREQUENT = 0.002  # words in at least this share of all responses complete a cut word; at most mean length / FREQUENT
 
-def _plain(c):
-    """Lower-case words and numbers of a response, as an array."""
-    t = F.regexp_replace(F.lower(c), r"\p{Cf}+", "")
-    return F.regexp_extract_all(t, F.lit(r"([+-]?\d+(?:[.,]\d+)*|\p{L}+)"), F.lit(1))
 
-
-def odd_endings(records: DataFrame) -> DataFrame:
-    """(rec_id) of the records whose response ends with three words that seldom end a response.
-
-    Words in fewer than FREQUENT of all responses count as one class, numbers as another. Counts are over all responses;
-    the list of frequent words has at most (mean length / FREQUENT) entries and is the only thing broadcast.
-    """
-    words = records.select("rec_id", _plain(F.col("a")).alias("w")).filter("size(w) > 0")
+def frequent_words(records: DataFrame) -> list[str]:
+    """Words that at least FREQUENT of all responses hold: a list bounded by (mean words of a response) / FREQUENT."""
+    t = F.regexp_replace(F.lower("a"), r"\p{Cf}+", "")
+    words = records.select(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).filter("size(w) > 0")
     n = words.count()
-    freq = words.select(F.explode(F.array_distinct("w")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT * n).select("x")
-    common = [r[0] for r in freq.collect()]
-    known = F.array(*[F.lit(x) for x in sorted(common)]) if common else F.array().cast("array<string>")
-    classed = words.select("rec_id", F.transform("w", lambda x: F.when(F.array_contains(known, x), x).when(x.rlike(r"^[+-]?\d"), "#").otherwise("*")).alias("w"))
-    padded = classed.select("rec_id", F.concat(F.array(*[F.lit("^")] * (ENDING - 1)), "w").alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (ENDING - 1)), lambda i: F.xxhash64(F.slice("w", i, ENDING)))
-    grams = cut(padded.select("rec_id", grams.alias("g")))
-    last = grams.select("rec_id", F.element_at("g", -1).alias("g"))
-    total = grams.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    final = last.groupBy("g").agg(F.count(F.lit(1)).alias("ends"))
-    odd = final.join(total, "g").filter((F.col("n") >= SUPPORT) & (F.col("ends") <= RARE_END * F.col("n"))).select("g", "ends")
-    return join_unique(last, odd, "g", "ends", hot_threshold(n)).select("rec_id")
+    rows = words.select(F.explode("w").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= FREQUENT * n) & (F.col("n") > 1))
+    return [r["x"] for r in rows.select("x").collect()]
 
 
 def broken_pairs(records: DataFrame) -> DataFrame:
     """(rec_id, q, a, passage, ..) -> (rec_id, defect) of the defective records, one defect each.
 
     Checked in this order: empty, refusal, copied, language, truncated. A null question or passage only leaves out the
-    checks that need it. Repeated rec_ids give repeated rows.
+    checks that need it. Repeated rec_ids give repeated rows. After the list of frequent words is known, one pass over
+    the records without a shuffle.
     """
-    odd = odd_endings(records).groupBy("rec_id").agg(F.lit(True).alias("odd"))
-    rows = records.select("rec_id", "q", "a", "passage").join(odd, "rec_id", "left").select("rec_id", "q", "a", "passage", F.coalesce("odd", F.lit(False)).alias("odd"))
+    common = records.sparkSession.sparkContext.broadcast(frozenset(frequent_words(records)))
 
     def run(frames):
         refusals = _refusal_automaton()
         for f in frames:
-            f["defect"] = [defect(q, a, p, o, refusals) for q, a, p, o in zip(f["q"], f["a"], f["passage"], f["odd"])]
+            f["defect"] = [defect(q, a, p, common.value, refusals) for q, a, p in zip(f["q"], f["a"], f["passage"])]
             yield f.loc[f["defect"].notna(), ["rec_id", "defect"]]
 
-    return rows.mapInPandas(run, f"rec_id {dict(records.dtypes)['rec_id']}, defect string")
+    return records.select("rec_id", "q", "a", "passage").mapInPandas(run, f"rec_id {dict(records.dtypes)['rec_id']}, defect string")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
