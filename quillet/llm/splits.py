@@ -63,16 +63,15 @@ def group_related(records: DataFrame, rec_id: str, node: Column, ties: list[Colu
     """Connected groups of records: (rec_id, group_root, group_size).
 
     node: string that names the record's main entity; nulls are replaced by an entity of the record's own that sorts
-    after all named ones. ties: columns of further entities; equal non-null values of one column tie the records.
+    after all named ones. ties: string columns of further entities; equal non-null values of one column tie the records.
     group_root is '0'+smallest named node of the group, by bytes, or
     '1'+record id where no record of the group has a main entity. Empty input gives an empty result; repeated
     rec_ids count as separate records of one group only if they share an entity.
     """
     own = F.concat(F.lit("1"), F.lpad(F.col(rec_id).cast("string"), 20, "0"))
     named = F.coalesce(F.concat(F.lit("0"), node), own)
-    keys = [F.when(t.isNotNull(), F.xxhash64(F.lit(k), t)) for k, t in enumerate(ties)]
-    more = [F.when(t.isNotNull(), F.xxhash64(t, F.lit(k + 31))) for k, t in enumerate(ties)]
-    tie = F.filter(F.array(*[F.struct(a.alias("h"), b.alias("g")) for a, b in zip(keys, more)]), lambda s: s["h"].isNotNull())
+    # each key is computed once: 128 bits of the column's number and value
+    tie = F.filter(F.array(*[F.unhex(F.md5(F.concat(F.lit(f"{k}:"), t))) for k, t in enumerate(ties)]), lambda s: s.isNotNull())
     base = records.select(F.col(rec_id).alias("_id"), named.alias("node"), tie.alias("ties"))
     spans = base.select("node", F.explode("ties").alias("tie")).groupBy("tie", "node").agg(F.lit(1).alias("_one")).drop("_one")
     spans = cut(spans)
@@ -140,7 +139,7 @@ def related_decisions(sci: DataFrame) -> DataFrame:
 
 def related_choices(qa: DataFrame) -> DataFrame:
     """Multiple-choice items: main entity split_group, further tie (source, source_id) where neither is null."""
-    key = F.when(F.col("source").isNotNull() & F.col("source_id").isNotNull(), F.struct("source", "source_id"))
+    key = F.concat(F.length("source"), F.lit(":"), F.col("source"), F.col("source_id"))
     return group_related(qa, "item_id", F.col("split_group"), [key])
 
 
