@@ -10,84 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.session import cut, hot_threshold, join_unique
+from quillet.operators.graph import group_related
+from quillet.session import cut
 
 #: Unicode white space, and the separators U+001C..1F that text tools also skip.
 SPACES = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-def _stars(links: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct edges (a, b) between unequal nodes."""
-    return links.filter(F.col(a) != F.col(b)).select(a, b).distinct()
-
-
-def large_star(edges: DataFrame, rows: int) -> DataFrame:
-    """Every node links its larger neighbours to the smallest node among itself and its neighbours."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    joined = join_unique(both.filter("v > u"), least, "u", "n", hot_threshold(2 * rows))
-    return _stars(joined.select(F.col("v").alias("a"), F.col("m").alias("b")), "a", "b")
-
-
-def small_star(edges: DataFrame, rows: int) -> DataFrame:
-    """Every node links itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = join_unique(edges, least, "a", "n", hot_threshold(rows))
-    links = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-    return _stars(links, "a", "b")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) with a > b, any graph -> (node, root) for every node that has an edge; root is the smallest node.
-
-    Each round is one large-star and one small-star, then a reliable checkpoint. It ends when a round changes nothing,
-    told by count and hash of the edges. The number of rounds grows with the logarithm of the longest chain.
-    """
-    edges = cut(_stars(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "a", "b"))
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    seen = state(edges)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        edges = cut(small_star(large_star(edges, seen[0]), seen[0]))
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def group_related(records: DataFrame, rec_id: str, node: Column, ties: list[Column]) -> DataFrame:
-    """Connected groups of records: (rec_id, group_root, group_size).
-
-    node: string that names the record's main entity; nulls are replaced by an entity of the record's own that sorts
-    after all named ones. ties: string columns of further entities; equal non-null values of one column tie the records.
-    group_root is '0'+smallest named node of the group, by bytes, or
-    '1'+record id where no record of the group has a main entity. Empty input gives an empty result; repeated
-    rec_ids count as separate records of one group only if they share an entity.
-    """
-    own = F.concat(F.lit("1"), F.lpad(F.col(rec_id).cast("string"), 20, "0"))
-    named = F.coalesce(F.concat(F.lit("0"), node), own)
-    # each key is computed once: 128 bits of the column's number and value
-    tie = F.filter(F.array(*[F.unhex(F.md5(F.concat(F.lit(f"{k}:"), t))) for k, t in enumerate(ties)]), lambda s: s.isNotNull())
-    base = records.select(F.col(rec_id).alias("_id"), named.alias("node"), tie.alias("ties"))
-    spans = base.select("node", F.explode("ties").alias("tie")).groupBy("tie", "node").agg(F.lit(1).alias("_one")).drop("_one")
-    spans = cut(spans)
-    stats = spans.groupBy("tie").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = spans.count()
-    edges = join_unique(spans, stats, "tie", "n", hot_threshold(rows)).select(F.col("node").alias("a"), "b").filter("a <> b")
-    roots = components(edges)
-    light = records.select(F.col(rec_id).alias("_id"), named.alias("node"))
-    weights = light.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    nodes = cut(weights.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group_root"), "n"))
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sizes = nodes.groupBy("group_root").agg(F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("k"))
-    sized = join_unique(nodes, sizes, "group_root", "k", hot_threshold(total))
-    return join_unique(light, sized, "node", "n", hot_threshold(total)).select(F.col("_id").alias(rec_id), "group_root", "group_size")
-
-
 def assign_splits(groups: DataFrame, shares: dict[str, float], seed: str = "quillet", giant: float = 0.005) -> DataFrame:
     """Adds `split` to (.., group_root, group_size, ..): a hash of group_root falls into ranges proportional to shares.
 
