@@ -70,7 +70,7 @@ def p05(spark, d):
     return routed.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p10_least_words", r"select row_id from articles where len(regexp_extract_all(abstract, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+')) >= 80")
+@query("p10_least_words", r"select row_id from articles where len(regexp_extract_all(abstract, '[^\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+')) >= 80")
 def p10(spark, d):
     return t(spark, d, "articles").filter(F.size(text.words(F.col("abstract"))) >= 80).select("row_id")
 
@@ -126,7 +126,7 @@ def j02(spark, d):
     return out.select("item_id", "found", F.array_join(F.transform("values", lambda v: F.coalesce(v, F.lit(-9)).cast("string")), ",").alias("vals"))
 
 
-@query("j05_siblings", r"""with x as (select rec_id, source || '|' || pid as g, trim(regexp_replace(a, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', ' ', 'g')) as n from build_sci_decisions where pid is not null and source is not null),
+@query("j05_siblings", r"""with x as (select rec_id, source || '|' || pid as g, trim(regexp_replace(a, '[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', ' ', 'g')) as n from build_sci_decisions where pid is not null and source is not null),
  dd as (select distinct g, n, sha256('sibling|' || g || '|' || n) as h from x where n is not null),
  best as (select g, h, n from dd qualify row_number() over (partition by g order by h) <= 3),
  j as (select x.rec_id, b.n as sibling, row_number() over (partition by x.rec_id order by b.h) as rank from x join best b using (g) where b.n <> coalesce(x.n, ''))
@@ -486,7 +486,7 @@ def t06(spark, d):
     return r.select("item_id", a["key"].alias("winner"), F.round(a["p"], 6).alias("best"), F.round(b["p"], 6).alias("second"), ((a["p"] >= 0.5) & (a["p"] - b["p"] >= 0.2)).alias("clear"))
 
 
-@query("f06_chunks", r"""with w as (select row_id, regexp_extract_all(abstract, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+') as w from articles where abstract is not null),
+@query("f06_chunks", r"""with w as (select row_id, regexp_extract_all(abstract, '[^\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+') as w from articles where abstract is not null),
  s as (select row_id, w, case when len(w) <= 350 then [0] else range(0, len(w) - 60, 290) end as st from w where len(w) >= 80),
  e as (select row_id, w, unnest(range(len(st))) as chunk_id, unnest(st) as st from s), c as (select row_id, chunk_id, list_slice(w, st + 1, st + 350) as c from e)
  select row_id, min(chunk_id)::int as chunk_id, array_to_string(c, ' ') as chunk from c where len(c) >= 80 group by row_id, c""")
@@ -502,7 +502,7 @@ def f03(spark, d):
     return t(spark, d, "build_sci_decisions").filter("q is not null").select("rec_id", F.size(text.token_set(q)).alias("t3"), F.size(text.token_set(q, 4)).alias("t4"), F.size(text.token_set(q, 4, True)).alias("l4"))
 
 
-@query("f00_content_hash", r"select doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', ' ', 'g'))) as content_hash from documents where text is not null")
+@query("f00_content_hash", r"select doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', ' ', 'g'))) as content_hash from documents where text is not null")
 def f00(spark, d):
     return t(spark, d, "documents").filter("text is not null").select("doc_id", text.fingerprint(F.col("text")).alias("content_hash"))
 
@@ -559,3 +559,29 @@ def f28(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     first = e.agg(F.min_by("v", "vec_id").alias("ref"))
     return e.crossJoin(F.broadcast(first)).select("vec_id", F.round(scores.cosine(F.col("v"), F.col("ref")), 5).alias("cosine"))
+
+
+# ---- sources and incremental runs
+
+@query("s07_corpus_records", "select row_id::varchar as id, title, nullif(abstract, '') as body from articles")
+def s07(spark, d):
+    from quillet.sources import files
+
+    rows = t(spark, d, "articles").select(F.col("row_id").alias("id"), F.when(F.length("title") > 0, F.col("title")).alias("title"), F.col("abstract").alias("text"))
+    return files.corpus_record(rows).select("id", "title", "body")
+
+
+@query("s18_merge_caches", "select doc_id % 997 as key, max(doc_id % 997) as vec from documents group by 1")
+def s18(spark, d):
+    from quillet.sources import files
+
+    a = t(spark, d, "documents").select((F.col("doc_id") % 997).alias("key"), (F.col("doc_id") % 997).alias("vec"))
+    return files.merge_caches([a.filter("key < 500"), a.filter("key >= 400")])
+
+
+@query("s21_late_rows", "select date_trunc('day', created_at) as start, date_trunc('day', created_at) + interval 1 day as \"end\", count(*)::bigint as n, coalesce(sum((ingested_at::date - created_at::date > 0)::int), 0)::bigint as late from documents where created_at is not null group by 1, 2")
+def s21(spark, d):
+    from quillet.streaming import incremental
+
+    out = incremental.late_counts(t(spark, d, "documents").filter("created_at is not null").withColumns({"c": F.col("created_at").cast("timestamp"), "i": F.col("ingested_at").cast("timestamp")}), "c", "i")
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz"), "late": F.coalesce("late", F.lit(0))})
