@@ -18,8 +18,8 @@ SQL = {
 with recursive
 sci as (
   select rec_id, coalesce(source, '') || '|' || pid as name, coalesce('0' || coalesce(source, '') || '|' || pid, '1' || lpad(rec_id::varchar, 20, '0')) as node,
-    case when regexp_replace(document_id, '[\s\x{85}\p{Z}\x{1c}-\x{1f}]+', '', 'g') <> '' then 'd' || document_id end as k1,
-    'p' || regexp_replace(passage, '[\s\x{85}\p{Z}\x{1c}-\x{1f}]+', '', 'g') as k2
+    case when regexp_replace(document_id, '[\s\x{b}\x{85}\p{Z}\x{1c}-\x{1f}]+', '', 'g') <> '' then 'd' || document_id end as k1,
+    'p' || regexp_replace(passage, '[\s\x{b}\x{85}\p{Z}\x{1c}-\x{1f}]+', '', 'g') as k2
   from build_sci_decisions),
 qa as (
   select item_id as rec_id, coalesce('0' || split_group, '1' || lpad(item_id::varchar, 20, '0')) as node,
