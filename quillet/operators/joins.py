@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions import text
+from quillet.operators import similar
 from quillet.operators.records import hash_order
+from quillet.session import cut
 
 
 def attach_last(left: DataFrame, right: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -75,32 +77,19 @@ def ring_donors(df: DataFrame, within: list[str], group: str, content: str, seed
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, threshold: float) -> DataFrame:
-    """Exact similarity join of token sets (arrays of distinct tokens in `tokens`): (left_id, right_id, overlap, jaccard).
+    """Exact similarity join of token sets (arrays of distinct tokens): (left_id, right_id, overlap, jaccard).
 
-    Prefix filter: with tokens ordered from rare to frequent, two sets of Jaccard t share one of their first
-    n - ceil(t n) + 1 tokens. So only rare tokens are joined, sizes are compared before candidates are verified, and
-    verification intersects the arrays once per candidate. Nulls and empty sets match nothing. No caps.
+    Equal sets are one class, classes are joined by similar.similar_sets, and pairs of classes are spread to their rows
+    at the end. Null and empty sets match nothing. No caps.
     """
-    both = left.select(F.col(tokens).alias("t")).unionAll(right.select(F.col(tokens).alias("t")))
-    freq = both.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(df: DataFrame, id: str) -> DataFrame:
-        n = F.size(tokens)
-        keep = n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
-        each = df.select(id, n.alias("n"), keep.alias("keep"), F.explode(tokens).alias("w")).join(freq, "w")
-        w = Window.partitionBy(id).orderBy("df", "w")
-        return each.withColumn("_r", F.row_number().over(w)).filter("_r <= keep").select(id, "n", "w")
-
-    a = prefix(left, left_id).withColumnsRenamed({"n": "n1", left_id: "_l"})
-    b = prefix(right, right_id).withColumnsRenamed({"n": "n2", right_id: "_r"})
-    sizes = (F.col("n1") * threshold <= F.col("n2") + 1e-9) & (F.col("n2") * threshold <= F.col("n1") + 1e-9)
-    pairs = a.join(b, "w").filter(sizes).select("_l", "_r").distinct()
-    x = left.select(F.col(left_id).alias("_l"), F.col(tokens).alias("_t1"))
-    y = right.select(F.col(right_id).alias("_r"), F.col(tokens).alias("_t2"))
-    overlap = F.size(F.array_intersect("_t1", "_t2"))
-    out = pairs.join(x, "_l").join(y, "_r").withColumn("overlap", overlap)
-    out = out.withColumn("jaccard", F.col("overlap") / (F.size("_t1") + F.size("_t2") - F.col("overlap"))).filter(F.col("jaccard") >= threshold - 1e-12)
-    return out.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "overlap", "jaccard")
+    one = lambda df, id, flag: df.select(F.col(id).alias("id"), similar.hashed(F.col(tokens)).alias("w"), F.lit(flag).alias("left")).filter("size(w) > 0")
+    rows = one(left, left_id, True).unionAll(one(right, right_id, False))
+    groups = rows.groupBy(*similar.name(F.col("w"))).agg(F.first("w").alias("w"), F.max("left").alias("l"), F.min("left").alias("r"))
+    classes = cut(groups.select(F.struct("k1", "k2").alias("cid"), "w", "l", (~F.col("r")).alias("r"), similar.fingerprint(F.col("w")).alias("code")))
+    pairs = similar.similar_sets(classes.filter("l"), classes.filter("r"), classes, threshold)
+    member = lambda df, id, c: df.select(id, F.struct(*similar.name(similar.hashed(F.col(tokens)))).alias(c))
+    out = pairs.join(member(left, left_id, "a_cid"), "a_cid").join(member(right, right_id, "b_cid"), "b_cid")
+    return out.select(left_id, right_id, "overlap", "jaccard")
 
 
 def nearest_by_tfidf(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text_col: str, least: int = 4) -> DataFrame:

@@ -36,11 +36,11 @@ def qa_schema(df: DataFrame) -> DataFrame:
 def grounded(q: Column, a: Column, passage: Column, share: float = 0.5) -> Column:
     """Whether an answer is lexically supported: lengths in bounds, at least `share` of its content words (by
     occurrence; none is fine) in the passage, and all its numbers among the passage's, by value."""
-    aw = text.content_words(a)
-    hits = F.size(F.filter(aw, lambda w: F.array_contains(text.content_words(passage), w)))
-    recall = (F.size(aw) == 0) | (hits >= share * F.size(aw))
+    # the lambda's variable holds both word lists, so each is made once per row
+    pair = F.struct(text.content_words(a).alias("aw"), F.array_distinct(text.content_words(passage)).alias("pw"))
+    enough = F.get(F.transform(F.array(pair), lambda s: F.size(F.filter(s["aw"], lambda w: F.array_contains(s["pw"], w))) >= share * F.size(s["aw"])), 0)
     bound = F.size(F.array_except(text.numbers(a), text.numbers(passage))) == 0
-    return ~blank(q) & ~blank(a) & ~blank(passage) & (F.length(q) <= 400) & F.length(a).between(8, 512) & recall & bound
+    return ~blank(q) & ~blank(a) & ~blank(passage) & (F.length(q) <= 400) & F.length(a).between(8, 512) & enough & bound
 
 
 def choice_reasons() -> list[tuple[str, Column]]:
