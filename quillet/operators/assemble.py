@@ -32,7 +32,8 @@ def ensemble(preds: DataFrame, members: int, method: str = "mean", strict: bool
     bad = F.when(F.col("_n") != F.col("_v"), "repeated identity").when(F.col("gold_key") != F.col("_g2"), "conflicting gold")
     if strict:
         bad = bad.when(F.col("_v") != members, "variant cohorts differ")
-    heads = heads.withColumn("gold_key", F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).otherwise(F.col("gold_key"))).filter(F.col("_v") == members)
+    # in the filter itself, so that no row is dropped before it is checked
+    heads = heads.filter(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.col("_v") == members))
     lists = per_key.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("_o"))
     out = heads.join(lists, "identity").withColumn("keys", F.transform("_o", lambda o: o["key"])).withColumn("p", F.transform("_o", lambda o: o["v"]))
     if method != "mean":
