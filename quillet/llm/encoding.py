@@ -26,6 +26,7 @@ MIXED = (("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("we
 #: The same for Cyrillic, told by letter case and frequency.
 CYRILLIC = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1251", "mac_cyrillic"), ("cp1251", "iso8859_5"))
 ROUNDS = 4
+WELL_FORMED = 0.75  # of a run of characters that the page has beyond ASCII
 
 
 def _page(name: str) -> np.ndarray:
@@ -104,9 +105,18 @@ def utf8_spans(points: np.ndarray, page: str) -> list[tuple[int, int, str]]:
     ends = starts + width[starts]
     opens = np.concatenate([[True], starts[1:] != ends[:-1]])
     closes = np.concatenate([starts[1:] != ends[:-1], [True]])
+    # a run of characters beyond ASCII that is UTF-8 only here and there is other text: most of it must be well-formed
+    high = data > 0
+    run = np.cumsum(np.diff(high, prepend=False) & high)
+    inside_span = np.zeros(n + 1, np.int64)
+    np.add.at(inside_span, starts, 1)
+    np.add.at(inside_span, ends, -1)
+    covered = np.bincount(run[high], weights=np.cumsum(inside_span)[:n][high] > 0, minlength=int(run[-1]) + 1)
+    length = np.bincount(run[high], minlength=int(run[-1]) + 1)
+    whole = covered >= WELL_FORMED * np.maximum(length, 1)
     raw = data.tobytes()
     fit = _sane if page not in WORDY else _common_east if page == "cp1251" else _common
-    return [(int(a), int(b), t) for a, b in zip(starts[opens], ends[closes]) if fit(t := raw[a:b].decode("utf-8"))]
+    return [(int(a), int(b), t) for a, b in zip(starts[opens], ends[closes]) if whole[run[a]] and fit(t := raw[a:b].decode("utf-8"))]
 
 
 _RUN = re.compile("[\xa1-\xff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2026\u2030\u2039\u203a\u20ac\u2122\x80-\xad]{4,}")

@@ -7,6 +7,7 @@ last word that is cut short is told from the words of question, passage and all
 
 from __future__ import annotations
 
+import difflib
 import re
 import unicodedata
 
@@ -189,7 +190,10 @@ def copied(qw: list[str], aw: list[str]) -> bool:
     if len(rest) > max(1, len(kept) // 5):
         return False
     letters = "".join(rest)
-    return sum(covered("".join(qw), letters, 3)) >= 0.6 * len(letters)
+    if sum(covered("".join(qw), letters, 3)) >= 0.6 * len(letters):
+        return True
+    left = [w for w, m in zip(qw, covered(aw, qw, 2)) if not m]
+    return all(difflib.get_close_matches(w, left, 1, 0.6) for w in rest)
 
 
 def open_delimiters(text: str) -> bool:
@@ -240,6 +244,7 @@ def defect(q: str | None, a: str | None, passage: str | None, common: frozenset[
 
 
 FREQUENT = 0.002  # words in at least this share of all responses complete a cut word; at most mean length / FREQUENT
+LEAST = 10  # and in at least so many
 
 
 def frequent_words(records: DataFrame) -> list[str]:
@@ -247,7 +252,7 @@ def frequent_words(records: DataFrame) -> list[str]:
     t = F.regexp_replace(F.lower("a"), r"\p{Cf}+", "")
     words = records.select(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).filter("size(w) > 0")
     n = words.count()
-    rows = words.select(F.explode("w").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= FREQUENT * n) & (F.col("n") > 1))
+    rows = words.select(F.explode("w").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(FREQUENT * n, LEAST))
     return [r["x"] for r in rows.select("x").collect()]
 
 
