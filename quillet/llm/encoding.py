@@ -42,6 +42,8 @@ def _page(name: str) -> np.ndarray:
             table[ord(bytes([b]).decode(name))] = b
         except UnicodeDecodeError:
             pass
+    if table[0xA0] >= 0xC2:  # a blank never leads a letter
+        table[0xA0] = 0
     return table
 
 
@@ -69,10 +71,16 @@ _CLASS[0xE0:0xF0] = 3
 _CLASS[0xF0:0xF5] = 4
 
 
+# Letters and marks of that range which legacy pages hold, so that doubly encoded text has them on its way.
+_MODIFIERS = frozenset((0x192, 0x2C6, 0x2C7, *range(0x2D8, 0x2DE), 0x300, 0x301, 0x302, 0x303, 0x308))
+
+
 def _sane(text: str) -> bool:
     """Whether decoded characters are such as texts have: no private use, unassigned or rare scripts."""
     for ch in text:
         c = ord(ch)
+        if 0x180 <= c < 0x370 and c not in _MODIFIERS:
+            return False
         if not (c < 0x530 or 0x590 <= c < 0x660 or 0x1E00 <= c < 0x2C00 or 0x3000 <= c < 0x3130 or 0x4E00 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or 0xFB00 <= c < 0xFB07 or 0xFE00 <= c < 0xFE10 or 0xFEFF == c or 0xFF00 <= c < 0xFFEF or 0x1D400 <= c < 0x1D800 or 0x1F000 <= c < 0x1FB00):
             return False
     return True
@@ -162,7 +170,7 @@ def _cyrillic_words(text: str) -> str | None:
 
 
 _MIXED, _CYRILLIC = _reread(MIXED), _reread(CYRILLIC)
-_PART = re.compile(r"[^.!?\n]*[.!?\n]*")
+_PART = re.compile(r".+?(?:[.!?]+(?=\s|\Z)|\n|\Z)", re.S)
 # Within words: a capital beyond ASCII after a small letter, or a symbol between letters that no text has there.
 _ODD = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])[\xc0-\xd6\xd8-\xde\u0178\u0152\u0131]|(?<=[^\W\d_])[^\w\s\x00-\x7f\xad\xb7\xb0\xb2\xb3\xb9\xb5\u0300-\u036f\u2010-\u201d\u200b-\u200f\u2026\u2032\u2033\u2060-\u206f\ufe00-\ufe0f\ufeff\U0001f000-\U0001faff](?=[^\W\d_])|[\x80-\x9f]")
 _CYR = re.compile("[\u0400-\u045f\u0490\u0491\u2018-\u203a\u2116\u20ac\x80-\xbf\u2500-\u25ff]+(?:[\\s,;:-]+[\u0400-\u045f\u0490\u0491\u2018-\u203a\u2116\u20ac\x80-\xbf\u2500-\u25ff]+)*")
@@ -183,11 +191,14 @@ def _single_byte(text: str) -> str | None:
         nonlocal found
         old = m.group()
         odd = len(_ODD.findall(old))
-        if odd < 2:
+        if not odd:
             return old
         best = min(((len(_ODD.findall(new)), k, new) for k, t in enumerate(_MIXED) if (new := old.translate(t)) != old), default=None)
         if best is None or best[0] > odd // 4:
             return old
+        changed = [n for o, n in zip(old, best[2]) if o != n]
+        if 2 * sum(c.isalpha() for c in changed) < len(changed):  # symbols that become other symbols are no evidence
+            return old
         found = True
         return best[2]
 
@@ -202,7 +213,7 @@ def _single_byte(text: str) -> str | None:
         found = True
         return new
 
-    new = _PART.sub(part, text)
+    new = _PART.sub(part, text) if len(_ODD.findall(text)) >= 2 else text
     if re.search("[\u0400-\u045f]", new):
         new = _CYR.sub(cyrillic, new)
     return new if found else None

@@ -22,10 +22,10 @@ i cannot|i can't|i can not|i am unable|i'm unable|i am not able|i'm not able|i w
 i decline|i'd rather not|i would rather not|i prefer not|i am not comfortable|i'm not comfortable|i do not have enough|i don't have enough
 i lack|i do not know|i don't know|i'm sorry|i am sorry|i apologi|my apologies|apologies, but|sorry, but|sorry, i|sorry, no|possible for me|can be given by me
 as a language assistant|as a language model|as an ai|as an assistant|help with that request|help with this request
-lo siento|no puedo|no me es posible|prefiero no|como asistente|no tengo suficiente|no dispongo|me faltan|no estoy en condiciones|me temo que no|debo declinar|no deseo
-je suis désolé|désolé|je ne peux|je préfère ne|je n'ai pas|en tant qu'assistant|ne m'est pas possible|je ne suis pas|je regrette|je ne souhaite|il me manque|je dois décliner
-leider kann ich|kann ich nicht|als assistent|mir fehlen|mir fehlt|möchte ich keine|möchte ich nicht|darf ich|tut mir leid|mir nicht möglich|ich kann|ich darf|ich möchte|muss ich ablehnen|ich bedaure|habe ich nicht
-desculpe|desculpa|não posso|não me é possível|prefiro não|como assistente|não tenho|lamento|faltam-me|me faltam|não consigo|devo recusar|sinto muito
+lo siento|no puedo|no me es posible|prefiero no|me es imposible|me resulta imposible|no tengo información|como asistente|no tengo suficiente|no dispongo|me faltan|no estoy en condiciones|me temo que no|debo declinar|no deseo
+je suis désolé|désolé|je ne peux|je préfère ne|m'est impossible|je ne dispose|je n'ai pas|en tant qu'assistant|ne m'est pas possible|je ne suis pas|je regrette|je ne souhaite|il me manque|je dois décliner
+leider kann ich|kann ich nicht|als assistent|mir fehlen|mir fehlt|möchte ich keine|möchte ich nicht|darf ich|tut mir leid|mir nicht möglich|mir unmöglich|mir leider nicht|ich kann|ich darf|ich möchte|muss ich ablehnen|ich bedaure|habe ich nicht
+desculpe|desculpa|não posso|não me é possível|é-me impossível|me é impossível|não disponho|prefiro não|como assistente|não tenho|lamento|faltam-me|me faltam|não consigo|devo recusar|sinto muito
 извините|я не могу|к сожалению, я|抱歉|我无法|我不能
 """
 
@@ -235,6 +235,9 @@ def defect(q: str | None, a: str | None, passage: str | None, common: frozenset[
         last = aw[-1]
         if last in OPEN_WORDS and not (len(aw) == 1):
             return "truncated"
+        # a word cut short where the question goes on with the whole word
+        if len(aw) > 1 and any(p == aw[-2] and w != last and w.startswith(last) for p, w in zip(qw, qw[1:])):
+            return "truncated"
         # a word cut short: no word of question, passage or many responses, but the beginning of one
         if last.isalpha() and len(aw) > 1 and last not in qw and last not in common:
             seen = set(_WORD.findall(tidy(passage).lower())) if passage else set()

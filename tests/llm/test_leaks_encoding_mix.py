@@ -70,7 +70,7 @@ def test_align_is_an_edit_alignment():
 SOUND = [
     "The operator Â acts on Ã-type lattices; Ångström, Œuvre, Þor, ðe and ñ",
     "NÃO HÁ RELAÇÃO ENTRE a reação e o núcleo", "L’été à l’ombre : « voilà ! »", "Größe über 5 µm ± 3 °C, façade naïve",
-    "Мы измерили, как скорость и плотность зависят от температуры. СССР, «АБС»", "我们测量了密度和细胞群，结果与此无关。", "NFD: nĩo, café", "", "plain ascii",
+    "Мы измерили, как скорость и плотность зависят от температуры. СССР, «АБС»", "我们测量了密度和细胞群，结果与此无关。", "one.\xa0Über-dense, a\xa0Über", "a≤b≤c, x∞y", "NFD: nĩo, café", "", "plain ascii",
 ]
 
 
