@@ -46,13 +46,13 @@ PRED = pred_sql()
 
 # ---- 2.2 validation and filters
 
-@query("p03_qa_schema", r"""select rec_id, regexp_replace(regexp_replace(q, '^\s+', ''), '\s+$', '') as q from build_sci_decisions
+@query("v03_qa_schema", r"""select rec_id, regexp_replace(regexp_replace(q, '^\s+', ''), '\s+$', '') as q from build_sci_decisions
  where trim(regexp_replace(coalesce(passage, ''), '[\s\x{a0}]+', ' ', 'g')) <> '' and trim(regexp_replace(coalesce(q, ''), '[\s\x{a0}]+', ' ', 'g')) <> '' and trim(regexp_replace(coalesce(a, ''), '[\s\x{a0}]+', ' ', 'g')) <> ''""")
 def p03(spark, d):
     return records.qa_schema(t(spark, d, "build_sci_decisions")).filter("reason is null").select("rec_id", "q")
 
 
-@query("p04_lexical_grounding")
+@query("v04_lexical_grounding")
 def p04(spark, d):
     sci = t(spark, d, "build_sci_decisions")
     return sci.filter(records.grounded(F.col("q"), F.col("a"), F.col("passage"))).select("rec_id")
@@ -64,42 +64,42 @@ CHOICE_SQL = r"""c as (select *, case
   when len(list_distinct([trim(regexp_replace(o, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g')) for o in options])) < 4 then 'invalid_options' end as reason from build_qa_choice)"""
 
 
-@query("p05_choice_schema", f"with {CHOICE_SQL} select coalesce(reason, 'kept') as reason, count(*)::bigint as n from c group by 1")
+@query("v05_choice_schema", f"with {CHOICE_SQL} select coalesce(reason, 'kept') as reason, count(*)::bigint as n from c group by 1")
 def p05(spark, d):
     routed = records.route(t(spark, d, "build_qa_choice"), records.choice_reasons())
     return routed.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p10_least_words", r"select row_id from articles where len(regexp_extract_all(abstract, '[^\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+')) >= 80")
+@query("v10_least_words", r"select row_id from articles where len(regexp_extract_all(abstract, '[^\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+')) >= 80")
 def p10(spark, d):
     return t(spark, d, "articles").filter(F.size(text.words(F.col("abstract"))) >= 80).select("row_id")
 
 
-@query("p09_unambiguous_prompts", """select q as prompt, count(*)::bigint as n from (select trim(q) as q, trim(a) as a from build_sci_decisions where q is not null) group by 1 having count(distinct a) = 1""")
+@query("v09_unambiguous_prompts", """select q as prompt, count(*)::bigint as n from (select trim(q) as q, trim(a) as a from build_sci_decisions where q is not null) group by 1 having count(distinct a) = 1""")
 def p09(spark, d):
     rows = t(spark, d, "build_sci_decisions").filter("q is not null").select(F.trim("q").alias("prompt"), F.trim("a").alias("a"))
     return rows.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("k")).filter("k = 1").drop("k")
 
 
-@query("p19_canonical_order", f"with x as (select item_id, [list_slice(string_split(o, ' '), 1, 3) for o in options] as o from build_qa_choice where {VALID} and len([o for o in options if o is null]) = 0), y as (select item_id, list_sort([{{'o': o[i], 'i': i - 1}} for i in [1, 2, 3, 4]]) as s from x) select item_id, array_to_string([k.i for k in s], ',') as canonical from y")
+@query("v19_canonical_order", f"with x as (select item_id, [list_slice(string_split(o, ' '), 1, 3) for o in options] as o from build_qa_choice where {VALID} and len([o for o in options if o is null]) = 0), y as (select item_id, list_sort([{{'o': o[i], 'i': i - 1}} for i in [1, 2, 3, 4]]) as s from x) select item_id, array_to_string([k.i for k in s], ',') as canonical from y")
 def p19(spark, d):
     qa = t(spark, d, "build_qa_choice").filter("gold between 0 and 3 and size(options) = 4 and not exists(options, o -> o is null)")
     order = assemble.canonical_order(F.transform("options", lambda o: F.split(o, " ")), F.lit(3))
     return qa.select("item_id", F.array_join(order.cast("array<string>"), ",").alias("canonical"))
 
 
-@query("p18_overflow_route", "select case when length(passage) > 2000 then 'input_overflow' else 'kept' end as route, count(*)::bigint as n, sum(least(length(passage), 2000))::bigint as chars from build_sci_decisions where passage is not null group by 1")
+@query("v18_overflow_route", "select case when length(passage) > 2000 then 'input_overflow' else 'kept' end as route, count(*)::bigint as n, sum(least(length(passage), 2000))::bigint as chars from build_sci_decisions where passage is not null group by 1")
 def p18(spark, d):
     rows = t(spark, d, "build_sci_decisions").filter("passage is not null").withColumn("n", F.length("passage"))
     return rows.groupBy(F.when(F.col("n") > 2000, "input_overflow").otherwise("kept").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("n", F.lit(2000)).cast("bigint")).alias("chars"))
 
 
-@query("p23_instruction_variants", f"with {PRED} select item_id || '_v' || v as qid, gold, (['Choose the best answer.', 'Pick one option.'])[v + 1] as instructions from pr, range(2) r(v)")
+@query("v23_instruction_variants", f"with {PRED} select item_id || '_v' || v as qid, gold, (['Choose the best answer.', 'Pick one option.'])[v + 1] as instructions from pr, range(2) r(v)")
 def p23(spark, d):
     return assemble.variants(predictions(spark, d), "item_id", ["Choose the best answer.", "Pick one option."]).select("qid", "gold", "instructions")
 
 
-@query("p28_item_explode", "select item_id, unnest(range(len(options))) as pos, unnest(options) as option from build_qa_choice where options is not null")
+@query("v28_item_explode", "select item_id, unnest(range(len(options))) as pos, unnest(options) as option from build_qa_choice where options is not null")
 def p28(spark, d):
     return t(spark, d, "build_qa_choice").filter("options is not null").select("item_id", F.posexplode("options").alias("pos", "option")).withColumn("pos", F.col("pos").cast("bigint"))
 
