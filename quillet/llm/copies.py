@@ -38,10 +38,10 @@ def canonical(c: Column) -> Column:
 def collapse(keyed: DataFrame, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, key) -> members (id, key, first_id, copies) and representatives (key, first_id, copies).
 
-    Null keys are copies of nothing and are left out by the caller. Works for any number of rows with one key: rows of a
+    Null keys are one key like any other; further columns of the input are left out. Works for any number of rows with one key: rows of a
     hot key (more than hot_threshold rows, so at most 1,000 keys) are counted per salt and never meet in one task.
     """
-    keyed = cut(keyed)
+    keyed = cut(keyed.select("id", "key"))
     limit = hot_threshold(keyed.count() if rows is None else rows)
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(cut(counts.filter(F.col("n") > limit).select("key", F.lit(True).alias("hot"))))
