@@ -62,3 +62,30 @@ def reward(p: Column, gold: Column, weight: float = 0.75) -> Column:
     """ln p(gold) + weight * p(gold) / |p|: proper, as both parts are."""
     g = F.get(p, gold)
     return F.log(g) + weight * g / F.sqrt(dot(p, p))
+
+
+def uniform(k: int) -> Column:
+    """Soft targets that prefer nothing."""
+    return F.array_repeat(F.lit(1.0 / k), k)
+
+
+def cross_entropy(target: Column, p: Column) -> Column:
+    """-sum target ln p over entries with weight; infinite where p is zero there."""
+    part = F.zip_with(target, p, lambda t, x: F.when(t <= 0, 0.0).when(x <= 0, float("inf")).otherwise(-t * F.log(x)))
+    return total(part)
+
+
+def divergence(target: Column, p: Column) -> Column:
+    """Kullback-Leibler divergence of p from target."""
+    return cross_entropy(target, p) - cross_entropy(target, target)
+
+
+def ordinal_loss(logits: Column, gold: Column) -> Column:
+    """Mean binary cross-entropy of K-1 threshold logits against gold > threshold."""
+    part = F.transform(logits, lambda x, i: F.greatest(x, F.lit(0.0)) - x * (gold > i).cast("double") + F.log1p(F.exp(-F.abs(x))))
+    return total(part) / F.size(logits)
+
+
+def reference_index(keys: Column, reference: Column) -> Column:
+    """Index of a reference key among the keys, null if it is none of them."""
+    return F.nullif(F.array_position(keys, reference), F.lit(0)).cast("int") - 1

@@ -121,3 +121,13 @@ def call_text(tool: Column, args: Column) -> Column:
 def replace_span(text: Column, start: Column, end: Column, by: Column) -> Column:
     """text with its code points [start, end) replaced."""
     return F.concat(F.substr(text, F.lit(1), start), by, F.substr(text, end + 1))
+
+
+def lettered(options: Column) -> Column:
+    """Options as lines that begin with their letters: A. .., B. .., .."""
+    return F.array_join(F.transform(options, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o)), "\n")
+
+
+def holds_question(ids: Column, decode, last: int = 40) -> Column:
+    """Whether the decoded last ids of a context hold the word Question. decode: a column function of ids to text."""
+    return F.contains(decode(F.slice(ids, F.greatest(F.lit(1), F.size(ids) - last + 1), F.lit(last))), F.lit("Question"))
