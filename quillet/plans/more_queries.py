@@ -9,7 +9,10 @@ from quillet.operators import assemble, decisions, joins, metrics, records
 from quillet.plans.queries import PRED, VALID, pred_sql, predictions, t
 from quillet.plans.registry import query
 
-STATE = F.concat(F.lit("Passage: "), F.col("passage"), F.lit("\nQuestion: "), F.col("q"))
+
+def state():
+    return F.concat(F.lit("Passage: "), F.col("passage"), F.lit("\nQuestion: "), F.col("q"))
+
 
 
 @query("v01_decision_checks", "select case when options is null or len(options) < 2 then 'too_few_options' when len([o for o in options if o is null or o = '']) > 0 then 'empty_option' when len(list_distinct(options)) < len(options) then 'repeated_option' when gold is null or gold < 0 or gold >= len(options) then 'gold_out_of_range' else 'valid' end as outcome, count(*)::bigint as n from build_qa_choice group by 1")
@@ -63,7 +66,7 @@ def p22(spark, d):
 @query("v25_evidence_checks", r"select case when passage is null or q is null then 'bad_span' when trim(regexp_replace(passage, '[\s\x{b}\x{85}\p{Z}]+', ' ', 'g')) = '' then case when passage = '' then 'bad_span' else 'blank_evidence' end when document_id is null or trim(document_id) = '' then 'no_group' else 'usable' end as outcome, count(*)::bigint as n from build_sci_decisions group by 1")
 def p25(spark, d):
     sci = t(spark, d, "build_sci_decisions")
-    why = decisions.evidence_problem(STATE, F.lit(9), F.length("passage") + 9, F.col("document_id"))
+    why = decisions.evidence_problem(state(), F.lit(9), F.length("passage") + 9, F.col("document_id"))
     return sci.groupBy(F.coalesce(why, F.lit("usable")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,7 +172,7 @@ def f08(spark, d):
 @query("f09_question_tails", r"select rec_id, trim(q) as tail from build_sci_decisions where passage is not null and q is not null and not contains(q, chr(10)||'Question:') and trim(q) = trim(q, chr(32)||chr(9)||chr(10)||chr(13))")
 def f09(spark, d):
     sci = t(spark, d, "build_sci_decisions").filter("passage is not null and q is not null and not contains(q, '\nQuestion:') and trim(q) = trim(both ' \t\n\r' from q)")
-    return sci.select("rec_id", text.question_tail(STATE).alias("tail"))
+    return sci.select("rec_id", text.question_tail(state()).alias("tail"))
 
 
 @query("f11_single_edits")
