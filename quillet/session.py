@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,17 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, thresh
     warm = tagged.filter(F.col("_hot")).drop("_hot")
     rest = tagged.filter(F.col("_hot").isNull()).drop("_hot", *mine).join(cold, key, how)
     return warm.unionByName(rest.select(*warm.columns))
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of all executors, once per context, so that they need no installation."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillet_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quillet-package-")) / "quillet.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("quillet") / p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._quillet_shipped = True
