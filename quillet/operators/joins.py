@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,22 +57,24 @@ def _first_per_group(df: DataFrame, k: int) -> DataFrame:
 def ring_donors(df: DataFrame, within: list[str], group: str, content: str, seed: str, ahead: int = 8) -> DataFrame:
     """A donor per (within.., group, content): of the same `within`, another group and another content.
 
-    A seeded hash puts the distinct keys on rings; each takes the first of the next `ahead` keys of its ring that fits,
-    else the ring's first fitting representative of another group. `within` is split into rings by a salt, so no task
-    holds all keys; (within, group, content, donor_group, donor_content), null where `within` has only one group.
+    A seeded hash puts the distinct keys on rings of about 50,000; each takes the first of the next `ahead` keys of its ring
+    that fits, else the first or the last representative of a group of `within` that does. So no task holds all keys
+    and none meets all others: (within, group, content, donor_group, donor_content), null where `within` has one group.
     """
     keys = df.select(*within, group, content).distinct().withColumn("_h", hash_order(seed, *within, group, content))
-    keys = keys.withColumn("_ring", F.substring("_h", 1, 2))
+    keys = cut(keys)
+    digits = max(0, math.ceil(math.log(max(keys.count(), 1) / 50_000, 16)))
+    keys = keys.withColumn("_ring", F.substring("_h", 1, digits))
     w = Window.partitionBy(*within, "_ring").orderBy("_h")
     nexts = F.array(*[F.lead(F.struct(F.col(group).alias("g"), F.col(content).alias("c")), i).over(w) for i in range(1, ahead + 1)])
-    first = Window.partitionBy(*within)
     heads = keys.groupBy(*within, group).agg(F.min(F.struct("_h", F.col(content).alias("c"))).alias("_m"))
     two = heads.groupBy(*within).agg(F.min(F.struct(F.col("_m._h").alias("h"), F.col(group).alias("g"), F.col("_m.c").alias("c"))).alias("_a"), F.max(F.struct(F.col("_m._h").alias("h"), F.col(group).alias("g"), F.col("_m.c").alias("c"))).alias("_z"))
     fits = lambda d: (d["g"] != F.col(group)) & (d["c"] != F.col(content))
     found = keys.withColumn("_d", F.get(F.filter(nexts, lambda d: d.isNotNull() & fits(d)), 0))
     renamed = two.select(*[F.col(c).alias(f"_{c}") for c in within], "_a", "_z")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
-    out = found.join(F.broadcast(renamed) if not within else renamed, on) if within else found.crossJoin(F.broadcast(renamed))
+    # two rows' worth per value of within: broadcast while these are few, else joined (AQE splits a hot value)
+    out = found.join(F.broadcast(renamed) if renamed.limit(10_001).count() <= 10_000 else renamed, on)
     spare = F.when(fits(F.col("_a")), F.struct(F.col("_a.g").alias("g"), F.col("_a.c").alias("c"))).when(fits(F.col("_z")), F.struct(F.col("_z.g").alias("g"), F.col("_z.c").alias("c")))
     pick = F.coalesce("_d", spare)
     return out.select(*within, group, content, pick["g"].alias("donor_group"), pick["c"].alias("donor_content"))

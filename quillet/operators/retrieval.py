@@ -48,11 +48,10 @@ def query_terms(c: Column, most: int = 24) -> Column:
     return F.slice(F.filter(F.array_distinct(found), lambda t: ~t.isin(STOPWORDS)), 1, most)
 
 
-def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, top: int = 3, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The `top` documents per query by BM25: (query_id, id, score, rank), ties by smaller id.
+def bm25_scores(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score) of all documents that share a term with a query, by BM25.
 
-    idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not positive. Only postings of asked terms are read; the
-    window sees one row per query and document that share a term, reduced to `top` per salt first.
+    idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not positive. Only postings of asked terms are read.
     """
     stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"))
     asked = queries.select(query_id, F.explode(F.array_distinct(terms)).alias("term"))
@@ -61,8 +60,12 @@ def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str,
     raw = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     idf = df.crossJoin(F.broadcast(stats)).withColumn("_idf", F.when(raw > 0, raw).otherwise(1e-6)).select("term", "_idf", "_avg")
     part = F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
-    scores = asked.join(idf, "term").join(wanted, "term").groupBy(query_id, id).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_ranked(scores, query_id, id, top)
+    return asked.join(idf, "term").join(wanted, "term").groupBy(query_id, id).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, top: int = 3) -> DataFrame:
+    """The `top` documents per query by BM25: (query_id, id, score, rank), ties by smaller id."""
+    return top_ranked(bm25_scores(queries, post, lengths, query_id, id, terms), query_id, id, top)
 
 
 def top_ranked(scores: DataFrame, query_id: str, id: str, top: int) -> DataFrame:
@@ -91,12 +94,13 @@ def two_stage(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id:
         got = each.join(post, "term").groupBy(query_id, "_g", "_need", id).agg(F.countDistinct("term").alias("_have"))
         return got.filter("_have = _need").select(query_id, id).distinct()
 
-    first = bm25(one.withColumnRenamed("_t", "_q"), post, lengths, query_id, id, "_q", top=1 << 30).join(matching(one), [query_id, id], "left_semi")
-    first = top_ranked(first.drop("rank"), query_id, id, top)
+    first = bm25_scores(one.withColumnRenamed("_t", "_q"), post, lengths, query_id, id, "_q").join(matching(one), [query_id, id], "left_semi")
+    first = top_ranked(first, query_id, id, top)
     full = first.groupBy(query_id).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= top)
     asked = q.select(query_id, eight.alias("_q")).join(full, query_id, "left_anti")
-    more = bm25(asked, post, lengths, query_id, id, "_q", top=1 << 30).join(matching(pairs), [query_id, id], "left_semi")
-    more = more.drop("rank").join(first.select(query_id, id), [query_id, id], "left_anti")
+    more = bm25_scores(asked, post, lengths, query_id, id, "_q").join(matching(pairs), [query_id, id], "left_semi")
+    more = more.join(first.select(query_id, id), [query_id, id], "left_anti")
+    more = top_ranked(more, query_id, id, top)
     both = first.select(query_id, id, "score", F.lit("and").alias("stage")).unionByName(more.select(query_id, id, "score", F.lit("pairs").alias("stage")))
     w = Window.partitionBy(query_id).orderBy("stage", F.desc("score"), F.asc(id))
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -129,7 +129,7 @@ def j02(spark, d):
 @query("j05_siblings", r"""with x as (select rec_id, source || '|' || pid as g, trim(regexp_replace(a, '[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', ' ', 'g')) as n from build_sci_decisions where pid is not null and source is not null),
  dd as (select distinct g, n, sha256('sibling|' || g || '|' || n) as h from x where n is not null),
  best as (select g, h, n from dd qualify row_number() over (partition by g order by h) <= 3),
- j as (select x.rec_id, b.n as sibling, row_number() over (partition by x.rec_id order by b.h) as rank from x join best b using (g) where b.n <> coalesce(x.n, ''))
+ j as (select x.rec_id, b.n as sibling, row_number() over (partition by x.rec_id order by b.h)::int as rank from x join best b using (g) where b.n <> coalesce(x.n, ''))
  select * from j where rank <= 2""")
 def j05(spark, d):
     sci = t(spark, d, "build_sci_decisions").filter("pid is not null and source is not null").withColumn("g", F.concat_ws("|", "source", "pid"))
@@ -467,12 +467,19 @@ def t01(spark, d):
     return retrieval.bm25(_asked(spark, d), *_index(spark, d), "rec_id", "row_id", "terms")
 
 
-@query("t02_two_stage")
+TWO_SQL = """rk as (select rec_id, term, row_number() over (partition by rec_id order by length(term) desc, i) as k, count(*) over (partition by rec_id) as n from (select rec_id, unnest(terms) as term, unnest(range(len(terms))) as i from q)),
+ con as (select a.rec_id, p.row_id, a.k, a.n, case when ln((st.n - d.df + 0.5)/(d.df + 0.5)) > 0 then ln((st.n - d.df + 0.5)/(d.df + 0.5)) else 1e-6 end * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / st.avgl)) as c from rk a join df d using (term) join post p using (term), st),
+ a1 as (select rec_id, row_id, round(sum(c), 6) as score, 'and' as stage from con where k <= 4 group by rec_id, row_id having count(*) = least(4, max(n)) qualify row_number() over (partition by rec_id order by round(sum(c), 6) desc, row_id) <= 3),
+ pm as (select distinct rec_id, row_id from (select rec_id, row_id, (k - 1) // 2 as g from con where k <= 8 and n >= 2 group by rec_id, row_id, (k - 1) // 2 having count(*) = max(case when ((k - 1) // 2 + 1) * 2 <= least(n, 8) then 2 else 1 end))),
+ a2 as (select rec_id, row_id, round(sum(c), 6) as score, 'pairs' as stage from con join pm using (rec_id, row_id) where k <= 8 and rec_id not in (select rec_id from a1 group by 1 having count(*) >= 3) and (rec_id, row_id) not in (select (rec_id, row_id) from a1) group by rec_id, row_id)"""
+
+
+@query("t02_two_stage", f"with {BM25_SQL}, {TWO_SQL} select rec_id, row_id, score, stage, row_number() over (partition by rec_id order by stage, score desc, row_id)::int as rank from (select * from a1 union all select * from a2) qualify rank <= 3")
 def t02(spark, d):
     return retrieval.two_stage(_asked(spark, d), *_index(spark, d), "rec_id", "row_id", "terms").select("rec_id", "row_id", "score", "rank", "stage")
 
 
-@query("t03_evidence")
+@query("t03_evidence", f"with {BM25_SQL}, r as (select rec_id, row_id, row_number() over (partition by rec_id order by score desc, row_id) as rank from sc qualify rank <= 3) select rec_id, substr(string_agg('Title: ' || coalesce(trim(title), '') || chr(10) || substr(trim(coalesce(abstract, '')), 1, 600), chr(10) || chr(10) order by rank), 1, 2400) as evidence from r join articles using (row_id) group by 1")
 def t03(spark, d):
     hits = retrieval.bm25(_asked(spark, d), *_index(spark, d), "rec_id", "row_id", "terms")
     return retrieval.evidence(hits, t(spark, d, "articles"), "rec_id", "row_id", "title", "abstract")
