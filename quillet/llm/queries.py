@@ -13,7 +13,40 @@ QUERIES = {
     )
 }
 
+# words of problem 3: a point between digits becomes a private character for a while
+_W = r"""w as (select item_id, source, lower(trim(split)) as split, lower(trim(split)) = 'train' as train,
+   list_distinct([replace(x, chr(57344), '.') for x in regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(replace(lower(upper(question)), chr(223), 'ss'), '[\p{Cf}\x{fe00}-\x{fe0f}]+', '', 'g'),
+     '(\p{Nd})\.(\p{Nd})', '\1' || chr(57344) || '\2', 'g'), '(\p{Nd})\.(\p{Nd})', '\1' || chr(57344) || '\2', 'g'), '[\p{L}\p{M}\p{N}\x{e000}]+')]) as ws
+   from build_qa_choice where lower(trim(split)) in ('train', 'validation', 'dev', 'test', 'eval') and question is not null),
+ e as (select item_id, train, len(ws) as n, unnest(ws) as x from w),
+ j as (select a.item_id as a, b.item_id as b, any_value(a.n) as n1, any_value(b.n) as n2, count(*) as k from e a join e b on a.x = b.x and a.train and not b.train group by 1, 2),
+ f as (select a, b from j where k >= 0.6 * (n1 + n2 - k) - 1e-9)"""
+
+_SIGN = r"(^|[^\p{L}\p{N}\p{Pe}%\x{b0}])"
+
+
+def _canonical(x: str) -> str:
+    """SQL of copies.canonical; twice where matches may touch."""
+    t = rf"regexp_replace(upper({x}), '[\p{{Cf}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{180b}}-\x{{180f}}\x{{3164}}\x{{fe00}}-\x{{fe0f}}\x{{ffa0}}\x{{2800}}\x{{e0100}}-\x{{e01ef}}]+', '', 'g')"
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '(\p{{Nd}})\.(\p{{Nd}})', '\1' || chr(57344) || '\2', 'g')"
+    for mark, code in ((r"[-\x{2212}\x{2010}\x{2011}\x{ff0d}]", 57345), (r"[+]", 57346)):
+        for _ in range(2):
+            t = rf"regexp_replace({t}, '{_SIGN}{mark}(\p{{Nd}}|\.\p{{Nd}})', '\1' || chr({code}) || '\2', 'g')"
+    t = rf"regexp_replace({t}, '[\p{{P}}\p{{Z}}\p{{Cc}}\s`^~|\x{{b4}}\x{{2bc}}]+', '', 'g')"
+    return f"replace(lower({t}), chr(223), 'ss')"
+
+
+_COPIES = f"""q as (select 'build_qa_choice' as tab, item_id as id, {_canonical("question")} as k1, [coalesce('=' || {_canonical("o")}, '0') for o in options] as os, {_canonical("case when gold >= 0 and gold < len(options) then options[gold + 1] end")} as k3 from build_qa_choice),
+ s as (select 'build_sci_decisions' as tab, rec_id as id, {_canonical("passage")} as k1, {_canonical("q")} as k2, {_canonical("a")} as k3 from build_sci_decisions),
+ u as (select tab, id, k1, array_to_string(list_sort(list_distinct(os)), chr(2)) as k2, k3 from q union all select tab, id, k1, k2, k3 from s),
+ c as (select tab, id, min(id) over (partition by tab, k1, k2, k3) as first_id, count(*) over (partition by tab, k1, k2, k3) as copies from u)"""
+
 SQL = {
+    "p3_found": f"with {_W} select least(a, b) as item_a, greatest(a, b) as item_b from f",
+    "p3_report": f"with {_W} select split, source, count(*)::bigint as items, count(h.b)::bigint as leaked from w left join (select distinct b from f) h on h.b = w.item_id where not train and len(ws) > 0 group by 1, 2",
+    "p4_found": f"with {_COPIES} select tab, first_id, id as copy_id from c where id <> first_id",
+    "p4_collapsed": f"with {_COPIES} select tab, first_id, copies::bigint as copies from c where id = first_id",
     "p1_found": r"""
 with recursive
 sci as (
