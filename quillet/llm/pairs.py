@@ -182,7 +182,7 @@ def copied(qw: list[str], aw: list[str]) -> bool:
         return False
     mark = covered(qw, aw, 2)
     kept = [m for m, w in zip(mark, aw) if m or w not in _WRAPPER]
-    rest = [w for m, w in zip(mark, aw) if not m and w not in _WRAPPER]
+    rest = [w for m, w in zip(mark, aw) if not m and w not in _WRAPPER and w not in qw]
     if sum(mark) < 0.6 * len(qw):
         return False
     if not rest:
@@ -193,7 +193,7 @@ def copied(qw: list[str], aw: list[str]) -> bool:
     if sum(covered("".join(qw), letters, 3)) >= 0.6 * len(letters):
         return True
     left = [w for w, m in zip(qw, covered(aw, qw, 2)) if not m]
-    return all(difflib.get_close_matches(w, left, 1, 0.6) for w in rest)
+    return all(any(sorted(w) == sorted(x) for x in left) or difflib.get_close_matches(w, left, 1, 0.6) for w in rest)
 
 
 def open_delimiters(text: str) -> bool:

@@ -15,7 +15,7 @@ PASSAGE = "The aquifer of vimlan rose to 4.5 kJ after uptake with sorene because
         (None, "empty"), ("", "empty"), (" ​\n", "empty"), ("N/A.", "empty"), ("<answer></answer>", "empty"), ("[no answer]", "empty"),
         ("no", None), ("4.5 kJ", None), ("It rose to 4.5 kJ after uptake with sorene", None), ("The authors decline to give more", None), ("it cannot be told", None),
         ("Il m’est impossible de donner une réponse ici", "refusal"), ("I'm sorry, but I can’t help with that request.", "refusal"), ("Désolé, je ne peux pas répondre à cette question.", "refusal"),
-        (Q, "copied"), ("Question: " + Q.upper(), "copied"), ("You want to know: " + Q.replace("value", "vlaue"), "copied"), (Q + " It rose to 4.5 kJ after uptake with sorene.", None), (Q + " " + Q, "copied"),
+        (Q, "copied"), ("Question: " + Q.upper(), "copied"), ("You want to know: " + Q.replace("value", "vlaue"), "copied"), (Q + " It rose to 4.5 kJ after uptake with sorene.", None), (Q + " " + Q, "copied"), (Q.replace("with sorene", "wiht sorene"), "copied"), (Q.replace("of vimlan", "fo vimlan"), "copied"),
         ("It rose to 4.5 kJ after upt", "truncated"), ("It rose to", "truncated"), ("This was the aquifer of vim", "truncated"), ("It rose to 4.5 kJ, …", "truncated"), ("It rose (after", "truncated"), ("It rose to 4.5 kJ –", "truncated"),
         ("La reacción es más lenta que antes porque sorene bloquea la señal durante todo el proceso.", "language"), ("При добавлении это значение достигло 90 единиц.", "language"),
     ],
