@@ -458,8 +458,13 @@ def _index(spark, d):
     return retrieval.postings(t(spark, d, "articles"), "row_id", body)
 
 
-def _asked(spark, d):
-    return t(spark, d, "build_sci_decisions").filter("type = 'definitional'").select("rec_id", retrieval.query_terms(F.col("q")).alias("terms"))
+def _asked(spark, d, which="type = 'definitional'"):
+    return t(spark, d, "build_sci_decisions").filter(which).select("rec_id", retrieval.query_terms(F.col("q")).alias("terms"))
+
+
+def _asked_all(spark, d):
+    """The questions of all records; the SQL above compares the definitional ones only."""
+    return _asked(spark, d, "q is not null")
 
 
 @query("t01_bm25_top3", f"with {BM25_SQL} select rec_id, row_id, score, row_number() over (partition by rec_id order by score desc, row_id)::int as rank from sc qualify rank <= 3")
@@ -485,6 +490,22 @@ def t03(spark, d):
     return retrieval.evidence(hits, t(spark, d, "articles"), "rec_id", "row_id", "title", "abstract")
 
 
+@query("t01_bm25_top3_all")
+def t01_all(spark, d):
+    return retrieval.bm25(_asked_all(spark, d), *_index(spark, d), "rec_id", "row_id", "terms")
+
+
+@query("t02_two_stage_all")
+def t02_all(spark, d):
+    return retrieval.two_stage(_asked_all(spark, d), *_index(spark, d), "rec_id", "row_id", "terms").select("rec_id", "row_id", "score", "rank", "stage")
+
+
+@query("t03_evidence_all")
+def t03_all(spark, d):
+    hits = retrieval.bm25(_asked_all(spark, d), *_index(spark, d), "rec_id", "row_id", "terms")
+    return retrieval.evidence(hits, t(spark, d, "articles"), "rec_id", "row_id", "title", "abstract")
+
+
 @query("t06_winner_runner_up", f"with {PRED}, r as (select item_id, list_reverse_sort(p) as v, pred from s) select item_id, pred::int as winner, round(v[1], 6) as best, round(v[2], 6) as second, (v[1] >= 0.5 and v[1] - v[2] >= 0.2) as clear from r")
 def t06(spark, d):
     keys = F.array(*[F.lit(k) for k in range(4)])
