@@ -4,10 +4,15 @@ Texts are compared as their letters and digits only. Character q-grams of the he
 is broadcast (its size is checked; a larger set of items is worked off in blocks, all documents against each). Per
 document, shared q-grams are counted in diagonal bands; a band that holds fewer than the q-gram lemma demands of a
 passage within the edit budget is dropped; the rest is verified by aligning item and document within the band.
+
+Markup and reference marks would destroy q-grams and move diagonals, so texts and items that hold any are also compared
+without them; what is found either way counts.
 """
 
 from __future__ import annotations
 
+import html
+import re
 import sys
 import unicodedata
 from dataclasses import dataclass
@@ -39,6 +44,25 @@ def _fold_table() -> np.ndarray:
 
 _FOLD: np.ndarray | None = None
 
+_NUMBERS = r"\d{1,4}[a-z]?(?:\s*[,;\u2010-\u2015-]\s*\d{1,4}[a-z]?)*"
+_NAME = r"[^\W\d_][\w'\u2019-]*"
+#: Tags and comments, addresses of links, citing and layout commands, reference marks in brackets and as raised digits.
+_MARK = re.compile(
+    r"<!--.*?-->|</?[A-Za-z][^<>]*>|(?<=\])\([^()\s]+\)|\{\{[^{}]*\}\}"
+    r"|\\(?:[A-Za-z]*cite[a-z]*|ref|eqref|label|footnotemark)\*?(?:\[[^\[\]]*\])*(?:\{[^{}]*\})?"
+    r"|\\(?:sub)*(?:section|paragraph)\*?|\\(?:text(?:bf|it|rm|tt|sc)?|math(?:bf|it|rm)|emph|underline|item)(?![A-Za-z])"
+    rf"|\[[\s^*#]*(?:(?:refs?|note|fn|eqs?|figs?)\.?\s*)?{_NUMBERS}\s*\]|\((?:(?:see\s+)?(?:refs?|note|fn|eqs?|figs?)\.?\s*)?{_NUMBERS}\)"
+    rf"|[\[(](?:{_NAME}(?:\s+et\s+al\.?|\s+(?:and|&)\s+{_NAME})?,?\s+(?:19|20)\d\d[a-z]?(?:;\s*)?)+[\])]"
+    "|[\u00b2\u00b3\u00b9\u2070\u2074-\u2079]+",
+    re.S | re.I,
+)
+
+
+def forms(text: str) -> list[str]:
+    """The text, and the text without markup and reference marks if it holds any."""
+    bare = html.unescape(_MARK.sub(" ", text))
+    return [text] if bare == text else [text, bare]
+
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(folded letters and digits of all texts, their number in each text)."""
@@ -69,6 +93,7 @@ def qgrams(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     ids: list
+    row: list[int]  # place in ids of each item: one with marks is kept in both its forms
     text: list[np.ndarray]  # letters of each item
     word: list[np.ndarray]  # number of the word that each letter belongs to
     grams: np.ndarray  # sorted hashes
@@ -80,16 +105,20 @@ class Index:
 
 def build_index(rows: list[tuple]) -> Index:
     """Index of (id, text). Words are runs of letters and digits; items under WORDS words can't be found."""
-    ids, text, word, grams, item, at = [], [], [], [], [], []
-    for i, t in rows:
-        words = [w for w in _words(t or "") if w]
+    ids, row, text, word, grams, item, at = [], [], [], [], [], [], []
+    last = -1
+    for n, i, t in ((n, i, form) for n, (i, t) in enumerate(rows) for form in forms(t or "")):
+        words = [w for w in _words(t) if w]
         if len(words) < WORDS:
             continue
         x, _ = letters(["".join(words)])
         number = np.repeat(np.arange(len(words)), [len(letters([w])[0]) for w in words])
         g = qgrams(x)
-        k = len(ids)
-        ids.append(i)
+        k = len(text)
+        if n != last:
+            ids.append(i)
+            last = n
+        row.append(len(ids) - 1)
         text.append(x)
         word.append(number)
         grams.append(g)
@@ -97,11 +126,11 @@ def build_index(rows: list[tuple]) -> Index:
         at.append(np.arange(len(g), dtype=np.int32))
     if not ids:
         z = np.zeros(0, np.int32)
-        return Index([], [], [], np.zeros(0, np.uint64), z, z, np.zeros(1 << 16, bool), z)
+        return Index([], [], [], [], np.zeros(0, np.uint64), z, z, np.zeros(1 << 16, bool), z)
     g, it, p = np.concatenate(grams), np.concatenate(item), np.concatenate(at)
     _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
     rare = count[inverse] <= MANY
-    least = np.zeros(len(ids), np.int64)
+    least = np.zeros(len(text), np.int64)
     keep = np.zeros(len(g), bool)
     lo = 0
     for k, x in enumerate(grams):
@@ -117,7 +146,7 @@ def build_index(rows: list[tuple]) -> Index:
     g, it, p = g[keep][order], it[keep][order], p[keep][order]
     bits = np.zeros(1 << 22, bool)
     bits[(g >> np.uint64(42)).astype(np.int64)] = True
-    return Index(ids, text, word, g, it, p, bits, least)
+    return Index(ids, row, text, word, g, it, p, bits, least)
 
 
 def _words(text: str) -> list[str]:
@@ -230,6 +259,16 @@ def verified(item: np.ndarray, word: np.ndarray, doc: np.ndarray, at: np.ndarray
 
 def scan(texts: list[str], index: Index) -> list[tuple[int, int, int]]:
     """(number of the text, number of the item, words of the passage) for all passages in the texts."""
+    both = [(d, form) for d, t in enumerate(texts) for form in forms(t)]
+    best: dict[tuple[int, int], int] = {}
+    for d, i, words in _passages([form for _, form in both], index):
+        key = both[d][0], index.row[i]
+        best[key] = max(words, best.get(key, 0))
+    return [(d, i, w) for (d, i), w in best.items()]
+
+
+def _passages(texts: list[str], index: Index) -> list[tuple[int, int, int]]:
+    """The same for texts and items as they stand, each form on its own."""
     if not len(index.grams):
         return []
     x, sizes = letters(texts)
@@ -272,7 +311,7 @@ def blocks(items: DataFrame, id: str, text: str) -> list[Index]:
     out, rows, size = [], [], 0
     for i, t in items.select(id, text).orderBy(id).toLocalIterator():
         rows.append((i, t))
-        size += len(t or "")
+        size += sum(map(len, forms(t or "")))
         if size >= BLOCK_CHARS:
             out.append(build_index(rows))
             rows, size = [], 0
@@ -285,7 +324,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
     """(doc_id, item_id, words) for each document that holds a passage of an item: at least WORDS consecutive words of
     the item with at most one in REPLACED replaced; words is the longest passage's length.
 
-    Case, punctuation, spacing, line breaks and hyphens don't count; inserted marks move the diagonal and are bridged.
+    Case, punctuation, spacing, line breaks and hyphens don't count, nor markup and reference marks (_MARK); other
+    insertions move the diagonal and are bridged while enough q-grams remain.
     Null and empty texts hold nothing; repeated ids give repeated rows. The documents are read once per block of
     items; no shuffle.
     """

@@ -46,6 +46,37 @@ def test_leaks_by_length_and_replacements(spark):
     assert leaks.leaks(d, b.limit(0), "doc_id", "item_id").count() == 0 and leaks.leaks(d.limit(0), b, "doc_id", "item_id").count() == 0
 
 
+MARKS = ["[7]", "(ref. 12)", "<i>", "</i>", "[3, 4]", "\u00b9", "&nbsp;", "(Moran et al., 2011)", '<a href="https://example.org/a/long/address/of/more/than/forty/eight/letters">']
+
+
+@pytest.mark.parametrize("replaced", [0, 2])
+@pytest.mark.parametrize("step", [1, 2, 3])
+def test_leaks_with_many_marks(step, replaced):
+    rng = random.Random(10 * step + replaced)
+    items = [item(rng, 40) for _ in range(20)]
+    index, found = leaks.build_index([(i, " ".join(w)) for i, w in enumerate(items)]), 0
+    for i, w in enumerate(items):
+        at = rng.randrange(0, 20)
+        words = w[at : at + 20]
+        for k in (5, 12)[:replaced]:
+            words[k] = "replacement"
+        marked = [x + " " + MARKS[(i + k) % len(MARKS)] if k % step == 0 else x for k, x in enumerate(words)]
+        texts = [f"so it is {' '.join(x)} and so on" for x in (words, marked)]
+        hits = [{n for d, n, _ in leaks.scan([t], index)} for t in texts]
+        found += i in hits[0]
+        assert hits[1] == hits[0]
+    assert found >= 19
+
+
+def test_leaks_across_one_long_tag_and_from_items_with_marks():
+    w = item(random.Random(11), 24)
+    tag = MARKS[-1]
+    index = leaks.build_index([("a", " ".join(w)), ("short", "no"), ("b", " [4] ".join(reversed(w)))])
+    assert index.ids == ["a", "b"]
+    found = leaks.scan([" ".join(w[:12] + [tag] + w[12:]), " ".join(reversed(w)), " [4] ".join(reversed(w))], index)
+    assert {(d, i) for d, i, _ in found} == {(0, 0), (1, 1), (2, 1)} and len(found) == 3
+
+
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, " ".join(item(rng))) for i in range(12)]
