@@ -9,6 +9,7 @@ letters that are Cyrillic or Chinese in their own code page. U+FFFD marks text t
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -75,8 +76,12 @@ _CLASS[0xF0:0xF5] = 4
 _MODIFIERS = frozenset((0x192, 0x2C6, 0x2C7, *range(0x2D8, 0x2DE), 0x300, 0x301, 0x302, 0x303, 0x308))
 
 
+def _assigned(text: str) -> bool:
+    return not any(unicodedata.category(ch) in ("Cn", "Co", "Cs") for ch in text)
+
+
 def _sane(text: str) -> bool:
-    """Whether decoded characters are such as texts have: no private use, unassigned or rare scripts."""
+    """Whether decoded characters are such as need no further proof: no private use, unassigned or rarer scripts."""
     for ch in text:
         c = ord(ch)
         if 0x180 <= c < 0x370 and c not in _MODIFIERS:
@@ -123,8 +128,14 @@ def utf8_spans(points: np.ndarray, page: str) -> list[tuple[int, int, str]]:
     length = np.bincount(run[high], minlength=int(run[-1]) + 1)
     whole = covered >= WELL_FORMED * np.maximum(length, 1)
     raw = data.tobytes()
-    fit = _sane if page not in WORDY else _common_east if page == "cp1251" else _common
-    return [(int(a), int(b), t) for a, b in zip(starts[opens], ends[closes]) if whole[run[a]] and fit(t := raw[a:b].decode("utf-8"))]
+    found = [(int(a), int(b), raw[a:b].decode("utf-8")) for a, b in zip(starts[opens], ends[closes]) if whole[run[a]]]
+    if page in WORDY:
+        fit = _common_east if page == "cp1251" else _common
+        return [(a, b, t) for a, b, t in found if fit(t)]
+    # other scripts: proven by a run of three, or by one within a word that a capital would not begin there
+    small = lambda i: 0 <= i < n and 97 <= points[i] < 123
+    proven = {ord(c) >> 7 for a, b, t in found if _assigned(t) and (len(t) >= 3 or small(a - 1) and small(b) and chr(points[a]).isupper()) for c in t}
+    return [(a, b, t) for a, b, t in found if _sane(t) or _assigned(t) and all(_sane(c) or ord(c) >> 7 in proven for c in t)]
 
 
 _RUN = re.compile("[\xa1-\xff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2026\u2030\u2039\u203a\u20ac\u2122\x80-\xad]{4,}")
@@ -173,6 +184,13 @@ _MIXED, _CYRILLIC = _reread(MIXED), _reread(CYRILLIC)
 _PART = re.compile(r".+?(?:[.!?]+(?=\s|\Z)|\n|\Z)", re.S)
 # Within words: a capital beyond ASCII after a small letter, or a symbol between letters that no text has there.
 _ODD = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])[\xc0-\xd6\xd8-\xde\u0178\u0152\u0131]|(?<=[^\W\d_])[^\w\s\x00-\x7f\xad\xb7\xb0\xb2\xb3\xb9\xb5\u0300-\u036f\u2010-\u201d\u200b-\u200f\u2026\u2032\u2033\u2060-\u206f\ufe00-\ufe0f\ufeff\U0001f000-\U0001faff](?=[^\W\d_])|[\x80-\x9f]")
+# A superset of all that repair() finds, for the JVM: what _ODD matches (letters there are of an older Unicode, so unassigned
+# characters count as such), two adjacent characters beyond ASCII as all misread multibyte text has, Cyrillic, U+FFFD.
+_MAYBE = (
+    r"[^\x00-\x7f]{2}|\x{fffd}|[\x80-\x9f\x{400}-\x{45f}]|[a-z][\x{c0}-\x{d6}\x{d8}-\x{de}\x{178}\x{152}\x{131}]"
+    r"|[\p{L}\p{N}\p{Cn}][^\p{L}\p{N}\x00-\x7f\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{ad}\x{b7}\x{b0}\x{b5}"
+    r"\x{300}-\x{36f}\x{2010}-\x{201d}\x{200b}-\x{200f}\x{2026}\x{2032}\x{2033}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}\x{1f000}-\x{1faff}][\p{L}\p{N}\p{Cn}]"
+)
 _CYR = re.compile("[\u0400-\u045f\u0490\u0491\u2018-\u203a\u2116\u20ac\x80-\xbf\u2500-\u25ff]+(?:[\\s,;:-]+[\u0400-\u045f\u0490\u0491\u2018-\u203a\u2116\u20ac\x80-\xbf\u2500-\u25ff]+)*")
 _FREQUENT = frozenset("\u043e\u0435\u0430\u0438\u043d\u0442\u0441\u0440\u0432\u043b")  # the ten commonest Russian letters
 
@@ -256,14 +274,16 @@ def repair(text: str) -> tuple[str, int, bool] | None:
 def restored(docs: DataFrame, id: str, text: str) -> DataFrame:
     """Garbled records only: (id, restored, rounds, restorable).
 
-    A filter in the JVM passes on only texts with two adjacent characters beyond ASCII or U+FFFD, since any misread
-    multibyte sequence has them; the repair runs on those in Arrow batches. No shuffle.
+    A filter in the JVM (_MAYBE) passes on only texts that hold anything the repair looks for; the repair runs on those in
+    Arrow batches. No shuffle.
     """
-    maybe = docs.filter(F.col(text).rlike(r"[^\x00-\x7f]{2}|\x{fffd}|[a-z]\x{201e}|[a-z][\x{c0}-\x{de}]|[a-z][\x{2c6}\x{2dc}\x{af}-\x{bf}\x{2030}\x{2d8}-\x{2db}\x{fb01}\x{fb02}][a-z]")).select(F.col(id).alias("id"), F.col(text).alias("text"))
+    maybe = docs.filter(F.col(text).rlike(_MAYBE)).select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def run(frames):
         for f in frames:
             rows = [(i, *r) for i, t in zip(f["id"], f["text"]) if (r := repair(t)) is not None]
+            if not rows:  # an empty column has no strings to tell its type by
+                continue
             yield pd.DataFrame({"id": [r[0] for r in rows], "restored": [r[1] for r in rows], "rounds": [r[2] for r in rows], "restorable": [not r[3] for r in rows]}).astype({"rounds": "int32", "restorable": "bool"})
 
     kind = dict(docs.dtypes)[id]

@@ -147,6 +147,28 @@ def test_lost_text_is_found_but_not_restorable(spark):
     assert encoding.restored(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
 
 
+def test_filter_passes_on_all_that_repair_finds(spark):
+    es = "La información física según el año, la producción y la región."
+    fr = "Aucun effet n’a été observé où la température était déjà réduite après l’été."
+    texts = [es.encode("cp437").decode("cp1252"), es.encode("cp850").decode("latin-1"), es.encode("cp1252").decode("cp437"), fr.encode("cp1252").decode("cp850", "replace"), "one\x85two three\x92s four", *SOUND]
+    texts += ["Intro. " + t.encode().decode("latin-1") for t in (es, fr, "это", "हिन्दी")]
+    want = {i for i, t in enumerate(texts) if encoding.repair(t) is not None}
+    got = {r["doc_id"]: r["restored"] for r in encoding.restored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert set(got) == want and {0, 1, 2} <= want and got[0] == got[1] == got[2] == es
+
+
+@pytest.mark.parametrize("page", ["cp1252", "latin-1", "mac_roman", "cp437"])
+@pytest.mark.parametrize("text", ["हिन्दी में यह लेख है", "ภาษาไทยเป็นภาษา", "فارسی زبان پژوهش", "მეცნიერება და ენა", "Հայերեն լեզուն"])
+def test_rarer_scripts(text, page):
+    bad = "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in text.encode())
+    assert encoding.repair("Intro. " + bad)[:2] == ("Intro. " + text, 1)
+
+
+@pytest.mark.parametrize("text", ["LE CAFÉ’S, «\u202fVOILÀ\xa0»", "voilà\xa0» et là\xa0«", "GRÜß” und Ü’s"])
+def test_capitals_before_quotation_marks_stay(text):
+    assert encoding.repair(text) is None
+
+
 TARGETS = "source string, target_share double, max_repeats int"
 RECORDS = "id bigint, source string, question string, options array<string>, n int, p int"
 
