@@ -77,7 +77,7 @@ def block_keys(offsets: np.ndarray, values: np.ndarray, common: np.ndarray, rank
         ids = np.nonzero((rare == r) & (size == s))[0]
         cols = values[offsets[ids][:, None] + np.arange(s)]
         partners = [x for x in most if x >= math.ceil(round(t * s, 9)) and s >= math.ceil(round(t * x, 9))]
-        if s <= math.floor((TINY + 1) / t) or s > math.ceil(t * LONG):
+        if s <= math.floor((TINY + 1) / t) or s >= math.ceil(round(t * (LONG + 1), 9)):
             least = min((shared_members(s, x, t) for x in partners), default=s)
             emit(ids, cols, [(k,) for k in range(min(s, s - least + 1))], 1)
         if TINY < s <= LONG:

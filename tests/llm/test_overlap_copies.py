@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,22 @@ def test_pairs_match_brute_force(spark):
     assert got == want and (902, 903) in got
 
 
+@pytest.mark.parametrize("t", [0.6, 0.8])
+def test_contained_sets_of_all_sizes_share_a_block(t):
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    values = np.random.default_rng(3).integers(1, 1 << 62, 130).astype(np.int64)
+    for large in range(2, 131):
+        small = math.ceil(round(t * large, 9))
+        rows, keys = similar.block_keys(np.array([0, large, large + small]), np.concatenate([values[:large], values[large - small : large]]), *none, {large: 0, small: 0}, t)
+        assert set(keys[rows == 0]) & set(keys[rows == 1]), (small, large)
+
+
+def test_a_question_of_39_words_in_one_of_65(spark):
+    vocabulary = [f"word{i}" for i in range(65)]
+    members, pairs = overlap.overlaps(items(spark, [(1, " ".join(vocabulary), "train", "a"), (2, " ".join(vocabulary[:39]), "test", "a")]))
+    assert members.count() == 2 and pairs.count() == 1
+
+
 def test_no_items(spark):
     members, pairs = overlap.overlaps(items(spark, []))
     assert members.count() == 0 and pairs.count() == 0
