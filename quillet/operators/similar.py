@@ -1,13 +1,13 @@
-"""Exact similarity join of sets: bit fingerprints, blocks of their codes, verification.
+"""Exact similarity join of sets: word-signature prefix filter, bit fingerprints as a filter, verification.
 
 Every set has a fingerprint in which each member flips one bit, so two fingerprints differ in at most as many bits as the
-sets differ in members. Sets are joined on blocks of their codes, compared within the Hamming radius that the wanted
-Jaccard similarity t allows, then verified.
+sets differ in members. Sets are joined on signatures of their members; the fingerprints only drop pairs outside the Hamming radius that the
+wanted Jaccard similarity t allows, and the rest is verified.
 
 Blocks: with at least t = 60 % of all members in common, two sets of 22 may differ in 10. Cut evenly into segments, a code
 of that radius has segments without any telling member, and most sets that share their frequent members would meet. So
-the code is permuted by corpus frequency, and its blocks are pairs and triples of members, as many as the pigeonhole
-principle demands. That loses no pair: two sets share at least c = ceil(t/(1+t) (s+s')) members, and
+no block of the code is joined: the join keys, called blocks, are hashes of pairs and triples of members in order of corpus
+frequency, as many as the pigeonhole principle demands. That loses no pair: two sets share at least c = ceil(t/(1+t) (s+s')) members, and
 - either two of them are rare (in at most one of 1,000 sets each): pairs of rare members meet;
 - or one is rare and c-1 of the n others are shared, so one of the first n-(c-1)+1 others, in one order: it meets with it;
 - or none is rare and c of the others are shared, so three are among the first n-c+3.
