@@ -85,3 +85,21 @@ def test_softmax_and_ranking(spark):
     df = spark.createDataFrame([([1000.0, 1000.0], ["b", "a"])], "l array<double>, k array<string>")
     r = df.select(scores.softmax(F.col("l")).alias("p"), F.element_at(scores.ranked(F.col("l"), F.col("k")), 1)["key"].alias("best"), scores.concentration(scores.softmax(F.col("l"))).alias("c")).first()
     assert r["p"] == [0.5, 0.5] and r["best"] == "a" and r["c"] == 0.0
+
+
+def test_registered_bootstrap_draws_2000_replicates(spark, monkeypatch):
+    import inspect
+
+    from quillet.plans import queries
+
+    real, drawn = metrics.paired_bootstrap, []
+
+    def seen(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        drawn.append(bound.arguments["samples"])
+
+    monkeypatch.setattr(queries.metrics, "paired_bootstrap", seen)
+    monkeypatch.setattr(queries, "predictions", lambda *_: preds(spark, [[0.8, 0.2]], [0]).selectExpr("*", "cast(null as string) as split_group"))
+    queries.a30(spark, "")
+    assert drawn == [2000]
