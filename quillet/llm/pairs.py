@@ -251,7 +251,11 @@ LEAST = 10  # and in at least so many
 
 
 def frequent_words(records: DataFrame) -> list[str]:
-    """Words that at least FREQUENT of all responses hold: a list bounded by (mean words of a response) / FREQUENT."""
+    """Words that at least FREQUENT of all responses hold: a list bounded by (mean words of a response) / FREQUENT.
+
+    And at least LEAST responses: below LEAST / FREQUENT = 5,000 responses this rules, so a larger share is demanded, fewer
+    words complete a cut word, and more truncated responses are missed than on large tables.
+    """
     t = F.regexp_replace(F.lower("a"), r"\p{Cf}+", "")
     words = records.select(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).filter("size(w) > 0")
     n = words.count()
