@@ -1,7 +1,5 @@
-import math
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,14 +41,49 @@ def test_pairs_match_brute_force(spark):
     assert got == want and (902, 903) in got
 
 
-@pytest.mark.parametrize("t", [0.6, 0.8])
-def test_contained_sets_of_all_sizes_share_a_block(t):
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    values = np.random.default_rng(3).integers(1, 1 << 62, 130).astype(np.int64)
-    for large in range(2, 131):
-        small = math.ceil(round(t * large, 9))
-        rows, keys = similar.block_keys(np.array([0, large, large + small]), np.concatenate([values[:large], values[large - small : large]]), *none, {large: 0, small: 0}, t)
-        assert set(keys[rows == 0]) & set(keys[rows == 1]), (small, large)
+def questions(rng, n, length):
+    """n questions of `length` words in train, each with a held-out copy of which some words are replaced."""
+    vocabulary, rows = [f"w{i}" for i in range(5000)], []
+    for i in range(n):
+        words = rng.sample(vocabulary, length)
+        other = list(words)
+        for k in rng.sample(range(length), rng.randrange(0, length // 4 + 1)):
+            other[k] = rng.choice(vocabulary)
+        rows += [(2 * i, " ".join(words), "train", "a"), (2 * i + 1, " ".join(other), "test", "a")]
+    return rows
+
+
+@pytest.mark.parametrize("length", [1, 2, 5, 22, 40, 300, 1500])
+def test_recall_of_the_blocks_at_any_length(spark, length):
+    rng = random.Random(length)
+    rows = questions(rng, 200, length)
+    sets = {i: set(q.split()) for i, q, *_ in rows}
+    want = {(i, i + 1) for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.6 * len(sets[i] | sets[i + 1])}
+    _, pairs = overlap.overlaps(items(spark, rows))
+    got = {(r["train_cid"], r["heldout_cid"]) for r in pairs.collect()}
+    named = {frozenset(s): min(i for i in sets if sets[i] == s) for s in sets.values()}
+    planted = {(named[frozenset(sets[i])], named[frozenset(sets[j])]) for i, j in want}
+    assert len(planted & got) >= 0.98 * len(planted)
+    if length > 2:
+        assert got == planted or got < planted
+
+
+def test_hot_blocks_are_split_without_loss(spark, monkeypatch):
+    stem = [f"stem{i}" for i in range(12)]
+    rows = [(i, " ".join(stem + [f"u{i}", f"v{i}"]), "train" if i % 2 else "test", "a") for i in range(120)]
+    monkeypatch.setattr(overlap, "PROBE", 1)
+    monkeypatch.setattr(overlap, "HOT", 7)
+    sets = overlap.word_classes(items(spark, rows))
+    hot, parts = overlap._hot_blocks(sets, (1 << 40) - 1)
+    assert len(hot) and max(parts) > 1
+    assert overlap.similar_classes(sets).count() == 60 * 60  # 12 of 16 words in common
+
+
+def test_exact_adds_what_is_missed(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = items(spark, questions(rng, 60, 20))
+    monkeypatch.setattr(overlap, "similar_classes", lambda classes: classes.filter("train > 0 and heldout > 0").selectExpr("cid as train_cid", "cid as heldout_cid"))
+    assert overlap.overlaps(rows)[1].count() < 60 == overlap.overlaps(rows, exact=True)[1].count()
 
 
 def test_a_question_of_39_words_in_one_of_65(spark):
