@@ -84,7 +84,52 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
     d = spark.createDataFrame([(i, "x " + t) for i, t in items], "doc_id bigint, text string")
     monkeypatch.setattr(leaks, "BLOCK_CHARS", 800)
     got = {tuple(r)[:2] for r in leaks.leaks(d, b, "doc_id", "item_id").collect()}
-    assert got == {(i, i) for i in range(12)} and len(leaks.blocks(b, "item_id", "text")) > 3
+    assert got == {(i, i) for i in range(12)}
+
+
+@pytest.mark.parametrize("inserted", [5, 10, 14, 25, 40, 60])
+@pytest.mark.parametrize("replaced", [0, 2])
+def test_passages_across_inserted_text(inserted, replaced):
+    rng = random.Random(inserted + replaced)
+    items = [item(rng, 70) for _ in range(15)]
+    index = leaks.build_index([(i, " ".join(w)) for i, w in enumerate(items)])
+    strange = [f"{a}{b}" for a in ("quib", "zorp", "flan", "whim") for b in ("ble", "ter", "dock", "sy", "gan")]
+    for i, w in enumerate(items):
+        at, cut = rng.randrange(0, 45), rng.randrange(3, 22)
+        words = w[at : at + 24]
+        for k in (6, 17)[:replaced]:
+            words[k] = "replacement"
+        between = [rng.choice(strange) for _ in range(inserted)]
+        for middle in (between, ["(see", *between, "2011)"], ["<a", 'title="', *between, '">']):
+            text = " ".join(["so", "it", "is", *words[:cut], *middle, *words[cut:], "and", "so", "on"])
+            assert {n for _, n, _ in leaks.scan([text], index)} == {i}, (at, cut)
+
+
+def test_inserted_text_does_not_make_short_passages_long():
+    rng = random.Random(3)
+    items = [item(rng, 70) for _ in range(15)]
+    index = leaks.build_index([(i, " ".join(w)) for i, w in enumerate(items)])
+    for w in items:
+        a, b = w[10:28], w[28:30]  # 18 words, and the next two elsewhere
+        for text in (a + ["filler"] * 80 + b, b + ["filler"] * 80 + a, w[10:20] + ["x"] * 9 + w[40:50], w[30:40] + w[10:20], a):
+            assert not leaks.scan([" ".join(text)], index)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_longest_matches_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    there = rng.random(60) < 0.9 + 0.01 * seed
+    want = max((j - i + 1 for i in range(60) for j in range(i + 19, 60) if there[i] and there[j] and 10 * int((~there[i : j + 1]).sum()) <= j - i + 1), default=0)
+    assert leaks.longest(there) == want
+
+
+def test_repeated_passages_and_words():
+    rng = random.Random(5)
+    w = item(rng, 40)
+    index = leaks.build_index([(0, " ".join(w)), (1, " ".join(["same"] * 50))])
+    assert {n for _, n, _ in leaks.scan([" ".join((w[:15] + ["other"]) * 400)], index)} == set()
+    assert {n for _, n, _ in leaks.scan([" ".join(w[:15] * 300 + w)], index)} == {0}
+    assert {n for _, n, _ in leaks.scan([" ".join(["same"] * 300)], index)} == {1}
 
 
 def test_items_of_common_words_only_keep_all_qgrams():
