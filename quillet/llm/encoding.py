@@ -1,9 +1,12 @@
 """Problem 9: garbled text from wrong character encoding.
 
 Characters are mapped back to the bytes of a legacy code page; an automaton over byte classes finds the maximal spans of
-well-formed multibyte UTF-8 in them, and those spans only are decoded. Rounds repeat until nothing is found, so doubly
-encoded text is restored too. Two more automata cover single-byte and double-byte text read as Western: runs of Western
-letters that are Cyrillic or Chinese in their own code page. U+FFFD marks text that is lost and can't be restored.
+well-formed multibyte UTF-8 in them, and those spans only are decoded. Rounds repeat until nothing is found, so text that
+was encoded many times is restored too. A second structure, the byte pairs of GBK, is looked for in the same way.
+
+Mistakes between single-byte pages leave no byte structure. As they count too, they are told beside the automaton, and only
+by a whole passage: by letter case and odd symbols within words, or by several Cyrillic words of usual letters; a lone run
+of accented letters is sound text. U+FFFD marks text that is lost and can't be restored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ WORDY = {"cp1251": 2, "koi8_r": 3, "cp866": 3, "cp1250": 2, "cp850": 2}
 MIXED = (("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("western", "mac_roman"), ("western", "cp437"), ("western", "cp850"))
 #: The same for Cyrillic, told by letter case and frequency.
 CYRILLIC = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1251", "mac_cyrillic"), ("cp1251", "iso8859_5"))
-ROUNDS = 4
 WELL_FORMED = 0.75  # of a run of characters that the page has beyond ASCII
 
 
@@ -139,45 +141,79 @@ def utf8_spans(points: np.ndarray, page: str) -> list[tuple[int, int, str]]:
 
 
 _RUN = re.compile("[\xa1-\xff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2026\u2030\u2039\u203a\u20ac\u2122\x80-\xad]{4,}")
+PAIRS = 6  # byte pairs that a text needs to be Chinese, in all its runs
+USUAL_PAIRS = 0.8  # of them are common characters: punctuation and the first level of the character set (rows 16 to 55)
+CYRILLIC_WORDS, CYRILLIC_LETTERS = 3, 15  # that a text needs to be Cyrillic read as Western
 
 
-def _legacy_run(run: str) -> str | None:
-    """A run of Western characters read in the code page it comes from: Chinese (GBK) or Cyrillic; None if neither."""
+def _western_bytes(run: str) -> bytes:
     western = _TABLES["western"]
-    data = bytes(int(western[ord(c)]) if ord(c) > 127 else ord(c) for c in run)
-    letters = sum(b >= 0xC0 or b in (0xA8, 0xB8) for b in data)
-    if letters == len(data) and len(data) >= 4:
-        name = "koi8_r" if sum(0xC0 <= b < 0xE0 for b in data[1:]) > 0.6 * (len(data) - 1) else "cp1251"
-        return data.decode(name)
-    for cut in (data, data[1:], data[:-1]):
+    return bytes(int(western[ord(c)]) if ord(c) > 127 else ord(c) for c in run)
+
+
+def _byte_pairs(run: str) -> tuple[str, int, int] | None:
+    """A run of Western characters as byte pairs: (text, pairs, common pairs); None if they are no pairs of GBK. A byte before
+    or after the pairs stays as it is."""
+    data = _western_bytes(run)
+    tried = []
+    for lo, hi in ((0, len(data)), (1, len(data)), (0, len(data) - 1)):
+        if (hi - lo) % 2:
+            continue
         try:
-            text = cut.decode("gbk")
+            text = data[lo:hi].decode("gbk")
         except UnicodeDecodeError:
             continue
-        if len(text) >= 2 and all(0x4E00 <= ord(c) < 0xA000 or 0x3000 <= ord(c) < 0x3040 or 0xFF00 <= ord(c) < 0xFFEF or ord(c) in (0x201C, 0x201D, 0x2014, 0x2026, 0xB7) for c in text):
-            return text
-    return None
+        leads = data[lo:hi:2]
+        common = sum(0xB0 <= x <= 0xD7 or 0xA1 <= x <= 0xA3 for x in leads)
+        tried.append((common, len(leads), run[:lo] + text + run[hi:]))
+    if not tried:
+        return None
+    common, n, text = max(tried)
+    return text, n, common
 
 
-def _cyrillic_words(text: str) -> str | None:
-    """Single-byte Cyrillic read as Western: repaired once some word has four Western letters and nothing else."""
-    found = False
+def _double_byte(text: str) -> str | None:
+    """Chinese read as Western: decoded where most pairs of all runs are common characters, their bytes are not letters only
+    (as in words of accented letters) and they are no UTF-8."""
+    runs = [(m, _byte_pairs(m.group())) for m in _RUN.finditer(text)]
+    read = [(m, r) for m, r in runs if r is not None]
+    pairs, common = sum(r[1] for _, r in read), sum(r[2] for _, r in read)
+    if pairs < PAIRS or common < USUAL_PAIRS * pairs:
+        return None
+    data = b"".join(_western_bytes(m.group()) for m, _ in read)
+    if sum(x < 0xC0 for x in data) * 10 < len(data):
+        return None
+    points = np.frombuffer("\n".join(m.group() for m, _ in read).encode("utf-32-le"), np.uint32)
+    if sum(b - a for a, b, _ in utf8_spans(points, "western")) >= WELL_FORMED * len(data):
+        return None
+    parts, at = [], 0
+    for m, r in read:
+        if 2 * r[2] >= r[1]:
+            parts += [text[at : m.start()], r[0]]
+            at = m.end()
+    return "".join(parts) + text[at:]
 
-    def one(m: re.Match) -> str:
-        nonlocal found
-        new = _legacy_run(m.group())
-        if new is None:
-            return m.group()
-        found = True
-        return new
 
-    new = _RUN.sub(one, text)
-    if not found:
+_VOWELS = frozenset("\u0430\u0435\u0438\u043e\u0443\u044b\u044d\u044e\u044f\u0451")
+_LETTER_RUN = re.compile("(?<![A-Za-z])[\xc0-\xff\xa8\xb8]+(?![A-Za-z])")
+
+
+def _cyrillic_words(text: str) -> str | None:
+    """Single-byte Cyrillic read as Western: CYRILLIC_WORDS different words of Western letters beyond ASCII only, which in one
+    page have the case and the vowels of words and mostly the commonest letters. Short words follow the long ones."""
+    words = {w for w in _LETTER_RUN.findall(text) if len(w) >= 4}
+    if len(words) < CYRILLIC_WORDS or sum(map(len, words)) < CYRILLIC_LETTERS:
         return None
-    if re.search("[\u0430-\u044f]", new) and not re.search("[\u4e00-\u9fff]", new):
-        # short words of the same passages
-        new = re.sub("(?<![A-Za-z])[\xc0-\xff\xa8\xb8]{1,3}(?![A-Za-z])", lambda m: bytes(int(_TABLES["western"][ord(c)]) for c in m.group()).decode("cp1251"), new)
-    return new
+    best = None
+    for page in ("cp1251", "koi8_r"):
+        new = [_western_bytes(w).decode(page) for w in words]
+        fit = [w for w in new if (w[1:].islower() or w.isupper()) and _VOWELS & set(w.lower())]
+        score = _usual("".join(w.lower() for w in new))
+        if len(fit) >= 0.9 * len(new) and score >= 0.5 and (best is None or score > best[0]):
+            best = score, page
+    if best is None:
+        return None
+    return _LETTER_RUN.sub(lambda m: _western_bytes(m.group()).decode(best[1]), text)
 
 
 _MIXED, _CYRILLIC = _reread(MIXED), _reread(CYRILLIC)
@@ -245,7 +281,10 @@ def repair(text: str) -> tuple[str, int, bool] | None:
     if not text:
         return None
     now, rounds = text, 0
-    for _ in range(ROUNDS):
+    while True:  # each round leaves fewer characters
+        if (new := _double_byte(now)) is not None:
+            now, rounds = new, rounds + 1
+            continue
         points = np.frombuffer(now.encode("utf-32-le", "surrogatepass"), np.uint32)
         best: list[tuple[int, int, str]] = []
         gain = 0

@@ -168,7 +168,7 @@ def test_utf8_read_with_a_legacy_page(text, page):
 
 def test_twice_and_thrice():
     text = "Die Häufigkeit könnte größer sein — naïve"
-    for n in (2, 3):
+    for n in (2, 3, 5, 7):
         bad = text
         for _ in range(n):
             bad = bad.encode().decode("latin-1")
@@ -181,8 +181,9 @@ def test_single_byte_mistakes():
     assert encoding.repair(ru.encode("koi8_r").decode("cp1251"))[0] == ru
     fr = "Aucun effet n’a été observé où la température était déjà réduite après l’été."
     assert encoding.repair(fr.encode("cp1252").decode("mac_roman"))[0] == fr
-    zh = "我们测量了密度和细胞群，结果与此无关。"
-    assert encoding.repair(zh.encode("gbk").decode("latin-1"))[0] == zh
+    for zh in ("我们测量了密度和细胞群，结果与此无关。", "实验表明gliortene的沉积物在46.6度时保持微弱。因此，样品并不取决于vrioon，而是由细胞群决定。"):
+        assert encoding.repair(zh.encode("gbk").decode("latin-1")) == (zh, 1, False)
+        assert encoding.repair("Résumé à côté : " + zh.encode("gbk").decode("cp1252", "replace").replace("\ufffd", "?"))[1] >= 1
 
 
 def test_lost_text_is_found_but_not_restorable(spark):
