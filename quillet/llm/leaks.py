@@ -2,7 +2,7 @@
 
 Texts are compared as their letters and digits only. Blocks of held-out items of proven size are broadcast, and the
 executors index the character q-grams of a block. By the q-gram lemma a passage within the edit budget keeps a number of
-q-grams, less Q - 1 for each place where something was inserted; pairs of document and item that share fewer are dropped.
+q-grams, less Q - 1 for each of up to INSERTED places where something was inserted; pairs of document and item that share fewer are dropped.
 The rest is verified: shared stretches on one diagonal are chained in the order of both texts, so the band may jump (gaps
 in the document are free, gaps in the item cost), what lies between and beyond them is aligned within the band, and
 replaced words are counted.
@@ -33,11 +33,13 @@ WORDS = 20  # least words of a passage
 REPLACED = 10  # at most one word in so many may be replaced
 BAND = 48  # a diagonal that moves by more between two stretches jumps over inserted text
 FAR_WORDS = 3  # whole words that both sides of a jump need
+INSERTED = 3  # insertions that WORDS words may hold besides marks and what is in brackets
 TRIM = 4  # letters at either end of a stretch that may agree by chance
 GAP = 400  # letters of an item without any Q intact ones: more hold too many replaced words to be bridged
 END = 250  # the same beyond the first and the last stretch
 SLACK = 64  # letters by which replaced words may lengthen such a part
 MANY = 8  # a q-gram of more items than this is left out of the index, unless an item can't do without
+ENOUGH = 6  # q-grams of few items that any passage of an item must have left, so that those alone do
 BLOCK_CHARS = 4_000_000  # characters of items per broadcast block; its index takes about 24 bytes each
 PORTION = 600_000  # characters of documents that are worked on at once, or one text
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +123,7 @@ class Index:
     bits: np.ndarray
     least: np.ndarray  # hits that a passage of each item surely has
     whole: np.ndarray  # the same if all its q-grams counted
+    window: np.ndarray  # q-grams of its longest WORDS words
     own: dict = field(default_factory=dict)  # all q-grams of items looked at so far, sorted
 
 
@@ -147,27 +150,30 @@ def build_index(rows: list[tuple]) -> Index:
         at.append(np.arange(len(g), dtype=np.int32))
     if not ids:
         z = np.zeros(0, np.int32)
-        return Index([], [], [], [], np.zeros(0, np.uint64), z, z, np.zeros(1 << 22, bool), z, z)
+        return Index([], [], [], [], np.zeros(0, np.uint64), z, z, np.zeros(1 << 22, bool), z, z, z)
     g, it, p = np.concatenate(grams), np.concatenate(item), np.concatenate(at)
     _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
     rare = count[inverse] <= MANY
+    window = np.zeros(len(text), np.int64)
     least, whole = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     keep = np.zeros(len(g), bool)
     lo = 0
     for k, x in enumerate(grams):
         sel = slice(lo, lo + len(x))
         least[k], whole[k] = _surely(word[k], rare[sel]), max(1, _surely(word[k], np.ones(len(x), bool)))
-        if least[k] >= 6:
+        if least[k] >= ENOUGH:
             keep[sel] = rare[sel]
         else:  # too few rare q-grams: this item keeps them all
             keep[sel] = True
             least[k] = whole[k]
+        begins = np.concatenate([np.searchsorted(word[k], np.arange(int(word[k][-1]) + 1)), [len(word[k])]])
+        window[k] = max(1, int((begins[WORDS:] - begins[:-WORDS]).max()) - Q + 1)
         lo += len(x)
     order = np.argsort(g[keep], kind="stable")
     g, it, p = g[keep][order], it[keep][order], p[keep][order]
     bits = np.zeros(1 << 22, bool)
     bits[(g >> np.uint64(42)).astype(np.int64)] = True
-    return Index(ids, row, text, word, g, it, p, bits, least, whole)
+    return Index(ids, row, text, word, g, it, p, bits, least, whole, window)
 
 
 def _words(text: str) -> list[str]:
@@ -412,16 +418,23 @@ def _passages(texts: list[str], index: Index) -> list[tuple[int, int, int]]:
     inside = pos + Q <= ends[doc]
     entry, doc = entry[inside], doc[inside]
     item, at = index.item[entry].astype(np.int64), index.at[entry].astype(np.int64)
-    # places of the item that the document holds: their number, and in how many runs they are
-    place = np.unique(np.stack([doc, item, at], 1), axis=0)
-    fresh = np.concatenate([[True], np.any(np.diff(place[:, :2], axis=0) != 0, axis=1)])
-    apart = fresh | np.concatenate([[True], np.diff(place[:, 2]) != 1])
-    group = np.cumsum(fresh) - 1
-    held, runs = np.bincount(group), np.bincount(group, weights=apart).astype(np.int64)
-    pairs = place[fresh][:, :2]
+    # places of the item that the document holds
+    if not len(at):
+        return []
+    long = int(at.max()) + int(index.window.max()) + 2
+    place = np.unique((doc * len(index.text) + item) * long + at)
+    pair = place // long
+    fresh = np.concatenate([[True], np.diff(pair) != 0])
+    apart = np.concatenate([[True], np.diff(place) != 1])  # the last letters of a pair's item are no place, so pairs are apart
+    # the most places within the letters of WORDS words of the item
+    near = np.searchsorted(place, place + index.window[pair % len(index.text)]) - np.arange(len(place))
+    held = np.maximum.reduceat(near, np.nonzero(fresh)[0])
+    runs = np.bincount(np.cumsum(fresh) - 1, weights=apart).astype(np.int64)
+    pairs = np.stack([pair[fresh] // len(index.text), pair[fresh] % len(index.text)], 1)
     begin = ends - sizes
     out = []
-    for d, i in pairs[held + (Q - 1) * (runs - 1) >= index.least[pairs[:, 1]]]:
+    hits = pairs[held + (Q - 1) * np.minimum(runs - 1, INSERTED) >= index.least[pairs[:, 1]]]
+    for d, i in hits:
         text = x[begin[d] : ends[d]]
         words = _best(index, int(i), text, g[begin[d] : max(begin[d], ends[d] - Q + 1)])
         if words:
@@ -434,16 +447,21 @@ def _best(index: Index, i: int, doc: np.ndarray, grams: np.ndarray) -> int:
     if i not in index.own:
         own = qgrams(index.text[i])
         order = np.argsort(own, kind="stable")
-        index.own[i] = own[order], order
-    own, order = index.own[i]
-    lo, hi = np.searchsorted(own, grams, "left"), np.searchsorted(own, grams, "right")
-    pos = np.repeat(np.arange(len(grams)), hi - lo)
+        bits = np.zeros(1 << 14, bool)
+        bits[(own >> np.uint64(50)).astype(np.int64)] = True
+        index.own[i] = own[order], order, bits
+    own, order, bits = index.own[i]
+    maybe = np.nonzero(bits[(grams >> np.uint64(50)).astype(np.int64)])[0]
+    lo, hi = np.searchsorted(own, grams[maybe], "left"), np.searchsorted(own, grams[maybe], "right")
+    pos = np.repeat(maybe, hi - lo)
     step = np.arange(len(pos)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
     at = order[np.repeat(lo, hi - lo) + step]
+    if len(at) + (Q - 1) * INSERTED < index.whole[i]:
+        return 0
     best = 0
     for chain in chains(stretches(at, pos), len(index.text[i])):
         held = sum(b - a - Q + 1 for a, b, _ in chain)
-        if held + (Q - 1) * (len(chain) - 1) >= index.whole[i]:
+        if held + (Q - 1) * min(len(chain) - 1, INSERTED) >= index.whole[i]:
             best = max(best, verified(index.text[i], index.word[i], doc, chain))
     return best
 
