@@ -7,7 +7,6 @@ last word that is cut short is told from the words of question, passage and all
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 
@@ -16,18 +15,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Phrases by which a responder declines, lower case, with plain apostrophes.
-REFUSALS = """
-i cannot|i can't|i can not|i am unable|i'm unable|i am not able|i'm not able|i won't|i will not|i must decline|i have to decline
-i decline|i'd rather not|i would rather not|i prefer not|i am not comfortable|i'm not comfortable|i do not have enough|i don't have enough
-i lack|i do not know|i don't know|i'm sorry|i am sorry|i apologi|my apologies|apologies, but|sorry, but|sorry, i|sorry, no|possible for me|can be given by me
-as a language assistant|as a language model|as an ai|as an assistant|help with that request|help with this request
-lo siento|no puedo|no me es posible|prefiero no|me es imposible|me resulta imposible|no tengo información|como asistente|no tengo suficiente|no dispongo|me faltan|no estoy en condiciones|me temo que no|debo declinar|no deseo
-je suis désolé|désolé|je ne peux|je préfère ne|m'est impossible|je ne dispose|je n'ai pas|en tant qu'assistant|ne m'est pas possible|je ne suis pas|je regrette|je ne souhaite|il me manque|je dois décliner
-leider kann ich|kann ich nicht|als assistent|mir fehlen|mir fehlt|möchte ich keine|möchte ich nicht|darf ich|tut mir leid|mir nicht möglich|mir unmöglich|mir leider nicht|ich kann|ich darf|ich möchte|muss ich ablehnen|ich bedaure|habe ich nicht
-desculpe|desculpa|não posso|não me é possível|é-me impossível|me é impossível|não disponho|prefiro não|como assistente|não tenho|lamento|faltam-me|me faltam|não consigo|devo recusar|sinto muito
-извините|я не могу|к сожалению, я|抱歉|我无法|我不能
-"""
+# What a refusal is made of, in plain lower case with plain apostrophes; | is the beginning of a clause.
+# own: the responder speaks of itself; not: it can't, won't or lacks what it needs; act: answering. own-not is both.
+CLUES = {
+    "own-not": """
+| i cannot;| i can't;| i can not;| i could not;| i couldn't;| i won't;| i will not;| i don't;| i do not;| i decline;| i lack;| i must decline;| i have to decline
+| i am unable;| i'm unable;| i am not;| i'm not;| i'd rather not;| i would rather not;| i prefer not;| i'd prefer not;| i refuse;| i have no;| i wouldn't
+no puedo;no me es posible;prefiero no;me es imposible;me resulta imposible;no tengo;no dispongo;me faltan;me falta;no estoy en condiciones;me temo que no;debo declinar;no deseo;no quiero;debo negarme
+je ne peux;je préfère ne;je n'ai pas;je ne dispose;m'est impossible;ne m'est pas possible;je ne suis pas;je ne souhaite;il me manque;je dois décliner;je refuse;je ne saurais;je préférerais ne
+não posso;não me é possível;é-me impossível;me é impossível;não disponho;prefiro não;não tenho;faltam-me;me faltam;não consigo;devo recusar;não desejo;não quero
+mir fehlen;mir fehlt;ich bedaure
+""",
+    "own": "for me;by me;ich;mir",
+    "not": "not;no;cannot;impossible;unable;nicht;kein;keine;keinen;keinerlei;ablehnen;unmöglich",
+    "act": """
+answer;answers;answering;respond;responding;response;reply;replying;comment;help;assist;request;question;information;advise;say
+responder;responderla;responderlo;contestar;contestarla;respuesta;pregunta;ayudar;opinar;información;comentar
+répondre;réponse;question;aider;demande;renseigner
+antworten;beantworten;antwort;frage;auskunft;helfen;anfrage;äußern
+resposta;pergunta;ajudar;informação;informações
+""",
+    "role": "| a language assistant |;| a language model |;| an ai |;| an ai model |;| an assistant |;| an ai assistant |;| como asistente;| en tant qu'assistant;| als assistent;| como assistente",
+    "sorry": "| i'm sorry;| i am sorry;| i apologize;| i apologise;| sorry |;| my apologies;| apologies |;| lo siento;| désolé;| je suis désolé;| desculpe;| desculpa;| sinto muito;| lamento |;| es tut mir leid;| tut mir leid",
+}
+# The same for scripts without the above, a denial and an act that must both be there.
+OTHER_SCRIPTS = (("не могу", ("ответить", "помочь")), ("我无法", ("回答", "提供", "帮助")), ("我不能", ("回答", "提供", "帮助")), ("抱歉", ("无法", "不能")))
 
 # Frequent words of each language; a word in several lists votes for each.
 STOPWORDS = {
@@ -70,15 +82,41 @@ def tidy(text: str) -> str:
     return " ".join(text.split())
 
 
-def _refusal_automaton() -> ahocorasick.Automaton:
+_CLAUSES = re.compile(r"[.!?;:,\u2013\u2014()\"\u201c\u201d]+| - ")
+# Words before which a clause ends.
+_CONJUNCTIONS = frozenset("but and so because as since that unfortunately regrettably therefore however".split())
+_SENTENCES = re.compile(r"(?<=[.!?])\s+")
+
+
+def refusal_automaton() -> ahocorasick.Automaton:
+    """Of all clues, each with its kind; they match whole words only."""
     a = ahocorasick.Automaton()
-    for p in REFUSALS.replace("\n", "|").split("|"):
-        if p.strip():
-            a.add_word(p.strip(), p.strip())
+    for kind, clues in CLUES.items():
+        for c in clues.replace("\n", ";").split(";"):
+            if c.strip():
+                key = f" {c.strip()} "
+                a.add_word(key, a.get(key, ()) + ((kind, key),))
     a.make_automaton()
     return a
 
 
+def refuses(low: str, automaton: ahocorasick.Automaton) -> bool:
+    """Whether a response (one line, lower case) declines to answer: some sentence denies the responder's own ability or will
+    to answer, or one apologises or speaks in a role and denies anything."""
+    said = set()
+    for sentence in _SENTENCES.split(low):
+        words = [w if w not in _CONJUNCTIONS else "|" for w in _CLAUSES.sub(" | ", sentence).split()]
+        kinds = {k for _, found in automaton.iter(f" | {' '.join(words)} | ") for k, _ in found}
+        if "own-not" in kinds:
+            kinds |= {"own", "not"}
+        if {"own", "not", "act"} <= kinds or "role" in kinds and ("not" in kinds or "act" in kinds):
+            return True
+        said |= kinds
+    if "sorry" in said and "not" in said:
+        return True
+    return any(x in low and any(y in low for y in ys) for x, ys in OTHER_SCRIPTS)
+
+
 _STOP: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in set(_words.split()):
@@ -172,6 +210,11 @@ def covered(prompt, response, least: int) -> list[bool]:
     return mark
 
 
+def _letters_of(word: str, other: str) -> bool:
+    """Whether most letters of either word lie in runs of two or more of the other's."""
+    return sum(covered(word, other, 2)) >= 0.6 * len(other) and sum(covered(other, word, 2)) >= 0.6 * len(word)
+
+
 def copied(qw: list[str], aw: list[str]) -> bool:
     """Whether the response only repeats the prompt, perhaps wrapped or slightly changed.
 
@@ -193,7 +236,7 @@ def copied(qw: list[str], aw: list[str]) -> bool:
     if sum(covered("".join(qw), letters, 3)) >= 0.6 * len(letters):
         return True
     left = [w for w, m in zip(qw, covered(aw, qw, 2)) if not m]
-    return all(any(sorted(w) == sorted(x) for x in left) or difflib.get_close_matches(w, left, 1, 0.6) for w in rest)
+    return all(any(sorted(w) == sorted(x) or _letters_of(x, w) for x in left) for w in rest)
 
 
 def open_delimiters(text: str) -> bool:
@@ -218,8 +261,7 @@ def defect(q: str | None, a: str | None, passage: str | None, common: frozenset[
         return "empty"
     ask = tidy(q or "").lower()
     aw, qw = _WORD.findall(low), _WORD.findall(ask)
-    hit = next(refusals.iter(low), None)
-    if hit is not None and not (passage and len(bare) > 20 and bare in tidy(passage).lower()):
+    if refuses(low, refusals) and not (passage and len(bare) > 20 and bare in tidy(passage).lower()):
         return "refusal"
     head, colon, tail = low.partition(":")
     if copied(qw, aw) or colon and len(head.split()) <= 6 and copied(qw, _WORD.findall(tail)):
@@ -273,7 +315,7 @@ def broken_pairs(records: DataFrame) -> DataFrame:
     common = records.sparkSession.sparkContext.broadcast(frozenset(frequent_words(records)))
 
     def run(frames):
-        refusals = _refusal_automaton()
+        refusals = refusal_automaton()
         for f in frames:
             f["defect"] = [defect(q, a, p, common.value, refusals) for q, a, p in zip(f["q"], f["a"], f["passage"])]
             yield f.loc[f["defect"].notna(), ["rec_id", "defect"]]

@@ -21,7 +21,26 @@ PASSAGE = "The aquifer of vimlan rose to 4.5 kJ after uptake with sorene because
     ],
 )
 def test_defects(a, want):
-    assert pairs.defect(Q, a, PASSAGE, frozenset({"because"}), pairs._refusal_automaton()) == want
+    assert pairs.defect(Q, a, PASSAGE, frozenset({"because"}), pairs.refusal_automaton()) == want
+
+
+@pytest.mark.parametrize(
+    "a, want",
+    [
+        *[(a, None) for a in (
+            "Fungi lack chlorophyll.", "Cocci lack flagella.", "Alkali lack protons.", "No, fungi cannot photosynthesize.", "E. coli cannot grow at 60 C.", "No.",
+            "O filamento.", "El filamento del estambre.", "Das Enzym darf ich nennen: Katalase.", "Photosystem I cannot answer for the loss.", "The authors decline to answer the question.",
+            "Ich nenne es Katalase.", "Apologies were not needed.", "It is impossible to tell them apart.", "Sorrel does not grow here.",
+        )],
+        *[(a, "refusal") for a in (
+            "Unfortunately, I must decline to answer", "I’d rather not respond to that question.", "Regarding sorene: Apologies, but I can’t determine the answer.", "Regrettably, it is not possible for me to answer this",
+            "As a language model, no answer can be given.", "Dazu möchte ich keine Auskunft geben", "Mir fehlen die Angaben, um das zu beantworten.", "Leider kann ich diese Frage nicht beantworten.", "Como asistente, prefiero no contestar.",
+            "No dispongo de datos suficientes para responder a eso.", "Je n'ai pas assez d'éléments pour répondre.", "Não tenho dados suficientes para responder a isso.", "I'm sorry — no answer can be given by me.", "我无法回答这个问题。",
+        )],
+    ],
+)
+def test_refusals_are_clauses_not_substrings(a, want):
+    assert pairs.defect(Q, a, PASSAGE, frozenset(), pairs.refusal_automaton()) in ((want,) if want else (None, "language"))
 
 
 def test_nulls_repeats_and_long_texts(spark):
