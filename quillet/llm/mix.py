@@ -1,9 +1,9 @@
 """Problem 2: mixing sources to target weights.
 
-A classifier fitted on labelled records gives each record a posterior over domains; a record that names its source is a
-certain member of it. Projected-gradient least squares then fits a rate of use per record, between 0 and the cap of its
-source, such that the expected tokens of each domain match its target. Rates become whole uses by a hash that is
-calibrated per source, so that the shares hold in fact and not only on average.
+A classifier fitted on labelled records gives every record without a source a posterior over the sources, its soft
+membership; a record that names its source is a certain member of it. Projected-gradient least squares then fits a rate
+of use per record, between 0 and the record's cap, such that the expected tokens of each source match its target. Rates
+become whole uses by a hash that is calibrated per source, so that the shares hold in fact and not only on average.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from quillet.session import cut
 
 SAMPLE = 20_000  # labelled records that the classifier is fitted on, at most; chosen by hash
 BUCKETS = 4096  # hashed words of the classifier
-CONFIDENT = 0.9  # a record without a source joins a domain only from this posterior on
 BINS = 1024  # per source, for calibrating the hash; two levels
 
 
@@ -73,8 +72,8 @@ def posteriors(records: DataFrame, domains: list[str], w: np.ndarray) -> DataFra
 def memberships(records: DataFrame, targets: list[str]) -> tuple[DataFrame, list[str]]:
     """(id, source, question, options) -> (id, source, n, m): n tokens, m membership of each target domain.
 
-    A named source is certain (an unlisted one is a member of none). A null source takes the classifier's posterior, if
-    the best domain has CONFIDENT or more; else it is a member of none.
+    A named source is certain (an unlisted one is a member of none). A null source takes the classifier's posterior,
+    whatever it is; the posterior of unlisted sources is left out. Without labelled records nulls are members of none.
     """
     words = text_words(F.col("question"), F.col("options"))
     base = records.select("id", "source", F.size(words).alias("n"), F.transform(words, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS))).alias("x"))
@@ -91,57 +90,93 @@ def memberships(records: DataFrame, targets: list[str]) -> tuple[DataFrame, list
     else:
         soft = posteriors(loose, domains, fit_classifier(sample, domains))
         of = [F.get("p", domains.index(t)) if t in domains else F.lit(0.0) for t in targets]
-        soft = soft.select("id", "source", "n", F.when(F.array_max("p") >= CONFIDENT, F.array(*of)).otherwise(F.array(*[F.lit(0.0)] * len(targets))).alias("m"))
+        soft = soft.select("id", "source", "n", F.array(*of).alias("m"))
     return sure.unionByName(soft), domains
 
 
-def fit_rates(groups: DataFrame, goal: list[float], steps: int = 60, tolerance: float = 1e-7) -> list[float]:
-    """Least squares by projected gradient: (m, cap, n) with n tokens that share membership m and cap -> multipliers u.
+TRIALS = (1.0, 0.5, 0.25, 0.1, 0.02, 0.002)  # lengths of a step, tried in one pass
+#: A step: what was missing per domain when it was made, and by how much rates grow per membership.
+Step = tuple[list[float], list[float]]
 
-    A record's rate is its membership-weighted multiplier, projected on [0, cap]. Each step is one distributed
-    aggregate of as many numbers as there are domains; the gradient is scaled by each domain's tokens.
+
+def _dot(m: Column, v) -> Column:
+    return sum((F.get(m, i) * x for i, x in enumerate(v)), F.lit(0.0))
+
+
+def _free(r: Column, m: Column, cap: Column, gap) -> Column:
+    """Whether a rate may move: not at a bound that the gradient points beyond."""
+    pull = _dot(m, gap)
+    return ~(((r <= 0) & (pull <= 0)) | ((r >= cap) & (pull >= 0)))
+
+
+def rate(m: Column, cap: Column, steps: list[Step]) -> Column:
+    """The rate after some steps, each projected on [0, cap]: told from membership and cap alone, so no rate is stored."""
+    start = F.lit(0.0)
+    if not steps:
+        return start
+    k = len(steps[0][0])
+    table = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in g]).alias("g"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for g, v in steps])
+    cap = cap.cast("double")
+
+    def move(r: Column, s: Column) -> Column:
+        v, g = [F.get(s["v"], i) for i in range(k)], [F.get(s["g"], i) for i in range(k)]
+        return F.when(_free(r, m, cap, g), F.least(F.greatest(r + _dot(m, v), F.lit(0.0)), cap)).otherwise(r)
+
+    return F.aggregate(table, start, move)
+
+
+def expected(groups: DataFrame, *ways: list[Step]) -> np.ndarray:
+    """Expected tokens per domain after each of several lists of steps, in one aggregate: (ways, domains)."""
+    k = len(ways[0][0][0])
+    tagged = groups.select("m", "n", *[rate(F.col("m"), F.col("cap"), w).alias(f"r{j}") for j, w in enumerate(ways)])
+    row = tagged.agg(*[F.sum(F.col("n") * F.get("m", i) * F.col(f"r{j}")) for j in range(len(ways)) for i in range(k)]).first()
+    return np.array([x or 0.0 for x in row], float).reshape(len(ways), k)
+
+
+def fit_rates(groups: DataFrame, goal: list[float], most: int = 60, tolerance: float = 1e-9) -> list[Step]:
+    """Least squares by projected gradient: (m, cap, n) with n tokens that share membership m and cap -> steps (see rate).
+
+    The gradient of a rate is its membership times what the domains lack. Steps are scaled by the second moments of the
+    memberships that are free to move (two-metric projection), so overlapping memberships don't slow them down, and the
+    longest of TRIALS that lowers the squared loss is taken. It ends when the gap is below tolerance x total, or no
+    trial helps, which is the optimum where the targets can't be met. Two aggregates of at most domains^2 numbers a step.
     """
     k = len(goal)
     if not k:
         return []
-    u = np.zeros(k)
-    mass = groups.agg(*[F.sum(F.col("n") * F.pow(F.get("m", i), F.lit(2))).alias(f"d{i}") for i in range(k)]).first()
-    scale = np.array([x or 0.0 for x in mass])
-    goal_ = np.array(goal)
-    best, best_u = np.inf, u
-    for _ in range(steps):
-        e = expected(groups, u)
-        gap = goal_ - e
-        loss = float((gap**2).sum())
-        if loss < best:
-            best, best_u = loss, u
-        if np.abs(gap).max() <= tolerance * max(goal_.sum(), 1):
+    wanted = np.array(goal, float)
+    scale = max(wanted.sum(), 1.0)
+    steps: list[Step] = []
+    gap, loss = wanted, float((wanted**2).sum())
+    for _ in range(most):
+        if np.abs(gap).max() <= tolerance * scale:
             break
-        u = u + np.where(scale > 0, gap / np.maximum(scale, 1e-12), 0.0)
-    return [float(x) for x in best_u]
-
-
-def rate(m: Column, cap: Column, u) -> Column:
-    dot = sum((F.get(m, i) * float(x) for i, x in enumerate(u)), F.lit(0.0))
-    return F.least(F.greatest(dot, F.lit(0.0)), cap.cast("double"))
-
-
-def expected(groups: DataFrame, u) -> np.ndarray:
-    if not len(u):
-        return np.zeros(0)
-    r = rate(F.col("m"), F.col("cap"), u)
-    row = groups.agg(*[F.sum(F.col("n") * F.get("m", i) * r).alias(f"e{i}") for i in range(len(u))]).first()
-    return np.array([x or 0.0 for x in row], float)
+        moving = groups.withColumn("r", rate(F.col("m"), F.col("cap"), steps)).filter(_free(F.col("r"), F.col("m"), F.col("cap"), [float(x) for x in gap]))
+        row = moving.agg(*[F.sum(F.col("n") * F.get("m", i) * F.get("m", j)) for i in range(k) for j in range(i + 1)]).first()
+        second = np.zeros((k, k))
+        second[np.tril_indices(k)] = [x or 0.0 for x in row]
+        second = second + np.tril(second, -1).T
+        ridge = 1e-12 * max(second.trace(), 1e-300)
+        way = np.linalg.lstsq(second + ridge * np.eye(k), gap, rcond=1e-13)[0]
+        tried = [[*steps, (gap.tolist(), (t * way).tolist())] for t in TRIALS]
+        gaps = wanted - expected(groups, *tried)
+        losses = (gaps**2).sum(1)
+        best = int(np.argmin(losses))
+        if not losses[best] < loss * (1 - 1e-12):
+            break
+        steps, gap, loss = tried[best], gaps[best], float(losses[best])
+    return steps
 
 
 def mixture(records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, source, question, options), (source, target_share, max_repeats) -> chosen (id, source, uses) and shares.
 
-    The total is the largest at which every listed source that the data hold reaches its share of it within its cap;
-    the shares of listed but absent sources are spread over the others in proportion (reachable_share). shares has one
-    row per listed source, also absent ones. Unlisted sources are not used. Sizes are words of question and options;
-    null texts and null options have none. Repeated ids are records of their own. Empty tables give no records and
-    shares of zero. Further columns of the input are left out.
+    The total is the largest at which every listed source that the data hold reaches its share of it within its cap, by
+    the records that name it; the shares of listed but absent sources are spread over the others in proportion
+    (reachable_share). shares has one row per listed source, also absent ones: actual_share counts the records that name
+    the source, expected_share also those without a source by their membership; those are used once at most. Unlisted
+    sources are not used. Sizes are words of question and options; null texts and null options have none. Repeated ids are
+    records of their own. Empty tables give no records and shares of zero. Further columns of the input are left out.
     targets must name each source once and is as small as a list of sources; it is collected.
     """
     goals = targets.orderBy("source").collect()
@@ -152,26 +187,28 @@ def mixture(records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
     cap = F.when(F.col("source").isNull(), F.when(F.aggregate("m", F.lit(0.0), lambda a, b: a + b) > 0, 1).otherwise(0)).otherwise(cap)
     member, _ = memberships(records, names)
     member = cut(member.withColumn("cap", cap))
-    groups = cut(member.filter("cap > 0").groupBy("m", "cap").agg(F.sum("n").alias("n")))
-    full = expected(groups, np.full(len(names), 1e18))
+    groups = cut(member.filter("cap > 0").groupBy("m", "cap", F.col("source").isNotNull().alias("named")).agg(F.sum("n").alias("n")))
+    sums = groups.filter("named").agg(*[F.sum(F.col("n") * F.col("cap") * F.get("m", i)) for i in range(len(names))]).first() if names else []
+    full = [float(x or 0.0) for x in sums]
     present = [i for i in range(len(names)) if full[i] > 0]
     whole = sum(goals[i]["target_share"] for i in present) or 1.0
     share = [goals[i]["target_share"] / whole if i in present else 0.0 for i in range(len(names))]
     total = min((full[i] / share[i] for i in present if share[i] > 0), default=0.0)
-    u = fit_rates(groups, [s * total for s in share])
+    steps = fit_rates(groups, [s * total for s in share])
     spot = F.pmod(F.xxhash64(F.lit("uses"), "id"), F.lit(BINS * BINS))
-    rated = member.withColumn("r", F.round(rate(F.col("m"), F.col("cap"), u), 9)).filter("r > 0").withColumn("spot", spot)
+    rated = member.filter("cap > 0").withColumn("r", F.round(rate(F.col("m"), F.col("cap"), steps), 9)).filter("r > 0").withColumn("spot", spot)
     limit = _calibrated(rated)
     chosen = rated.withColumn("uses", (F.floor("r") + F.when(F.col("spot") < limit, 1).otherwise(0)).cast("int")).filter("uses > 0")
-    got = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("uses").alias("uses"), F.sum(F.col("uses") * F.col("n")).alias("size"))
+    got = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("uses").alias("uses"), F.sum(F.col("uses") * F.col("n")).alias("size"), F.array(*[F.sum(F.col("uses") * F.col("n") * F.get("m", i)) for i in range(len(names))]).alias("soft"))
     sums = got.collect()
     grand = sum(r["size"] for r in sums) or 1
     by = {r["source"]: r for r in sums}
+    soft = [sum(r["soft"][i] or 0.0 for r in sums) for i in range(len(names))]
     rows = [
-        (n, float(g["target_share"]), float(s), (by[n]["size"] / grand if n in by else 0.0), int(by[n]["records"]) if n in by else 0, int(by[n]["uses"]) if n in by else 0, int(by[n]["size"]) if n in by else 0, int(g["max_repeats"]))
-        for n, g, s in zip(names, goals, share)
+        (n, float(g["target_share"]), float(s), (by[n]["size"] / grand if n in by else 0.0), float(e / grand), int(by[n]["records"]) if n in by else 0, int(by[n]["uses"]) if n in by else 0, int(by[n]["size"]) if n in by else 0, int(g["max_repeats"]))
+        for n, g, s, e in zip(names, goals, share, soft)
     ]
-    schema = "source string, target_share double, reachable_share double, actual_share double, records bigint, uses bigint, size bigint, max_repeats int"
+    schema = "source string, target_share double, reachable_share double, actual_share double, expected_share double, records bigint, uses bigint, size bigint, max_repeats int"
     return chosen.select("id", "source", "uses"), records.sparkSession.createDataFrame(rows, schema)
 
 
