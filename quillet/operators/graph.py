@@ -51,16 +51,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def group_related(records: DataFrame, rec_id: str, node: Column, ties: list[Column]) -> DataFrame:
+def group_related(records: DataFrame, rec_id: str, node: Column, ties: list[Column], own: Column | None = None) -> DataFrame:
     """Connected groups of records: (rec_id, group_root, group_size).
 
     node: string that names the record's main entity; nulls are replaced by an entity of the record's own that sorts
-    after all named ones. ties: string columns of further entities; equal non-null values of one column tie the records.
-    group_root is '0'+smallest named node of the group, by bytes, or
-    '1'+record id where no record of the group has a main entity. Empty input gives an empty result; repeated
+    after all named ones (own, which is unique per record; the id unless given). ties: string columns of further entities;
+    equal non-null values of one column tie the records. group_root is '0'+smallest named node of the group, by bytes, or
+    '1'+own where no record of the group has a main entity. Empty input gives an empty result; repeated
     rec_ids count as separate records of one group only if they share an entity.
     """
-    own = F.concat(F.lit("1"), F.lpad(F.col(rec_id).cast("string"), 20, "0"))
+    own = F.concat(F.lit("1"), F.lpad(F.col(rec_id).cast("string"), 20, "0") if own is None else own)
     named = F.coalesce(F.concat(F.lit("0"), node), own)
     # each key is computed once: 128 bits of the column's number and value
     tie = F.filter(F.array(*[F.unhex(F.md5(F.concat(F.lit(f"{k}:"), t))) for k, t in enumerate(ties)]), lambda s: s.isNotNull())
