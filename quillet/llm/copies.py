@@ -43,13 +43,14 @@ def collapse(keyed: DataFrame, rows: int | None = None) -> tuple[DataFrame, Data
     """
     keyed = cut(keyed.select("id", "key"))
     limit = hot_threshold(keyed.count() if rows is None else rows)
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(cut(counts.filter(F.col("n") > limit).select("key", F.lit(True).alias("hot"))))
+    # one shuffle of partial counts tells the hot keys exactly and is the whole result of all others
+    counts = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")))
+    hot = F.broadcast(counts.filter(F.col("copies") > limit).select("key", F.lit(True).alias("hot")))
     tagged = keyed.join(hot, "key", "left")
     warm, cold = tagged.filter("hot").drop("hot"), tagged.filter("hot is null").drop("hot")
     salted = warm.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     heavy = salted.groupBy("key").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
-    light = cold.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    light = counts.filter(F.col("copies") <= limit).select("key", "first_id", "copies")
     members = warm.join(F.broadcast(heavy), "key").unionByName(cold.join(light.filter("copies > 1"), "key"))
     return members, heavy.unionByName(light)
 
