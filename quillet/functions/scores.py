@@ -89,3 +89,58 @@ def ordinal_loss(logits: Column, gold: Column) -> Column:
 def reference_index(keys: Column, reference: Column) -> Column:
     """Index of a reference key among the keys, null if it is none of them."""
     return F.nullif(F.array_position(keys, reference), F.lit(0)).cast("int") - 1
+
+
+def info_nce(forward: Column, target: Column, reverse: Column, reverse_target: Column) -> Column:
+    """Mean of the cross-entropies of a state among all actions and of its action among all states, given the logits."""
+    one = lambda a, i: log_sum_exp(a) - F.get(a, i)
+    return (one(forward, target) + one(reverse, reverse_target)) / 2
+
+
+def distillation(soft: Column, logits: Column, temperature: float) -> Column:
+    """Divergence of the softened logits from soft targets (at least 1e-9, normalised), per option, times the temperature
+    squared."""
+    floor = F.transform(soft, lambda t: F.greatest(t.cast("double"), F.lit(1e-9)))
+    target = F.transform(floor, lambda t: t / total(floor))
+    return divergence(target, softmax(logits, temperature)) / F.size(soft) * temperature * temperature
+
+
+def ordinal_cross_entropy(p: Column, gold: Column) -> Column:
+    """Mean binary cross-entropy of the probabilities of at least level 1, 2, .. against gold, kept 1e-7 off 0 and 1."""
+    least = F.transform(F.slice(p, 2, F.size(p) - 1), lambda x, i: 1.0 - total(F.slice(p, F.lit(1), i + 1)))
+    kept = F.transform(least, lambda x: F.least(F.greatest(x, F.lit(1e-7)), F.lit(1 - 1e-7)))
+    part = F.transform(kept, lambda x, i: -F.when(gold >= i + 1, F.log(x)).otherwise(F.log(1 - x)))
+    return total(part) / F.size(part)
+
+
+def mean_pool(vectors: Column, start: Column, end: Column) -> Column:
+    """Mean of the vectors [start, end); null where there are none."""
+    span = F.slice(vectors, start + 1, F.greatest(end - start, F.lit(0)))
+    dims = F.sequence(F.lit(0), F.size(F.get(span, 0)) - 1)
+    return F.when(F.size(span) > 0, F.transform(dims, lambda k: total(F.transform(span, lambda v: F.get(v, k).cast("double"))) / F.size(span)))
+
+
+def attention_pool(vectors: Column, query: Column) -> Column:
+    """Sum of vectors weighted by the softmax of their products with a query vector; null where there are none."""
+    weights = softmax(F.transform(vectors, lambda v: dot(v, query)))
+    dims = F.sequence(F.lit(0), F.size(F.get(vectors, 0)) - 1)
+    return F.when(F.size(vectors) > 0, F.transform(dims, lambda k: total(F.zip_with(vectors, weights, lambda v, w: F.get(v, k) * w))))
+
+
+def token_readout(logp: Column) -> Column:
+    """(sum, mean) of an option's token log-probabilities; null for an option without tokens."""
+    return F.when(F.size(logp) > 0, F.struct(total(logp).alias("sum"), (total(logp) / F.size(logp)).alias("mean")))
+
+
+def label_readout(option_ids: Column, logp: Column) -> Column:
+    """Log-probability of each option's letter: option_ids has one list of ids per option, logp is a map of ids; fails unless
+    each has one id and these differ."""
+    ids = F.transform(option_ids, lambda o: F.get(o, 0))
+    fine = ~F.exists(option_ids, lambda o: F.size(o) != 1) & (F.size(F.array_distinct(ids)) == F.size(ids))
+    return F.when(fine, F.transform(ids, lambda i: F.try_element_at(logp, i))).otherwise(F.raise_error(F.lit("letters need different single ids")).cast("array<double>"))
+
+
+def argmax_canonical(p: Column, order: Column) -> Column:
+    """Index of the largest entry; among equals the first in canonical order (an array of indexes)."""
+    best = F.array_min(F.transform(order, lambda i, k: F.struct((-F.get(p, i)).alias("n"), k.alias("k"), i.alias("i"))))
+    return best["i"]

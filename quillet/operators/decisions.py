@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import decimal
+import hashlib
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillet.functions import text
-from quillet.operators import joins, records
-
-_MARK = "\x01"
+from quillet.operators import records
 
 
 def encoder(encode: Callable[[str], list[int]]):
@@ -54,20 +55,57 @@ def layout(ctx: Column, opts: Column, length: int, markers: bool = False) -> Col
     return F.struct(ctx_cap.alias("ctx_cap"), opt_cap.alias("opt_cap"), F.greatest(F.size(ctx) - ctx_cap, F.lit(0)).alias("ctx_cut"), bounds.alias("bounds"))
 
 
+_NUMBER = re.compile(text.NUMBER.removeprefix("(?U)"))
+# What a number is multiplied by, and what is added where that changes nothing.
+FACTORS, ADDENDS = ("0.1", "0.5", "2", "10"), (1, 2, 5)
+
+
+def _perturbed(answer: str, draw: bytes) -> str | None:
+    """answer with one number changed: exact decimals of any size; draw picks the number, the factor and the addend."""
+    plain = answer.replace("\u2212", "-")
+    found = list(_NUMBER.finditer(plain))
+    if not found:
+        return None
+    m = found[int.from_bytes(draw[:4]) % len(found)]
+    literal = m.group().replace(",", "")
+    with decimal.localcontext(decimal.Context(prec=max(28, len(literal) + 16), Emax=decimal.MAX_EMAX, Emin=decimal.MIN_EMIN)):
+        try:
+            x = decimal.Decimal(literal)
+            y = x * decimal.Decimal(FACTORS[draw[4] % 4])
+            shown = f"{y if y != x else x + ADDENDS[draw[5] % 3]:g}"
+        except (decimal.DecimalException, ValueError, MemoryError):
+            return None
+    return answer[: m.start()] + shown + answer[m.end() :]
+
+
+def perturb_numbers(answer: Column, seed: Column, most: int = 3, draws: int = 12) -> Column:
+    """Up to `most` different texts, each the answer with one of its numbers times 0.1, 0.5, 2 or 10, or plus 1, 2 or 5 where
+    that changes nothing (zero); as many as `draws` draws of a hash of seed give. Equal up to white space counts as equal,
+    the answer itself as none. Empty where there is no number, null for null. Decimals are exact at any size and exponent.
+    Python runs only on texts that hold a digit."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(a: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for x, z in zip(a, s):
+            seen, got = {" ".join(x.split())}, []
+            for k in range(draws):
+                y = _perturbed(x, hashlib.sha256(f"{z}|{k}".encode()).digest())
+                if y is None or len(got) == most:
+                    break
+                if (key := " ".join(y.split())) not in seen:
+                    seen.add(key)
+                    got.append(y)
+            out.append(got)
+        return pd.Series(out)
+
+    none = F.array().cast("array<string>")
+    return F.when(answer.isNull(), F.lit(None).cast("array<string>")).when(~answer.rlike(r"(?U)\d"), none).otherwise(run(F.coalesce(answer, F.lit("")), F.coalesce(seed.cast("string"), F.lit(""))))
+
+
 def perturb_number(answer: Column, seed: Column) -> Column:
-    """answer with one of its numbers, chosen by the hash of seed, times 0.1, 0.5, 2 or 10, or 1 more if that changes
-    nothing. Null where there is no number. Written without trailing zeros."""
-    plain = F.regexp_replace(answer, r"\x{2212}", "-")
-    gaps = F.split(F.regexp_replace(plain, text.NUMBER, _MARK), _MARK, -1)
-    found = F.regexp_extract_all(plain, F.lit(f"({text.NUMBER})"), F.lit(1))
-    h = F.xxhash64(F.lit("perturb"), seed)
-    pick = F.pmod(h, F.greatest(F.size(found), F.lit(1)))
-    factor = F.element_at(F.array(*[F.lit(f).cast("decimal(4,1)") for f in ("0.1", "0.5", "2.0", "10.0")]), (F.pmod(F.shiftright(h, 20), F.lit(4)) + 1).cast("int"))
-    x = F.regexp_replace(F.get(found, pick), ",", "").cast("decimal(24,8)")
-    y = F.when(x * factor == x, x + 1).otherwise(x * factor)
-    shown = F.regexp_replace(F.regexp_replace(y.cast("decimal(36,9)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.when(i == pick, shown).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
-    return F.when(F.size(found) > 0, F.array_join(parts, ""))
+    """The first of perturb_numbers, null if there is none."""
+    return F.get(perturb_numbers(answer, seed, 1), 0)
 
 
 def single_edit(gold: Column, other: Column) -> Column:
@@ -87,10 +125,11 @@ def single_edit(gold: Column, other: Column) -> Column:
 
 
 def apply_edit(evidence: Column, src: Column, dst: Column) -> Column:
-    """evidence with the first whole occurrence of src (not inside a word or number) replaced; null if there is none."""
-    quoted = F.concat(F.lit(r"(?U)(?<![\w.])\Q"), src, F.lit(r"\E(?![\w.])"))
-    at = F.regexp_instr(evidence, quoted)
-    return F.when(at > 0, F.concat(F.substr(evidence, F.lit(1), at - 1), dst, F.substr(evidence, at + F.length(src))))
+    """evidence with all whole occurrences of src (not inside a word or number) replaced; null if there are none."""
+    quoted = F.concat(F.lit(r"(?U)(?<![\w.])\Q"), F.replace(src, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\w.])"))
+    plain = F.regexp_replace(dst, r"([\\$])", r"\\$1")
+    new = F.regexp_replace(evidence, quoted, plain)
+    return F.when(new != evidence, new)
 
 
 def parse_generated(reply: Column) -> Column:
@@ -111,7 +150,7 @@ def passage_window(body: Column, seed: Column, size: int = 800, least: int = 300
         n = F.size(s["w"])
         low = F.floor(n * 0.15).cast("int")
         high = F.greatest(low, n - size)
-        start = F.when(high > low, low + F.pmod(F.xxhash64(F.lit("window"), seed), (high - low + 1).cast("bigint")).cast("int")).otherwise(0)
+        start = F.when(high > low, low + (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("window"), seed.cast("string")), 256), 1, 8), 16, 10).cast("bigint") % (high - low + 1)).cast("int")).otherwise(0)
         return F.when(n >= least, F.array_join(F.slice(s["w"], start + 1, F.lit(size)), " "))
 
     return F.get(F.transform(F.array(pair), window), 0)
@@ -132,27 +171,6 @@ def corrupt_argument(calls: DataFrame, id: str, args: str, pool: DataFrame) -> D
     return some.groupBy(id).agg(F.min(F.struct(order.alias("o"), "name", "old", "new")).alias("m")).select(id, "m.name", "m.old", "m.new")
 
 
-def battery(sci: DataFrame, group: str, need: int = 3) -> DataFrame:
-    """Questions from answered records (rec_id, passage, q, a, group): per record the options of a choice question
-    (answers of the same group, the own answer with another number, an answer of another group; then the own one), shuffled
-    by hash, and the related and the unrelated wrong answer for true/false and score questions.
-
-    (rec_id, options, gold, related, unrelated, reason): reason insufficient_unique_distractors if there are under `need`
-    different wrong answers.
-    """
-    rows = sci.filter(~records.blank(F.col("a")) & F.col(group).isNotNull()).select("rec_id", F.col(group).alias("g"), text.collapse_space(F.col("a")).alias("a"))
-    sib = joins.siblings(rows, "g", "rec_id", "a", 2).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sibling"))).alias("s"))
-    one = F.lit("all").alias("w")
-    cross = joins.ring_donors(rows.select(one, "g", "a"), ["w"], "g", "a", "cross").select("g", "a", F.col("donor_content").alias("unrelated"))
-    out = rows.join(sib, "rec_id", "left").join(cross, ["g", "a"], "left")
-    wrong = F.array_compact(F.concat(F.coalesce(F.transform("s", lambda s: s["sibling"]), F.array().cast("array<string>")), F.array(perturb_number(F.col("a"), F.col("rec_id")), F.col("unrelated"))))
-    wrong = F.slice(F.array_except(wrong, F.array("a")), 1, need)
-    shuffled = F.transform(F.array_sort(F.transform(F.concat(wrong, F.array("a")), lambda o: F.struct(F.sha2(F.concat_ws("|", F.col("rec_id").cast("string"), o), 256).alias("h"), o.alias("o")))), lambda s: s["o"])
-    out = out.withColumn("reason", F.when(F.size(wrong) < need, "insufficient_unique_distractors")).withColumn("options", shuffled)
-    related = F.coalesce(perturb_number(F.col("a"), F.col("rec_id")), F.get("s", 0)["sibling"])
-    return out.select("rec_id", "options", (F.array_position("options", F.col("a")).cast("int") - 1).alias("gold"), related.alias("related"), "unrelated", "reason")
-
-
 def audit(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(check, violations) for each condition that all rows must meet; null counts as a violation. One pass."""
     counts = df.agg(*[F.coalesce(F.sum((~F.coalesce(c, F.lit(False))).cast("bigint")), F.lit(0)).alias(n) for n, c in checks.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillet.functions import text
 from quillet.session import cut, hot_threshold, join_unique
 
 
@@ -51,19 +52,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def group_related(records: DataFrame, rec_id: str, node: Column, ties: list[Column], own: Column | None = None) -> DataFrame:
+def group_related(records: DataFrame, rec_id: str, node: Column, ties: list[Column] | Column, own: Column | None = None) -> DataFrame:
     """Connected groups of records: (rec_id, group_root, group_size).
 
     node: string that names the record's main entity; nulls are replaced by an entity of the record's own that sorts
     after all named ones (own, which is unique per record; the id unless given). ties: string columns of further entities;
-    equal non-null values of one column tie the records. group_root is '0'+smallest named node of the group, by bytes, or
+    equal non-null values of one column tie the records; or one array column of names of entities. group_root is '0'+smallest named node of the group, by bytes, or
     '1'+own where no record of the group has a main entity. Empty input gives an empty result; repeated
     rec_ids count as separate records of one group only if they share an entity.
     """
     own = F.concat(F.lit("1"), F.lpad(F.col(rec_id).cast("string"), 20, "0") if own is None else own)
     named = F.coalesce(F.concat(F.lit("0"), node), own)
     # each key is computed once: 128 bits of the column's number and value
-    tie = F.filter(F.array(*[F.unhex(F.md5(F.concat(F.lit(f"{k}:"), t))) for k, t in enumerate(ties)]), lambda s: s.isNotNull())
+    names = ties if isinstance(ties, Column) else F.array(*[F.concat(F.lit(f"{k}:"), t) for k, t in enumerate(ties)])
+    tie = F.transform(F.filter(names, lambda s: s.isNotNull()), lambda s: F.unhex(F.md5(s)))
     base = records.select(F.col(rec_id).alias("_id"), named.alias("node"), tie.alias("ties"))
     spans = base.select("node", F.explode("ties").alias("tie")).groupBy("tie", "node").agg(F.lit(1).alias("_one")).drop("_one")
     spans = cut(spans)
@@ -78,3 +80,48 @@ def group_related(records: DataFrame, rec_id: str, node: Column, ties: list[Colu
     sizes = nodes.groupBy("group_root").agg(F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("k"))
     sized = join_unique(nodes, sizes, "group_root", "k", hot_threshold(total))
     return join_unique(light, sized, "node", "n", hot_threshold(total)).select(F.col("_id").alias(rec_id), "group_root", "group_size")
+
+
+# Columns that name a document, in one namespace, and columns that name a group, in another.
+DOCUMENT_KEYS = ("document_id", "doc_id", "paper_id", "corpus_id", "doi", "pmid", "pmcid")
+GROUP_KEYS = ("split_group", "source_group", "group_id", "group")
+
+
+def group_records(records: DataFrame, rec_id: str, content: Column, scope: str = "passage", source: str = "unknown", nested: Column | None = None) -> DataFrame:
+    """Splits' groups of records: adds content_hash, group_scope and split_group (`scope:hash`), replacing such columns.
+
+    Records are tied by equal content (normal form), any equal document id (the DOCUMENT_KEYS they have share one
+    namespace), any equal group id (GROUP_KEYS, likewise), or equal pid within one source (a null source counts as `source`).
+    nested: an array of (key, value, source) of ids that lie deeper, in questions or their metadata. Null and empty values
+    name nothing. The scope is "document" for groups that hold any document id. The hash is that of the group's smallest
+    entity, so no group's entities are gathered in one place. Ids may be of any atomic type; 5 and "5" are different ids.
+    """
+    have, kinds = set(records.columns), dict(records.dtypes)
+
+    def named(space: str, c: Column, kind: str) -> Column:
+        value = c.cast("string")
+        shown = F.concat(F.lit('"'), value, F.lit('"')) if kind == "string" else value
+        return F.when(c.isNotNull() & (value != ""), F.concat(F.lit(f"{space}="), shown))
+
+    owner = F.coalesce(F.col("source"), F.lit(source)) if "source" in have else F.lit(source)
+    documents = [named("document", F.col(k), kinds[k]) for k in DOCUMENT_KEYS if k in have]
+    groups = [named("group", F.col(k), kinds[k]) for k in GROUP_KEYS if k in have]
+    local = [F.when(F.col("pid").isNotNull() & (F.col("pid").cast("string") != ""), F.concat(F.lit("pid:"), owner, F.lit("="), F.col("pid").cast("string")))] if "pid" in have else []
+    entities = F.array(*documents, *groups, *local, F.lit(None).cast("string"))
+    if nested is not None:
+
+        def deep(s: Column) -> Column:
+            shown = F.concat(F.lit('="'), s["value"], F.lit('"'))
+            return F.when((s["value"] == "") | s["value"].isNull(), None).when(s["key"].isin(*DOCUMENT_KEYS), F.concat(F.lit("document"), shown)).when(s["key"].isin(*GROUP_KEYS), F.concat(F.lit("group"), shown)).when(s["key"] == "pid", F.concat(F.lit("pid:"), F.coalesce(s["source"], owner), F.lit("="), s["value"]))
+
+        entities = F.concat(entities, F.coalesce(F.transform(nested, deep), F.array().cast("array<string>")))
+    digest = text.fingerprint(content)
+    base = records.select(F.col(rec_id).alias("_id"), F.coalesce(digest, F.lit("")).alias("_c"), entities.alias("_e"))
+    base = cut(base.withColumn("_d", F.exists("_e", lambda e: e.startswith("document="))))
+    roots = group_related(base, "_id", F.col("_c"), F.col("_e"))
+    found = cut(base.select("_id", "_c", "_d").join(roots.select("_id", "group_root"), "_id"))
+    scopes = found.groupBy("group_root").agg(F.max("_d").alias("_doc"), F.count(F.lit(1)).alias("_n"))
+    sized = join_unique(found, scopes, "group_root", "_n", hot_threshold(found.count()))
+    named_scope = F.when(F.col("_doc"), "document").otherwise(scope)
+    out = sized.select(F.col("_id").alias(rec_id), F.col("_c").alias("content_hash"), named_scope.alias("group_scope"), F.concat(named_scope, F.lit(":"), F.sha2("group_root", 256)).alias("split_group"))
+    return records.drop("content_hash", "group_scope", "split_group").join(out.dropDuplicates([rec_id]), rec_id)

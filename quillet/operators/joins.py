@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions import text
 from quillet.operators import similar
 from quillet.operators.records import hash_order
-from quillet.session import cut
+from quillet.session import cut, hot_threshold
 
 
 def attach_last(left: DataFrame, right: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -54,30 +54,58 @@ def _first_per_group(df: DataFrame, k: int) -> DataFrame:
     return b.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_h", "_n"))).alias("_s"))
 
 
-def ring_donors(df: DataFrame, within: list[str], group: str, content: str, seed: str, ahead: int = 8) -> DataFrame:
-    """A donor per (within.., group, content): of the same `within`, another group and another content.
+def _pair(group: str, content: str) -> Column:
+    return F.struct(F.col("_h").alias("h"), F.col(group).alias("g"), F.col(content).alias("c"))
+
+
+def _spare_donors(keys: DataFrame, within: list[str], group: str, content: str) -> DataFrame:
+    """Per value of within, pairs among which every key finds one of another group and content if there is any: the first
+    (a); the first that differs from it in both (b); and the first that covers the keys which neither serves."""
+    least = lambda c, n: F.min(F.when(c, _pair(group, content))).alias(n)
+    g, c = F.col(group), F.col(content)
+
+    def with_(df: DataFrame, found: DataFrame) -> DataFrame:
+        named = found.withColumnsRenamed({x: f"_{x}" for x in within})
+        same = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in within]
+        return df.join(named, same if same else F.lit(True)).drop(*[f"_{x}" for x in within])
+
+    first = keys.groupBy(*within).agg(least(F.lit(True), "_a"))
+    one = with_(keys, first)
+    two = one.groupBy(*within, "_a").agg(least((g != F.col("_a.g")) & (c != F.col("_a.c")), "_b"))
+    rest = with_(keys, two).groupBy(*within, "_a", "_b").agg(
+        least(F.when(F.col("_b").isNull(), (g == F.col("_a.g")) & (c != F.col("_a.c"))).otherwise((g != F.col("_a.g")) & (c != F.col("_b.c"))), "_x"),
+        least(F.when(F.col("_b").isNull(), (g != F.col("_a.g")) & (c == F.col("_a.c"))).otherwise((g != F.col("_b.g")) & (c != F.col("_a.c"))), "_y"),
+    )
+    return rest
+
+
+def ring_donors(df: DataFrame, within: list[str], group: str, content: str, seed: str, ahead: int = 8, most: int = 1, missing: str = "null") -> DataFrame:
+    """Donors per (within.., group, content): of the same `within`, another group and another content.
 
     A seeded hash puts the distinct keys on rings of about 50,000; each takes the first of the next `ahead` keys of its ring
-    that fits, else the first or the last representative of a group of `within` that does. So no task holds all keys
-    and none meets all others: (within, group, content, donor_group, donor_content), null where `within` has one group.
+    that fit, up to `most` of different contents; a key that finds none there takes one of _spare_donors, so it has a donor
+    whenever there is one. No task holds all keys and none meets all others. (within, group, content, donor_group,
+    donor_content, donors), donors being all of them as (g, c); null and empty where there is no donor, or an error with
+    missing="error".
     """
     keys = df.select(*within, group, content).distinct().withColumn("_h", hash_order(seed, *within, group, content))
     keys = cut(keys)
     digits = max(0, math.ceil(math.log(max(keys.count(), 1) / 50_000, 16)))
     keys = keys.withColumn("_ring", F.substring("_h", 1, digits))
     w = Window.partitionBy(*within, "_ring").orderBy("_h")
-    nexts = F.array(*[F.lead(F.struct(F.col(group).alias("g"), F.col(content).alias("c")), i).over(w) for i in range(1, ahead + 1)])
-    heads = keys.groupBy(*within, group).agg(F.min(F.struct("_h", F.col(content).alias("c"))).alias("_m"))
-    two = heads.groupBy(*within).agg(F.min(F.struct(F.col("_m._h").alias("h"), F.col(group).alias("g"), F.col("_m.c").alias("c"))).alias("_a"), F.max(F.struct(F.col("_m._h").alias("h"), F.col(group).alias("g"), F.col("_m.c").alias("c"))).alias("_z"))
     fits = lambda d: (d["g"] != F.col(group)) & (d["c"] != F.col(content))
-    found = keys.withColumn("_d", F.get(F.filter(nexts, lambda d: d.isNotNull() & fits(d)), 0))
-    renamed = two.select(*[F.col(c).alias(f"_{c}") for c in within], "_a", "_z")
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
-    # two rows' worth per value of within: broadcast while these are few, else joined (AQE splits a hot value)
-    out = found.join(F.broadcast(renamed) if renamed.limit(10_001).count() <= 10_000 else renamed, on)
-    spare = F.when(fits(F.col("_a")), F.struct(F.col("_a.g").alias("g"), F.col("_a.c").alias("c"))).when(fits(F.col("_z")), F.struct(F.col("_z.g").alias("g"), F.col("_z.c").alias("c")))
-    pick = F.coalesce("_d", spare)
-    return out.select(*within, group, content, pick["g"].alias("donor_group"), pick["c"].alias("donor_content"))
+    nexts = F.array(*[F.lead(F.struct(F.col(group).alias("g"), F.col(content).alias("c")), i).over(w) for i in range(1, ahead + 1)])
+    found = keys.withColumn("_d", F.filter(nexts, lambda d: d.isNotNull() & fits(d)))
+    found = cut(found.withColumn("_d", F.slice(F.filter("_d", lambda d, i: ~F.array_contains(F.transform(F.slice("_d", F.lit(1), i), lambda e: e["c"]), d["c"])), 1, most)))
+    done, lone = found.filter(F.size("_d") > 0), found.filter(F.size("_d") == 0).drop("_d")
+    spare = _spare_donors(keys, within, group, content).withColumnsRenamed({x: f"_{x}" for x in within})
+    on = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in within]
+    some = lone.join(spare, on if on else F.lit(True)).withColumn("_d", F.filter(F.array("_a", "_b", "_x", "_y"), lambda d: d.isNotNull() & fits(d)))
+    some = some.withColumn("_d", F.slice(F.transform("_d", lambda d: F.struct(d["g"].alias("g"), d["c"].alias("c"))), 1, 1))
+    out = done.select(*within, group, content, "_d").unionByName(some.select(*within, group, content, "_d"))
+    if missing == "error":
+        out = out.withColumn("_d", F.when(F.size("_d") == 0, F.raise_error(F.lit("no donor of another group and content")).cast(dict(out.dtypes)["_d"])).otherwise(F.col("_d")))
+    return out.select(*within, group, content, F.get("_d", 0)["g"].alias("donor_group"), F.get("_d", 0)["c"].alias("donor_content"), F.col("_d").alias("donors"))
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, threshold: float) -> DataFrame:
@@ -96,17 +124,55 @@ def jaccard_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return out.select(left_id, right_id, "overlap", "jaccard")
 
 
-def nearest_by_tfidf(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text_col: str, least: int = 4) -> DataFrame:
+# Words that donors are not chosen by.
+DONOR_STOPWORDS = (
+    "the a an and or of to in on for with by is are was were be been that this these those it its as at from into over under between "
+    "which what who whom whose when where why how not no than then such more most other some any all each both each can could may might "
+    "will would shall should do does did have has had about their there here also but if so we you they he she i"
+).split()
+
+
+def donor_terms(c: Column, least: int = 4) -> Column:
+    """Terms of `least` or more letters and digits, lower case, in order, without DONOR_STOPWORDS."""
+    return F.filter(text.tokens(c, least), lambda t: ~t.isin(DONOR_STOPWORDS))
+
+
+def nearest_by_tfidf(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text_col: str, least: int = 4, apart: list[str] | None = None, fallback: bool = False) -> DataFrame:
     """The document with the largest sum of idf x frequency over the distinct terms of each query; ties go to the
-    smallest id; queries without common terms have no row. idf = ln(1 + N / df)."""
+    smallest id. idf = ln(1 + N / df).
+
+    apart: columns of both tables in which query and document must differ (null differs from nothing). fallback: queries
+    without a common term take one of the 64 first documents by hash that is apart, with score 0; else they have no row.
+    The terms of documents are salted where more than a thousandth of the postings are of one term, so none of these meets
+    its queries in one task.
+    """
+    apart = apart or []
+    theirs = {c: f"_{c}" for c in apart}
     n = docs.count()
-    terms = docs.select(doc_id, F.explode(text.tokens(F.col(text_col), least)).alias("w")).groupBy("w", doc_id).agg(F.count(F.lit(1)).alias("tf"))
+    terms = docs.select(doc_id, *[F.col(c).alias(f"_{c}") for c in apart], F.explode(donor_terms(F.col(text_col), least)).alias("w"))
+    terms = cut(terms.groupBy("w", doc_id, *theirs.values()).agg(F.count(F.lit(1)).alias("tf")))
     df = terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.withColumn("idf", F.log(1 + F.lit(n) / F.col("df"))).select("w", "idf")
-    asked = queries.select(query_id, F.explode(text.token_set(F.col(text_col), least)).alias("w")).join(idf, "w")
-    scores = asked.join(terms, "w").groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("idf") * F.col("tf")), 6).alias("score"))
+    limit = hot_threshold(terms.count())
+    idf = df.select("w", F.log(1 + F.lit(n) / F.col("df")).alias("idf"), F.ceil(F.col("df") / limit).cast("int").alias("parts"))
+    asked = queries.select(query_id, *apart, F.explode(F.array_distinct(donor_terms(F.col(text_col), least))).alias("w")).join(idf, "w")
+    asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    given = terms.join(F.broadcast(idf.filter("parts > 1").select("w", F.col("parts").alias("_p"))), "w", "left")
+    given = given.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(doc_id), F.col("_p")).cast("int"), F.lit(0))).drop("_p")
+    met = asked.join(given, ["w", "_part"])
+    for c in apart:
+        met = met.filter(F.col(c) != F.col(f"_{c}"))
+    scores = met.groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("idf") * F.col("tf")), 6).alias("score"))
     best = scores.groupBy(query_id).agg(F.max(F.struct("score", (-F.col(doc_id)).alias("neg"))).alias("b"))
-    return best.select(query_id, (-F.col("b.neg")).alias(doc_id), F.col("b.score").alias("score"))
+    found = best.select(query_id, (-F.col("b.neg")).alias(doc_id), F.col("b.score").alias("score"))
+    if not fallback:
+        return found
+    some = docs.select(F.struct(F.sha2(F.concat_ws("|", F.lit("fallback"), F.col(doc_id).cast("string")), 256).alias("h"), F.col(doc_id).alias("d"), *[F.col(c).alias(c) for c in apart]).alias("s"))
+    pool = some.orderBy("s.h").limit(64).agg(F.array_sort(F.collect_list("s")).alias("_pool"))
+    lone = queries.select(query_id, *apart).join(found.select(query_id), query_id, "left_anti").crossJoin(F.broadcast(pool))
+    fit = F.filter("_pool", lambda s: F.forall(F.array(*[s[c] != F.col(c) for c in apart]), lambda x: x) if apart else F.lit(True))
+    lone = lone.withColumn("_f", fit).filter(F.size("_f") > 0)
+    pick = F.get("_f", F.pmod(F.xxhash64(F.col(query_id)), F.size("_f")).cast("int"))
+    return found.unionByName(lone.select(query_id, pick["d"].alias(doc_id), F.lit(0.0).alias("score")))
 
 
 def unseen(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

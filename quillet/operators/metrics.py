@@ -6,12 +6,17 @@ for ungrouped metrics, no rows for grouped ones. Null p or gold is rejected by v
 
 from __future__ import annotations
 
+import hashlib
+import math
 import statistics
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions import scores
+from quillet.session import cut
 
 # Ten equal bins as doubles of i/10 in the order they are compared, including their rounding.
 EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
@@ -104,17 +109,30 @@ def running(per: DataFrame, values: list[str], descending: bool = False) -> Data
     return out.select("conf", *values, *[(F.col(f"_{v}") + F.sum(v).over(inside)).alias(f"{v}_run") for v in values])
 
 
+def in_order(df: DataFrame, *order: Column, values: tuple[str, ...] = ()) -> DataFrame:
+    """Adds place (1, 2, ..) by `order`, which should be total, and the running sums <value>_run.
+
+    Rows are dealt to range partitions of the whole order, so equal leading values are spread too; then only one row per
+    partition is summed up in one task and broadcast, and each partition is ordered on its own.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_{v}") for v in values])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("_n", *[f"_{v}" for v in values])])
+    w = Window.partitionBy("_part").orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.join(F.broadcast(before), "_part").withColumn("place", F.col("_n") + F.row_number().over(w))
+    return placed.withColumns({f"{v}_run": F.col(f"_{v}") + F.sum(v).over(run) for v in values}).drop("_part", "_n", *[f"_{v}" for v in values])
+
+
 def _equal_count(s: DataFrame, bins: int = 10) -> DataFrame:
-    """ntile(bins) by (conf, item_id): the first n mod bins bins are one larger. Global ranks come from running counts
-    over distinct confidences and a window inside each confidence."""
-    before = running(s.groupBy("conf").agg(F.count(F.lit(1)).alias("c")), ["c"]).select("conf", (F.col("c_run") - F.col("c")).alias("before"))
+    """ntile(bins) by (conf, item_id): the first n mod bins bins are one larger."""
     n = s.agg(F.count(F.lit(1)).alias("total"))
-    ranked = s.withColumn("_r", F.row_number().over(Window.partitionBy("conf").orderBy("item_id")))
-    joined = ranked.join(before, "conf").crossJoin(F.broadcast(n))
-    at = F.col("before") + F.col("_r") - 1
+    joined = in_order(s, F.asc("conf"), F.asc("item_id")).crossJoin(F.broadcast(n))
+    at = F.col("place") - 1
     small, extra = F.floor(F.col("total") / bins), F.col("total") % bins
     big = extra * (small + 1)
-    return joined.withColumn("bin", F.when(at < big, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - big) / F.greatest(small, F.lit(1)))).cast("int")).drop("before", "_r", "total")
+    return joined.withColumn("bin", F.when(at < big, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - big) / F.greatest(small, F.lit(1)))).cast("int")).drop("place", "total")
 
 
 def ece(df: DataFrame, how: str = "right") -> DataFrame:
@@ -165,6 +183,60 @@ def acceptance(df: DataFrame, budget: float = 0.05, least: int = 1) -> DataFrame
     return best.select(F.col("b.conf").alias("threshold"), F.coalesce("n", F.lit(0)).alias("n"), k.alias("accepted"), bad.alias("errors"), F.try_divide(k, F.col("n")).alias("coverage"), F.try_divide(bad, k).alias("risk"))
 
 
+def automation_rate(df: DataFrame, budget: float = 0.05) -> DataFrame:
+    """The former rule, which may cut through equal confidences: rows by confidence, ties by `item_id`; the share of the
+    longest beginning whose error rate is within budget (0 if none): one row (n, accepted, rate)."""
+    rows = in_order(scored(df).withColumn("e", 1 - F.col("correct")).select("conf", "item_id", "e"), F.desc("conf"), F.asc("item_id"), values=("e",))
+    good = F.max(F.when(F.col("e_run") <= F.lit(budget) * F.col("place") + 1e-12, F.col("place")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(good, F.lit(0)).cast("bigint").alias("accepted")).withColumn("rate", F.coalesce(F.try_divide("accepted", "n"), F.lit(0.0)))
+
+
+def order_report(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Predictions (key, p, gold) on options in their order and permuted, both as indexes of the first order: n, accuracy in
+    either, and the share of rows whose selection differs."""
+    a = scored(first).select(key, F.col("pred").alias("_a"), F.col("correct").alias("_ca"))
+    b = scored(second).select(key, F.col("pred").alias("_b"), F.col("correct").alias("_cb"))
+    return a.join(b, key).agg(F.count(F.lit(1)).alias("n"), F.avg("_ca").alias("acc_order_a"), F.avg("_cb").alias("acc_order_b"), F.avg((F.col("_a") != F.col("_b")).cast("int")).alias("flip_rate"))
+
+
+def pair_report(pairs: DataFrame) -> DataFrame:
+    """Pairs of a right and a wrong continuation, scored by three readouts (loss_ok, loss_bad: lower is better; span_ok,
+    span_bad; p_ok_first, p_ok_second: probability of the right one in either order) and their ids (ok, bad): wins and
+    mean lead of each readout (the third averaged over both orders), accuracy in either order, and in how many pairs the
+    first ids differ. Equal scores win nothing."""
+    p = (F.col("p_ok_first") + F.col("p_ok_second")) / 2
+    one = lambda c: F.sum(c.cast("bigint"))
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n"), one(F.col("loss_ok") < F.col("loss_bad")).alias("loss_wins"), F.avg(F.col("loss_bad") - F.col("loss_ok")).alias("loss_lead"),
+        one(F.col("span_ok") > F.col("span_bad")).alias("span_wins"), F.avg(F.col("span_ok") - F.col("span_bad")).alias("span_lead"),
+        one(p > 0.5).alias("option_wins"), F.avg(2 * p - 1).alias("option_lead"), F.avg((F.col("p_ok_first") > 0.5).cast("int")).alias("acc_order_a"), F.avg((F.col("p_ok_second") > 0.5).cast("int")).alias("acc_order_b"),
+        one(~F.get("ok", 0).eqNullSafe(F.get("bad", 0))).alias("first_differs"),
+    )
+
+
+def harness_rows(answers: DataFrame) -> DataFrame:
+    """Answers of an outside engine (qid, kind, gold_key, probabilities map, noul, error) -> prediction, conf, correct, p_gold:
+    the likeliest key (ties: the smaller one), for noul true from 0.5 on; an answer with an error is wrong, with confidence
+    and probability 0."""
+    fine = F.col("error").isNull()
+    probs = F.when(F.col("kind") == "noul", F.create_map(F.lit("true"), F.col("noul"), F.lit("false"), 1 - F.col("noul"))).otherwise(F.col("probabilities"))
+    rows = answers.withColumn("_p", F.when(fine, probs))
+    best = F.array_min(F.transform(F.map_entries("_p"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("k"))))
+    pred = F.when(F.col("kind") == "noul", F.when(F.col("noul") >= 0.5, "true").otherwise("false")).otherwise(best["k"])
+    rows = rows.withColumns({"prediction": F.when(fine, pred), "conf": F.coalesce(-best["n"], F.lit(0.0)), "p_gold": F.coalesce(F.try_element_at("_p", F.col("gold_key")), F.lit(0.0))})
+    return rows.withColumn("correct", F.coalesce(F.col("prediction") == F.col("gold_key"), F.lit(False)).cast("int")).drop("_p")
+
+
+def harness_report(answers: DataFrame) -> DataFrame:
+    """n, accuracy, NLL (probabilities of at least 1e-12), squared distance of confidence and correctness, and the calibration
+    error over ten bins of equal size (ties by qid)."""
+    rows = cut(harness_rows(answers).select(F.col("qid").alias("item_id"), "conf", "correct", "p_gold"))
+    bins = _equal_count(rows).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("c"), F.avg("correct").alias("a"))
+    ece_ = bins.agg((F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n")).alias("ece"))
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy"), F.avg(-F.log(F.greatest("p_gold", F.lit(1e-12)))).alias("nll"), F.avg(F.pow(F.col("conf") - F.col("correct"), F.lit(2))).alias("brier"))
+    return one.crossJoin(F.broadcast(ece_))
+
+
 def wilson(errors: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
     """Wilson interval of a rate, its ends set to 0 and 1 exactly where there are no or only errors."""
     z = statistics.NormalDist().inv_cdf(0.5 + level / 2)
@@ -192,54 +264,63 @@ def quantiles(df: DataFrame, column: str, at=(0.0, 0.25, 0.5, 0.75, 1.0)) -> Dat
     return per.agg(q.alias("q")).select(F.posexplode("q").alias("i", "value")).select(F.element_at(F.array(*[F.lit(float(x)) for x in at]), F.col("i") + 1).alias("q"), "value")
 
 
-def temperature(df: DataFrame, rounds: int = 40) -> float:
-    """Temperature that minimises the NLL of (logits, gold): a grid in one aggregate, then golden sections on its log.
+# The temperatures that are tried first.
+TEMPERATURES = [0.2 + i * 4.8 / 96 for i in range(97)] + [5.5 + i * 14.5 / 29 for i in range(30)]
 
-    Only sums of NLLs reach the driver: 127 for the grid, then two per round.
-    """
-    import math
 
-    grid = [0.2 + i * 4.8 / 96 for i in range(97)] + [5.5 + i * 14.5 / 29 for i in range(30)]
+def temperature(df: DataFrame, digits: int = 6) -> float:
+    """Temperature that minimises the NLL of (logits, gold): the best of TEMPERATURES, then ever finer grids.
+
+    Every pass is one aggregate over the rows, which tries all its temperatures at once, and only their sums reach the driver;
+    each grid spans the two neighbours of the best so far in logarithms, 31 points apart evenly, so the interval
+    shrinks 15-fold per pass. The NLL has one minimum in the logarithm.
+    """
     data = df.select("logits", "gold").persist()
 
     def losses(ts: list[float]) -> list[float]:
-        row = lambda t: scores.log_sum_exp(F.transform("logits", lambda x: x / t)) - F.get("logits", F.col("gold")) / t
-        one = data.withColumn("t", F.explode(F.array(*[F.lit(t) for t in ts]))).groupBy("t").agg(F.sum(row(F.col("t"))).alias("s")).collect()
-        got = {r["t"]: r["s"] for r in one}
-        return [got.get(t, 0.0) for t in ts]
+        at = lambda t: scores.log_sum_exp(F.transform("logits", lambda x: x / t)) - F.get("logits", F.col("gold")) / t
+        each = data.withColumn("t", F.explode(F.array(*[F.lit(t) for t in ts])))
+        sums = {r["t"]: r["s"] for r in each.groupBy("t").agg(F.sum(at(F.col("t"))).alias("s")).collect()}
+        return [sums.get(t, 0.0) for t in ts]
 
     try:
-        first = losses(grid)
-        best = grid[min(range(len(grid)), key=lambda i: first[i])]
-        a, b = math.log(max(0.05, best / 2)), math.log(2 * best)
-        for _ in range(rounds):
-            c, d = b - (b - a) * 0.618, a + (b - a) * 0.618
-            lc, ld = losses([math.exp(c), math.exp(d)])
-            a, b = (a, d) if lc < ld else (c, b)
-        return math.exp((a + b) / 2)
+        grid = TEMPERATURES
+        while True:
+            found = losses(grid)
+            k = min(range(len(grid)), key=found.__getitem__)
+            low, high = math.log(grid[max(k - 1, 0)]), math.log(grid[min(k + 1, len(grid) - 1)])
+            if k == 0:
+                low = high - math.log(4)
+            elif k == len(grid) - 1 and grid is TEMPERATURES:
+                high = low + math.log(4)
+            if high - low < 10.0**-digits:
+                return grid[k]
+            grid = [math.exp(low + (high - low) * i / 30) for i in range(31)]
     finally:
         data.unpersist()
 
 
-def paired_bootstrap(df: DataFrame, samples: int = 2000, seed: str = "boot") -> DataFrame:
+def paired_bootstrap(df: DataFrame, samples: int = 2000, seed: int = 7331) -> DataFrame:
     """(unit, delta): mean delta, improved, regressed and the 95 % interval of the mean under resampling of units.
 
-    Each of `samples` replicates weights every unit by a Poisson(1) count drawn from a hash, the distributed form of
-    resampling with replacement; replicates are summed in one aggregate, so no draw is materialised on the driver.
+    Each of `samples` replicates draws a Poisson(1) number of copies of every unit, the distributed form of drawing units
+    with replacement. Units are summed first; each Arrow batch of them gives one row per replicate of weighted sums from a
+    generator that is seeded by the batch's first unit and `seed`, so rows don't multiply by replicates, and only sums are
+    shuffled. Which draws a unit gets depends on the batch it is in, so the interval's ends vary a little with partitioning.
     """
-    units = df.groupBy("unit").agg(F.sum("delta").alias("s"), F.count(F.lit(1)).alias("c"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "unit", "rep"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # Poisson(1) by inversion
-    steps, mass, out = 0.0, 2.718281828459045**-1, F.lit(8)
-    cum = []
-    for k in range(8):
-        steps += mass
-        cum.append(steps)
-        mass /= k + 1
-    for k in range(7, -1, -1):
-        out = F.when(u < cum[k], k).otherwise(out)
-    reps = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", out)
-    means = reps.groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"))
-    ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
+    units = df.groupBy(F.col("unit").cast("string").alias("unit")).agg(F.sum("delta").alias("s"), F.count(F.lit(1)).alias("c"))
+
+    def run(frames):
+        total = np.zeros((2, samples))
+        for f in frames:
+            first = int.from_bytes(hashlib.sha256(f"{seed}|{f['unit'].iloc[0]}".encode()).digest()[:8])
+            draw = np.random.default_rng(first)
+            pair = np.stack([f["s"].to_numpy(float), f["c"].to_numpy(float)])
+            for k in range(0, len(f), 1000):
+                total += pair[:, k : k + 1000] @ draw.poisson(1.0, (len(f.iloc[k : k + 1000]), samples))
+        yield pd.DataFrame({"rep": np.arange(samples), "s": total[0], "c": total[1]})
+
+    reps = units.mapInPandas(run, "rep int, s double, c double").groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("m"))
+    ends = reps.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
     overall = df.agg(F.avg("delta").alias("delta"), F.sum((F.col("delta") > 0).cast("bigint")).alias("improved"), F.sum((F.col("delta") < 0).cast("bigint")).alias("regressed"))
-    return overall.crossJoin(ends)
+    return overall.crossJoin(F.broadcast(ends))

@@ -163,10 +163,15 @@ def f04(spark, d):
     return sci.select("rec_id", "a", decisions.perturb_number(F.col("a"), F.col("rec_id")).alias("perturbed")).filter("perturbed is not null")
 
 
-@query("f08_passage_windows")
+WORD = r"[^\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+"
+
+
+@query("f08_passage_windows", f"""with w as (select rec_id, regexp_extract_all(passage, '{WORD}') as w from build_sci_decisions where passage is not null),
+ x as (select rec_id, w, len(w) as n, floor(len(w) * 0.15)::int as lo from w where len(w) >= 300), y as (select *, greatest(lo, n - 800) as hi from x)
+ select rec_id, array_to_string(list_slice(w, case when hi > lo then lo + (('0x' || substr(sha256('window|' || rec_id), 1, 8))::bigint % (hi - lo + 1)) else 0 end + 1, case when hi > lo then lo + (('0x' || substr(sha256('window|' || rec_id), 1, 8))::bigint % (hi - lo + 1)) else 0 end + 800), ' ') as "window" from y""")
 def f08(spark, d):
-    docs = t(spark, d, "documents").filter("text is not null")
-    return docs.select("doc_id", decisions.passage_window(F.col("text"), F.col("doc_id"), 80, 100).alias("window")).filter("window is not null")
+    sci = t(spark, d, "build_sci_decisions").filter("passage is not null")
+    return sci.select("rec_id", decisions.passage_window(F.col("passage"), F.col("rec_id")).alias("window")).filter("window is not null")
 
 
 @query("f09_question_tails", r"select rec_id, trim(q) as tail from build_sci_decisions where passage is not null and q is not null and not contains(q, chr(10)||'Question:') and trim(q) = trim(q, chr(32)||chr(9)||chr(10)||chr(13))")
@@ -203,12 +208,6 @@ def f22(spark, d):
     return predictions(spark, d).select("item_id", F.round(scores.log_sum_exp(F.col("logits")), 6).alias("lse"))
 
 
-@query("c01_battery")
-def c01(spark, d):
-    sci = t(spark, d, "build_sci_decisions").withColumn("g", F.concat_ws("|", F.coalesce("source", F.lit("")), F.col("pid")))
-    return decisions.battery(sci, "g")
-
-
 @query("c14_answers_by_group", f"with {PRED} select source, count(distinct item_id)::bigint as answers from s where source is not null group by 1")
 def c14(spark, d):
     s = metrics.scored(predictions(spark, d)).filter("source is not null").select(F.concat_ws("|", "source", (F.col("item_id") % 50).cast("string")).alias("state"), "source", F.col("item_id").cast("string").alias("qid"), "pred")

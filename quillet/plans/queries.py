@@ -52,6 +52,21 @@ def p03(spark, d):
     return records.qa_schema(t(spark, d, "build_sci_decisions")).filter("reason is null").select("rec_id", "q")
 
 
+_NUM = r"[+-]?(?:(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+
+
+def _numbers_sql(c: str) -> str:
+    """Literals that stand alone, as text: words are cut at all that neither belongs to a number nor to a word, so that a
+    literal is whole only if nothing of a word or a point is before it and nothing of a word behind it."""
+    found = rf"regexp_extract_all(regexp_replace(replace({c}, chr(8722), '-'), '([^\pL\pM\p{{Nd}}\p{{Pc}}.,])', '\1\1', 'g'), '(^|[^\pL\pM\p{{Nd}}\p{{Pc}}.])({_NUM})', 2)"
+    return found
+
+
+VALUE_SQL = """case when regexp_replace(regexp_extract(x, '^[+-]?([0-9.,]*)', 1), '[.,0]', '', 'g') = '' then '0' else
+  (case when x[1] = '-' then '-' else '' end) || rtrim(ltrim(regexp_replace(m, '[.]', '', 'g'), '0'), '0') || 'E' ||
+  ((case when e = '' then 0 else e::bigint end) + length(ltrim(replace(m, '.', ''), '0')) - length(rtrim(ltrim(replace(m, '.', ''), '0'), '0')) - case when contains(m, '.') then length(split_part(m, '.', 2)) else 0 end) end"""
+
+
 @query("v04_lexical_grounding")
 def p04(spark, d):
     sci = t(spark, d, "build_sci_decisions")
@@ -150,15 +165,15 @@ def j07(spark, d):
 @query("j08_shuffle_donors")
 def j08(spark, d):
     qa = t(spark, d, "build_qa_choice").filter("source is not null and split_group is not null and question is not null")
-    return joins.ring_donors(qa, ["source"], "split_group", "question", "donor")
+    return joins.ring_donors(qa, ["source"], "split_group", "question", "donor").drop("donors")
 
 
-@query("j10_tfidf_donor", r"""with doc as (select item_id as benchmark_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) as w from benchmark),
+@query("j10_tfidf_donor", r"""with doc as (select item_id as benchmark_id, unnest([x for x in regexp_extract_all(lower(text), '[a-z0-9]{4,}') if not list_contains(STOPLIST, x)]) as w from benchmark),
  tf as (select w, benchmark_id, count(*) as tf from doc group by 1, 2), n as (select count(*) as n from benchmark),
  idf as (select w, ln(1 + n.n / count(*)) as idf from tf, n group by w, n.n),
- qq as (select rec_id, unnest(list_distinct(regexp_extract_all(lower(q), '[a-z0-9]{4,}'))) as w from build_sci_decisions where q is not null),
+ qq as (select rec_id, unnest(list_distinct([x for x in regexp_extract_all(lower(q), '[a-z0-9]{4,}') if not list_contains(STOPLIST, x)])) as w from build_sci_decisions where q is not null),
  s as (select rec_id, benchmark_id, round(sum(idf * tf), 6) as score from qq join idf using (w) join tf using (w) group by 1, 2)
- select rec_id, benchmark_id, score from s qualify row_number() over (partition by rec_id order by score desc, benchmark_id) = 1""")
+ select rec_id, benchmark_id, score from s qualify row_number() over (partition by rec_id order by score desc, benchmark_id) = 1""".replace("STOPLIST", "[" + ", ".join(f"'{w}'" for w in joins.DONOR_STOPWORDS) + "]"))
 def j10(spark, d):
     docs = t(spark, d, "benchmark").select(F.col("item_id").alias("benchmark_id"), "text")
     queries = t(spark, d, "build_sci_decisions").filter("q is not null").select("rec_id", F.col("q").alias("text"))
@@ -447,10 +462,10 @@ def g20(spark, d):
 BM25_SQL = r"""tok as (select row_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '') || ' ' || coalesce(mesh, '')), '[a-z0-9]+') as w from articles),
  docs as (select row_id, len(w) as len, w from tok where len(w) > 0), st as (select count(*) as n, avg(len) as avgl from docs),
  post as (select term, row_id, any_value(len) as len, count(*) as tf from (select row_id, len, unnest(w) as term from docs) group by 1, 2),
- q as (select rec_id, list_slice([x for x in qd if not list_contains(STOPLIST, x)], 1, 24) as terms from (select rec_id, (select list(w order by i) from (select w, min(i) as i from (select unnest(ws) as w, unnest(range(len(ws))) as i) group by w)) as qd from (select rec_id, regexp_extract_all(lower(q), '[a-z0-9][a-z0-9_-]{2,}') as ws from build_sci_decisions where rec_id % 1 = 0 and type = 'definitional'))),
+ q as (select rec_id, list_slice([x for x in qd if not list_contains(STOPLIST, x)], 1, 24) as terms from (select rec_id, (select list(w order by i) from (select w, min(i) as i from (select unnest(ws) as w, unnest(range(len(ws))) as i) group by w)) as qd from (select rec_id, regexp_extract_all(lower(q), '[a-z0-9][a-z0-9_-]{2,}') as ws from build_sci_decisions where q is not null))),
  ask as (select rec_id, unnest(terms) as term from q), df as (select term, count(*) as df from post group by 1),
  sc as (select a.rec_id, p.row_id, round(sum(case when ln((st.n - d.df + 0.5)/(d.df + 0.5)) > 0 then ln((st.n - d.df + 0.5)/(d.df + 0.5)) else 1e-6 end * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / st.avgl))), 6) as score
-   from ask a join df d using (term) join post p using (term), st group by 1, 2)""".replace("rec_id % 1 = 0 and ", "").replace("STOPLIST", "[" + ", ".join(f"'{w}'" for w in retrieval.STOPWORDS) + "]")
+   from ask a join df d using (term) join post p using (term), st group by 1, 2)""".replace("STOPLIST", "[" + ", ".join(f"'{w}'" for w in retrieval.STOPWORDS) + "]")
 
 
 def _index(spark, d):
@@ -458,13 +473,8 @@ def _index(spark, d):
     return retrieval.postings(t(spark, d, "articles"), "row_id", body)
 
 
-def _asked(spark, d, which="type = 'definitional'"):
-    return t(spark, d, "build_sci_decisions").filter(which).select("rec_id", retrieval.query_terms(F.col("q")).alias("terms"))
-
-
-def _asked_all(spark, d):
-    """The questions of all records; the SQL above compares the definitional ones only."""
-    return _asked(spark, d, "q is not null")
+def _asked(spark, d):
+    return t(spark, d, "build_sci_decisions").filter("q is not null").select("rec_id", retrieval.query_terms(F.col("q")).alias("terms"))
 
 
 @query("t01_bm25_top3", f"with {BM25_SQL} select rec_id, row_id, score, row_number() over (partition by rec_id order by score desc, row_id)::int as rank from sc qualify rank <= 3")
@@ -490,22 +500,6 @@ def t03(spark, d):
     return retrieval.evidence(hits, t(spark, d, "articles"), "rec_id", "row_id", "title", "abstract")
 
 
-@query("t01_bm25_top3_all")
-def t01_all(spark, d):
-    return retrieval.bm25(_asked_all(spark, d), *_index(spark, d), "rec_id", "row_id", "terms")
-
-
-@query("t02_two_stage_all")
-def t02_all(spark, d):
-    return retrieval.two_stage(_asked_all(spark, d), *_index(spark, d), "rec_id", "row_id", "terms").select("rec_id", "row_id", "score", "rank", "stage")
-
-
-@query("t03_evidence_all")
-def t03_all(spark, d):
-    hits = retrieval.bm25(_asked_all(spark, d), *_index(spark, d), "rec_id", "row_id", "terms")
-    return retrieval.evidence(hits, t(spark, d, "articles"), "rec_id", "row_id", "title", "abstract")
-
-
 @query("t06_winner_runner_up", f"with {PRED}, r as (select item_id, list_reverse_sort(p) as v, pred from s) select item_id, pred::int as winner, round(v[1], 6) as best, round(v[2], 6) as second, (v[1] >= 0.5 and v[1] - v[2] >= 0.2) as clear from r")
 def t06(spark, d):
     keys = F.array(*[F.lit(k) for k in range(4)])
@@ -535,12 +529,16 @@ def f00(spark, d):
     return t(spark, d, "documents").filter("text is not null").select("doc_id", text.fingerprint(F.col("text")).alias("content_hash"))
 
 
-@query("f01_numbers")
+@query("f01_numbers", f"""with x as (select rec_id, n.i as i, n.x as x from (select rec_id, unnest([{{'i': k, 'x': l[k]}} for k in range(1, len(l) + 1)]) as n from (select rec_id, {_numbers_sql("a")} as l from build_sci_decisions where a is not null))),
+ y as (select rec_id, i, replace(replace(x, ',', ''), '+', '') as x from x), z as (select *, regexp_extract(x, '^-?([0-9.]*)', 1) as m, regexp_extract(x, '[eE](-?[0-9]+)$', 1) as e from y),
+ v as (select rec_id, string_agg({VALUE_SQL}, ',' order by i) as numbers from z group by 1)
+ select rec_id, coalesce(numbers, '') as numbers from build_sci_decisions left join v using (rec_id) where a is not null""")
 def f01(spark, d):
-    return t(spark, d, "build_sci_decisions").filter("a is not null").select("rec_id", F.array_join(F.transform(text.numbers(F.col("a")), lambda x: x.cast("string")), ",").alias("numbers"))
+    return t(spark, d, "build_sci_decisions").filter("a is not null").select("rec_id", F.array_join(text.numbers(F.col("a")), ",").alias("numbers"))
 
 
-@query("f05_scrub_latex")
+@query("f05_scrub_latex", rf"""select doc_id, regexp_replace(regexp_replace(case when contains(text, '{text.BODY}') then substr(text, strpos(text, '{text.BODY}') + {len(text.BODY)}) else text end,
+ '(?s)(\\%)|{text.LATEX}', '\1 ', 'g'), '[\s\x{{b}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{1c}}-\x{{1f}}]+', ' ', 'g') as prose from documents where text is not null""")
 def f05(spark, d):
     return t(spark, d, "documents").filter("text is not null").select("doc_id", text.scrub_latex(F.col("text")).alias("prose"))
 

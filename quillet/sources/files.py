@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,27 +17,39 @@ from quillet.functions import text
 BAD = "_bad_line"
 
 
-def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | T.StructType, strict: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | T.StructType, strict: bool = True, numbered: bool = False) -> DataFrame:
     """JSON lines with a declared schema; blank lines are skipped; `file` names the file of each row.
 
-    strict: a line that is no JSON object of the schema fails the query, naming file and line. Otherwise such lines are
-    dropped. Globs are allowed; a path without files fails.
+    strict: a line that is no JSON object of the schema fails the query, naming the file. Otherwise such lines are dropped.
+    numbered: adds `line`, and errors name file:line; each file is then read by one task. Globs are allowed; a path without
+    files fails.
     """
     st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     with_bad = T.StructType([*st.fields, T.StructField(BAD, T.StringType())])
-    lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("file")).filter(~F.col("value").rlike(r"^\s*$"))
-    parsed = lines.select("file", "value", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
+    if numbered:
+        lines = numbered_lines(spark, paths)
+    else:
+        lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    own = ["file", "line"] if numbered else ["file"]
+    lines = lines.filter(~F.col("value").rlike(r"^\s*$"))
+    parsed = lines.select(*own, "value", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
     broken = F.col("r").isNull() | F.col(f"r.{BAD}").isNotNull() | ~F.trim("value").startswith("{")
     if strict:
-        message = F.concat(F.lit("bad JSON line in "), "file", F.lit(": "), F.substring("value", 1, 80))
+        place = F.concat_ws(":", *own)
+        message = F.concat(F.lit("bad JSON line in "), place, F.lit(": "), F.substring("value", 1, 80))
         parsed = parsed.withColumn("file", F.when(broken, F.raise_error(message).cast("string")).otherwise(F.col("file")))
-        return parsed.select(*[F.col(f"r.{f.name}") for f in st.fields], "file")
-    return parsed.filter(~broken).select(*[F.col(f"r.{f.name}") for f in st.fields], "file")
+    else:
+        parsed = parsed.filter(~broken)
+    return parsed.select(*[F.col(f"r.{f.name}") for f in st.fields], *own)
 
 
-def read_long_texts(spark: SparkSession, paths: str | list[str], field: str = "text", least: int = 200) -> DataFrame:
-    """Texts of at least `least` characters from JSON lines; bad lines are skipped."""
-    return read_jsonl(spark, paths, f"`{field}` string", strict=False).filter(F.length(field) >= least)
+def read_long_texts(spark: SparkSession, paths: str | list[str], field: str = "text", least: int = 200, seed: str | None = None, limit: int | None = None) -> DataFrame:
+    """Texts of at least `least` characters from JSON lines; bad lines are skipped. seed: in the order of a hash; limit: only
+    the first so many of them."""
+    rows = read_jsonl(spark, paths, f"`{field}` string", strict=False).filter(F.length(field) >= least)
+    if seed is not None:
+        rows = rows.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "file", field), 256))
+    return rows.limit(limit) if limit is not None else rows
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:
@@ -62,24 +78,83 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.when(F.length(c) > 0, c) for c in cols])
 
 
+def _open(path: str):
+    fs, at = pafs.FileSystem.from_uri(path)
+    return fs.open_input_stream(at)
+
+
+def _paths(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path) of all files of paths, globs and directories, also empty ones, but for hidden ones; a path without files
+    fails. The driver lists names, as every scan does; they are spread over as many tasks."""
+    found, path = set(), spark._jvm.org.apache.hadoop.fs.Path
+    for p in [paths] if isinstance(paths, str) else paths:
+        fs = path(p).getFileSystem(spark._jsc.hadoopConfiguration())
+        before = len(found)
+        for top in fs.globStatus(path(p)) or []:
+            each = fs.listFiles(top.getPath(), True)
+            while each.hasNext():
+                f = each.next().getPath()
+                if not f.getName().startswith(("_", ".")):
+                    found.add(f.toString())
+        if len(found) == before:
+            raise FileNotFoundError(f"no files: {p}")
+    return spark.createDataFrame([(f,) for f in sorted(found)], "path string").repartition(max(1, min(len(found), 10_000)), "path")
+
+
 def file_fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, bytes, sha256) of files, distinct; a file is hashed where it is read."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).distinct().orderBy("path")
+    """(path, bytes, sha256) of files, distinct; each is hashed as a stream by the task that reads it, so files may be of
+    any size."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path in f["path"]:
+                digest, size = hashlib.sha256(), 0
+                with _open(path) as stream:
+                    while chunk := stream.read(1 << 20):
+                        digest.update(chunk)
+                        size += len(chunk)
+                rows.append((path, size, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
+
+    return _paths(spark, paths).mapInPandas(run, "path string, bytes bigint, sha256 string").orderBy("path")
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, line, value) of text files with line numbers from 1; each file is streamed by one task."""
+
+    def run(frames):
+        for f in frames:
+            for path in f["path"]:
+                rows, n = [], 0
+                with _open(path) as stream:
+                    for raw in io.BufferedReader(stream):
+                        n += 1
+                        rows.append((path, n, raw.decode("utf-8").rstrip("\r\n")))
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=["file", "line", "value"])
+                            rows = []
+                yield pd.DataFrame(rows, columns=["file", "line", "value"]).astype({"line": "int64"})
+
+    return _paths(spark, paths).mapInPandas(run, "file string, line bigint, value string")
 
 
 def write_dataset(outputs: dict[str, DataFrame], directory: str, excluded: DataFrame | None = None, about: dict | None = None) -> dict:
     """Writes each output as JSON lines into directory/name and a manifest; refuses to overwrite anything.
 
-    The manifest holds rows per output, exclusions by reason (a group-by; reasons are a fixed vocabulary) and `about`.
+    The manifest holds rows per output (observed while it is written), the digest of each of its files, exclusions by reason
+    (a group-by; reasons are a fixed vocabulary) and `about`.
     """
     spark = next(iter(outputs.values())).sparkSession
-    rows = {}
+    rows, files = {}, {}
     for name, df in outputs.items():
-        df.write.mode("errorifexists").json(f"{directory}/{name}")
-        rows[name] = spark.read.text(f"{directory}/{name}").count()
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(f"{directory}/{name}")
+        rows[name] = seen.get["n"]
+        parts = file_fingerprints(spark, f"{directory}/{name}/part-*").collect()
+        files[name] = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in parts}
     by = {r["reason"]: r["count"] for r in excluded.filter("reason is not null").groupBy("reason").count().collect()} if excluded is not None else {}
-    manifest = {**(about or {}), "rows": rows, "exclusions_by_reason": dict(sorted(by.items()))}
+    manifest = {**(about or {}), "rows": rows, "outputs": files, "exclusions_by_reason": dict(sorted(by.items()))}
     line = spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False, sort_keys=True),)], "value string")
     line.coalesce(1).write.mode("errorifexists").text(f"{directory}/manifest")
     return manifest

@@ -9,13 +9,26 @@ def one(spark, schema, row, column):
 
 
 def test_perturbed_numbers_change_one_number(spark):
-    for i in range(40):
-        got = one(spark, "a string, s int", ("from 1,200.50 to -3 mM", i), decisions.perturb_number(F.col("a"), F.col("s")))
-        left, right = got.removeprefix("from ").removesuffix(" mM").split(" to ")
-        assert (left == "1,200.50") != (right == "-3")
-        assert float(left.replace(",", "")) in (1200.5, 120.05, 600.25, 2401.0, 12005.0) and float(right) in (-3, -0.3, -1.5, -6, -30)
-    assert one(spark, "a string, s int", ("it is 0", 1), decisions.perturb_number(F.col("a"), F.col("s"))) == "it is 1"
-    assert one(spark, "a string, s int", ("no number", 1), decisions.perturb_number(F.col("a"), F.col("s"))) is None
+    rows = spark.range(40).select(F.lit("from 1,200.50 to -3 mM").alias("a"), F.col("id").alias("s"))
+    seen = set()
+    for r in rows.select(decisions.perturb_numbers(F.col("a"), F.col("s")).alias("y")).collect():
+        assert 1 <= len(r["y"]) == len(set(r["y"])) <= 3
+        for got in r["y"]:
+            left, right = got.removeprefix("from ").removesuffix(" mM").split(" to ")
+            assert (left == "1,200.50") != (right == "-3")
+            seen.add((float(left.replace(",", "")), float(right)))
+    assert seen == {(x, -3.0) for x in (120.05, 600.25, 2401.0, 12005.0)} | {(1200.5, y) for y in (-0.3, -1.5, -6.0, -30.0)}
+    assert set(one(spark, "a string, s int", ("it is 0", 1), decisions.perturb_numbers(F.col("a"), F.col("s")))) <= {"it is 1", "it is 2", "it is 5"}
+    assert one(spark, "a string, s int", ("no number", 1), decisions.perturb_numbers(F.col("a"), F.col("s"))) == []
+    assert one(spark, "a string, s int", (None, 1), decisions.perturb_numbers(F.col("a"), F.col("s"))) is None
+
+
+@pytest.mark.parametrize("text, value", [("dose 1.5e-12 mol", 1.5e-12), ("0.000000001 g", 1e-9), ("N 123456789012345678901 cells", 123456789012345678901), ("6.02e23 units", 6.02e23)])
+def test_perturbed_numbers_of_any_size(spark, text, value):
+    for k in range(6):
+        got = one(spark, "a string, s int", (text, k), decisions.perturb_number(F.col("a"), F.col("s")))
+        number = next(float(w) for w in got.split() if w[0].isdigit())
+        assert any(abs(number / (value * f) - 1) < 1e-12 for f in (0.1, 0.5, 2, 10))
 
 
 @pytest.mark.parametrize(
@@ -32,7 +45,7 @@ def test_single_edit(spark, a, b, want):
 
 def test_edits_respect_numbers(spark):
     f = lambda e, s, d: one(spark, "e string, s string, d string", (e, s, d), decisions.apply_edit(F.col("e"), F.col("s"), F.col("d")))
-    assert f("15 and 1.5 then 5 mg", "5", "7") == "15 and 1.5 then 7 mg" and f("only 15", "5", "7") is None and f("a (b) c", "(b)", "x") == "a x c"
+    assert f("15 and 1.5 then 5 mg, 5 g", "5", "7") == "15 and 1.5 then 7 mg, 7 g" and f("a $x and b", "$x", "\\\\1$") == "a \\\\1$ and b" and f("only 15", "5", "7") is None and f("a (b) c", "(b)", "x") == "a x c"
 
 
 @pytest.mark.parametrize(
@@ -58,15 +71,6 @@ def test_layout_shares_places(spark):
     assert [tuple(b) for b in got["bounds"]] == [(2, 3), (4, 6)]
 
 
-def test_battery_never_offers_the_answer_twice(spark):
-    rows = [(i, f"passage {i % 4}", "q", f"The value is {i % 6} mM", f"g{i % 4}") for i in range(24)] + [(90, "p", "q", None, "g0"), (91, "p", "q", "text only", None)]
-    out = decisions.battery(spark.createDataFrame(rows, "rec_id int, passage string, q string, a string, g string"), "g").collect()
-    assert len(out) == 24
-    for r in out:
-        assert len(set(r["options"])) == len(r["options"]) and r["options"][r["gold"]] == rows[r["rec_id"]][3]
-        assert r["related"] != rows[r["rec_id"]][3] != r["unrelated"]
-
-
 def test_overflow_policies(spark):
     df = spark.createDataFrame([(1, [1, 2, 3])], "id int, ids array<int>").withColumn("b", decisions.with_budget(F.col("ids"), 2))
     assert decisions.route_overflow(df, F.col("b.dropped"), "exclude").first()["reason"] == "input_overflow"

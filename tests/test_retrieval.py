@@ -54,7 +54,7 @@ def test_all_types_are_asked(spark, tables):
     d, articles, asked = tables
     _, score = scorer(articles)
     want = {(r, i, k + 1) for r, _, q in asked if q for k, i in enumerate(best(score(terms(q))))}
-    got = {(r["rec_id"], r["row_id"], r["rank"]): r["score"] for r in QUERIES["t01_bm25_top3_all"](spark, d).collect()}
+    got = {(r["rec_id"], r["row_id"], r["rank"]): r["score"] for r in QUERIES["t01_bm25_top3"](spark, d).collect()}
     assert set(got) == want and {asked[r][1] for r, *_ in got} == set(TYPES)
     assert all(math.isclose(s, score(terms(asked[r][2]))[i], abs_tol=2e-6) for (r, i, _), s in got.items())
 
@@ -72,7 +72,7 @@ def test_two_stages_for_all_types(spark, tables):
         more = {i: s for i, s in score(by[:8]).items() if i not in first and any(all(w in tf[i] for w in p) for p in pairs)}
         both = [(i, "and") for i in first] + ([(i, "pairs") for i in best(more)] if len(first) < 3 else [])
         want |= {(r, i, k + 1, s) for k, (i, s) in enumerate(both[:3])}
-    got = {(r["rec_id"], r["row_id"], r["rank"], r["stage"]) for r in QUERIES["t02_two_stage_all"](spark, d).collect()}
+    got = {(r["rec_id"], r["row_id"], r["rank"], r["stage"]) for r in QUERIES["t02_two_stage"](spark, d).collect()}
     assert got == want and {s for *_, s in got} == {"and", "pairs"} and {asked[r][1] for r, *_ in got} == set(TYPES)
 
 
@@ -81,5 +81,5 @@ def test_evidence_for_all_types(spark, tables):
     _, score = scorer(articles)
     part = lambda i: f"Title: {articles[i][1] or ''}\n{(articles[i][2] or '')[:600]}"
     want = {r: "\n\n".join(map(part, hits))[:2400] for r, _, q in asked if q and (hits := best(score(terms(q))))}
-    got = {r["rec_id"]: r["evidence"] for r in QUERIES["t03_evidence_all"](spark, d).collect()}
+    got = {r["rec_id"]: r["evidence"] for r in QUERIES["t03_evidence"](spark, d).collect()}
     assert got == want and {asked[r][1] for r in got} == set(TYPES)

@@ -26,7 +26,8 @@ def test_dataset_never_overwrites(spark, tmp_path):
     out = str(tmp_path / "d")
     excluded = spark.createDataFrame([("a",), ("a",), (None,)], "reason string")
     m = files.write_dataset({"rows": df}, out, excluded, {"seed": 7})
-    assert m == {"seed": 7, "rows": {"rows": 3}, "exclusions_by_reason": {"a": 2}}
+    digests = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in files.file_fingerprints(spark, out + "/rows/part-*").collect()}
+    assert m == {"seed": 7, "rows": {"rows": 3}, "outputs": {"rows": digests}, "exclusions_by_reason": {"a": 2}} and digests
     assert json.loads(spark.read.text(out + "/manifest").first()[0]) == m
     with pytest.raises(Exception, match="(?i)exist"):
         files.write_dataset({"rows": df}, out)
@@ -72,3 +73,46 @@ def test_incremental_adds_once(spark, tmp_path):
     incremental.chunk_new(spark, src, "id int, body string", out, chk, "id", "body")
     assert {r["id"]: r["count"] for r in spark.read.parquet(out).groupBy("id").count().collect()} == {1: 2, 2: 2}
     assert spark.read.parquet(out).filter(F.col("chunk_id") == 1).count() == 2
+
+
+def test_lines_are_numbered_in_errors(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": 3}\n')
+    got = files.read_jsonl(spark, str(tmp_path / "a.jsonl"), "x int", numbered=True)
+    assert sorted((r["x"], r["line"]) for r in got.collect()) == [(1, 1), (3, 3)]
+    (tmp_path / "b.jsonl").write_text('{"x": 1}\n\n{"x": 2}\nnonsense\n')
+    with pytest.raises(Exception, match=r"b\.jsonl:4"):
+        files.read_jsonl(spark, str(tmp_path / "b.jsonl"), "x int", numbered=True).collect()
+
+
+def test_fingerprints_are_streamed(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "big").write_bytes(b"x" * 3_000_001)
+    (tmp_path / "none").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in files.file_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {"big": (3_000_001, hashlib.sha256(b"x" * 3_000_001).hexdigest()), "none": (0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_long_texts_in_hash_order(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text("".join(json.dumps({"text": str(i) * 210}) + "\n" for i in range(9)) + '{"text": "short"}\n')
+    a = [r["text"] for r in files.read_long_texts(spark, str(tmp_path), seed="1", limit=4).collect()]
+    assert len(set(a)) == 4 and a == [r["text"] for r in files.read_long_texts(spark, str(tmp_path), seed="1").limit(4).collect()]
+
+
+def test_states_are_scored_at_once(spark):
+    from quillet.sources import remote
+
+    def score(f):
+        answers = []
+        for s, qs in zip(f["state"], f["questions"]):
+            if s == "bad":
+                raise ValueError("no")
+            answers.append([{"qid": q["qid"], "answer": q["ask"].upper()} for q in qs if q["qid"] != "z"])
+        return f.assign(answers=answers)
+
+    df = spark.createDataFrame([("s", "a", "x"), ("s", "z", "y"), ("t", "b", "w")], "state string, qid string, ask string")
+    got = {(r["state"], r["qid"]): (r["answer"], r["error"]) for r in remote.score_states(df, score, "state", "qid", ["ask"]).collect()}
+    assert got == {("s", "a"): ("X", None), ("s", "z"): (None, "no answer"), ("t", "b"): ("W", None)}
+    bad = spark.createDataFrame([("bad", "a", "x")], "state string, qid string, ask string")
+    r = remote.score_states(bad, score, "state", "qid", ["ask"], retries=0).first()
+    assert r["answer"] is None and "ValueError" in r["error"]
