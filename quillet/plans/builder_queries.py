@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import scores, text
 from quillet.operators import assemble, builders, decisions, guards, joins, metrics, records
-from quillet.plans.queries import PRED, VALID, _index, logits, pred_sql, predictions, rounded, t
+from quillet.plans.queries import BM25_SQL, PRED, TWO_SQL, VALID, _index, pred_sql, predictions, rounded, t
 from quillet.plans.registry import query
 
 # every white space that Python's str.split() eats, and runs of it as one blank, in SQL
@@ -200,12 +200,14 @@ def g01b(spark, d):
     return battery.join(per, "split_group").select("item_id", "first_item", "n")
 
 
-@query("c05_dev_roles")
+@query("c05_dev_roles", f"""with recursive {ITEMS_SQL}, sg as (select i4.item_id, 'question:' || sha256('0' || min(sha256({normal('question')})) over (partition by g)) as split_group from i4)
+ select item_id, split_group, case when {draw('7331', 'split_group', '4')} < 2 then 'select' when {draw('7331', 'split_group', '4')} = 2 then 'calibration' else 'policy' end as use from i5 join sg using (item_id) where reason is null and role = 'dev'""")
 def c05b(spark, d):
     return builders.dev_roles(builders.choice_battery(t(spark, d, "build_qa_choice"), t(spark, d, "benchmark"))).select("item_id", "split_group", "use")
 
 
-@query("c05_choice_decisions")
+@query("c05_choice_decisions", f"""with recursive {ITEMS_SQL}, x as (select i5.item_id, i5.role, i4.question, i4.source, i4.options[i4.gold + 1] as a, [e.o for e in list_sort([{{'h': sha256(sid || '|' || o), 'o': o}} for o in i4.options])] as options from i5 join i4 using (item_id) where i5.reason is null)
+ select item_id, role, concat_ws('_', 'qa', source, item_id) as qid, 'choice' as kind, 'Question: ' || trim(question, ' ') as state, '{builders.ASK_ITEM}' as instructions, options, list_position(options, a)::int - 1 as gold from x""")
 def c05c(spark, d):
     return builders.choice_decisions(builders.choice_battery(t(spark, d, "build_qa_choice"), t(spark, d, "benchmark")))
 
@@ -303,7 +305,9 @@ def c09(spark, d):
     return builders.grounded_variants(items, evidence, "item_id", "nev", ["mesh", "title"]).select("qid", "reason", "state", "evidence_field")
 
 
-@query("c10_retrieved")
+@query("c10_retrieved", f"""with {BM25_SQL}, {TWO_SQL}, r as (select rec_id, row_id, row_number() over (partition by rec_id order by stage, score desc, row_id) as rank from (select * from a1 union all select * from a2) qualify rank <= 3),
+ ev as (select rec_id, substr(string_agg('Title: ' || coalesce(trim(title), '') || chr(10) || substr(trim(coalesce(abstract, '')), 1, 600), chr(10) || chr(10) order by rank), 1, 2400) as e from r join articles using (row_id) group by 1)
+ select rec_id || '_gr-retrieved' as qid, case when e is null then 'no_retrieved_evidence' end as reason, 'Question: ' || b.q || coalesce(chr(10) || chr(10) || 'Evidence: ' || trim(e), '') as state from build_sci_decisions b left join ev using (rec_id) where b.q is not null""")
 def c10(spark, d):
     items = t(spark, d, "build_sci_decisions").filter("q is not null").select(F.col("rec_id").cast("string").alias("qid"), F.concat(F.lit("Question: "), "q").alias("state"))
     return builders.retrieved_variants(items, t(spark, d, "articles"), "row_id", "title", "abstract", _index(spark, d)).select("qid", "reason", "state")

@@ -46,6 +46,10 @@ PRED = pred_sql()
 
 # ---- 2.2 validation and filters
 
+# one character that is no white space
+WORD = r"[^\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
+
+
 @query("v03_qa_schema", r"""select rec_id, regexp_replace(regexp_replace(q, '^\s+', ''), '\s+$', '') as q from build_sci_decisions
  where trim(regexp_replace(coalesce(passage, ''), '[\s\x{a0}]+', ' ', 'g')) <> '' and trim(regexp_replace(coalesce(q, ''), '[\s\x{a0}]+', ' ', 'g')) <> '' and trim(regexp_replace(coalesce(a, ''), '[\s\x{a0}]+', ' ', 'g')) <> ''""")
 def p03(spark, d):
@@ -67,7 +71,19 @@ VALUE_SQL = """case when regexp_replace(regexp_extract(x, '^[+-]?([0-9.,]*)', 1)
   ((case when e = '' then 0 else e::bigint end) + length(ltrim(replace(m, '.', ''), '0')) - length(rtrim(ltrim(replace(m, '.', ''), '0'), '0')) - case when contains(m, '.') then length(split_part(m, '.', 2)) else 0 end) end"""
 
 
-@query("v04_lexical_grounding")
+def _value_sql(x: str) -> str:
+    x = f"replace(replace({x}, ',', ''), '+', '')"
+    return "(" + VALUE_SQL.replace("case when regexp_replace(regexp_extract(x,", f"case when regexp_replace(regexp_extract({x},").replace("case when x[1]", f"case when ({x})[1]").replace("(m,", f"(regexp_extract({x}, '^-?([0-9.]*)', 1),").replace("contains(m", f"contains(regexp_extract({x}, '^-?([0-9.]*)', 1)").replace("e = ''", f"regexp_extract({x}, '[eE](-?[0-9]+)$', 1) = ''").replace("e::bigint", f"regexp_extract({x}, '[eE](-?[0-9]+)$', 1)::bigint") + ")"
+
+
+def _content_sql(c: str) -> str:
+    stop = "[" + ", ".join(f"'{w}'" for w in text.STOP) + "]"
+    return f"[lower(w) for w in regexp_extract_all({c}, '(?i)[a-záéíóúñü][a-záéíóúñü\\-'']*') if length(w) > 3 and not list_contains({stop}, lower(w))]"
+
+
+@query("v04_lexical_grounding", f"""with x as (select rec_id, q, a, passage, {_content_sql("a")} as aw, {_content_sql("passage")} as pw, [{_value_sql("n")} for n in {_numbers_sql("a")}] as an, [{_value_sql("n")} for n in {_numbers_sql("passage")}] as pn from build_sci_decisions where passage is not null and q is not null and a is not null)
+ select rec_id from x where length(q) <= 400 and length(a) between 8 and 512 and regexp_matches(q, '{WORD}') and regexp_matches(a, '{WORD}') and regexp_matches(passage, '{WORD}')
+ and len([w for w in aw if list_contains(pw, w)]) >= 0.5 * len(aw) and len([n for n in an if not list_contains(pn, n)]) = 0""")
 def p04(spark, d):
     sci = t(spark, d, "build_sci_decisions")
     return sci.filter(records.grounded(F.col("q"), F.col("a"), F.col("passage"))).select("rec_id")
@@ -162,7 +178,12 @@ def j07(spark, d):
     return rounded(joins.jaccard_join(a, b, "train_id", "heldout_id", "ts", 0.6), "jaccard")
 
 
-@query("j08_shuffle_donors")
+@query("j08_shuffle_donors", """with k as (select distinct source, split_group as g, question as c from build_qa_choice where source is not null and split_group is not null and question is not null),
+ h as (select *, sha256('donor|' || source || '|' || g || '|' || c) as h from k), o as (select *, row_number() over (partition by source order by h) as p from h),
+ n as (select x.source, x.g, x.c, arg_min({'g': y.g, 'c': y.c}, y.p) as d from o x join o y on y.source = x.source and y.p between x.p + 1 and x.p + 8 and y.g <> x.g and y.c <> x.c group by 1, 2, 3),
+ a as (select source, arg_min({'g': g, 'c': c}, h) as a from h group by 1), b as (select source, any_value(a) as a, arg_min({'g': g, 'c': c}, h) filter (g <> a.g and c <> a.c) as b from h join a using (source) group by 1)
+ select source, g as split_group, c as question, coalesce(d.g, case when a.g <> g and a.c <> c then a.g when b.g <> g and b.c <> c then b.g end) as donor_group, coalesce(d.c, case when a.g <> g and a.c <> c then a.c when b.g <> g and b.c <> c then b.c end) as donor_content
+ from k left join n using (source, g, c) left join b using (source)""")
 def j08(spark, d):
     qa = t(spark, d, "build_qa_choice").filter("source is not null and split_group is not null and question is not null")
     return joins.ring_donors(qa, ["source"], "split_group", "question", "donor").drop("donors")
