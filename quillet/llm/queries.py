@@ -44,6 +44,8 @@ _COPIES = f"""q as (select 'build_qa_choice' as tab, item_id as id, {_canonical(
 
 SQL = {
     "p3_found": f"with {_W} select least(a, b) as item_a, greatest(a, b) as item_b from f",
+    "p3_classes": f"""with {_W}, k as (select item_id, train, md5(array_to_string(list_sort(ws), chr(2))) as k from w where len(ws) > 0), c as (select k, min(item_id) as cid, sum(train::int)::bigint as train, sum((not train)::int)::bigint as held from k group by 1)
+ select distinct x.cid as train_cid, y.cid as heldout_cid, x.train as train_items, y.held as heldout_items from f join k a on a.item_id = f.a join k b on b.item_id = f.b join c x on x.k = a.k join c y on y.k = b.k""",
     "p3_report": f"with {_W} select split, source, count(*)::bigint as items, count(h.b)::bigint as leaked from w left join (select distinct b from f) h on h.b = w.item_id where not train and len(ws) > 0 group by 1, 2",
     "p4_found": f"with {_COPIES} select tab, first_id, id as copy_id from c where id <> first_id",
     "p4_collapsed": f"with {_COPIES} select tab, first_id, copies::bigint as copies from c where id = first_id",
