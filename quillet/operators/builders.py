@@ -236,6 +236,37 @@ def of_kind(items: DataFrame, questions: str, kind: str) -> DataFrame:
     return items.withColumn(questions, F.map_filter(questions, lambda k, q: q["type"] == kind)).filter(F.size(questions) > 0)
 
 
+def request_reasons(df: DataFrame, state: str, questions: str) -> DataFrame:
+    """Requests with a map of questions (type, instructions, criteria: array of texts, label: text) -> reason: blank_state,
+    no_questions, unknown_type, blank_instructions, bad_criteria (choice: two or more different ones; score: two or more;
+    noul: none or two), bad_label (choice: a criterion, noul: true or false, score: a level; null is no label)."""
+    values = F.map_values(questions)
+    some = lambda f: F.exists(values, f)
+    n = lambda q: F.coalesce(F.size(q["criteria"]), F.lit(0))
+    criteria = lambda q: ((q["type"] == "choice") & ((n(q) < 2) | (F.size(F.array_distinct(q["criteria"])) < n(q)))) | ((q["type"] == "score") & (n(q) < 2)) | ((q["type"] == "noul") & ~n(q).isin(0, 2))
+    level = lambda q: q["label"].try_cast("int")
+    label = lambda q: q["label"].isNotNull() & (((q["type"] == "choice") & ~F.array_contains(q["criteria"], q["label"])) | ((q["type"] == "noul") & ~q["label"].isin("true", "false")) | ((q["type"] == "score") & (level(q).isNull() | (level(q) < 0) | (level(q) >= n(q)))))
+    return records.route(df, [
+        ("blank_state", records.blank(F.col(state))), ("no_questions", F.col(questions).isNull() | (F.size(questions) == 0)), ("unknown_type", some(lambda q: q["type"].isNull() | ~q["type"].isin("choice", "noul", "score"))),
+        ("blank_instructions", some(lambda q: records.blank(q["instructions"]))), ("bad_criteria", some(criteria)), ("bad_label", some(label)),
+    ])
+
+
+# ---- certified questions on long texts
+
+
+def certified_questions(docs: DataFrame, id: str, body: str, kind: str, generate, answer, seed: str = "7331", blind: int = 3, most: int = 1) -> DataFrame:
+    """Full texts (kind 'fulltext') -> questions that need the text: a window of each text, a reply of `generate` (a column
+    function of the window), parsed; kept if `answer` (a column function of state, question, options and a number of the try,
+    giving an index) is right with the window and at most `most` of `blind` times without. (id, window, question, options,
+    gold, bucket): bucket is the hash of the document in 0..9, for splits by document."""
+    rows = docs.filter(F.col(kind) == "fulltext").select(id, decisions.passage_window(text.scrub_latex(F.col(body)), F.col(id)).alias("window")).filter("window is not null")
+    made = rows.withColumn("_r", decisions.parse_generated(generate(F.col("window")))).filter("_r is not null").select(id, "window", "_r.question", "_r.options", "_r.gold")
+    seen = answer(F.col("window"), F.col("question"), F.col("options"), F.lit(0)) == F.col("gold")
+    hits = sum(((answer(F.lit(""), F.col("question"), F.col("options"), F.lit(k)) == F.col("gold")).cast("int") for k in range(1, blind + 1)), F.lit(0))
+    return made.filter(seen).filter(hits <= most).withColumn("bucket", records.bucket(seed, id, 10))
+
+
 # ---- multiple-choice items
 
 

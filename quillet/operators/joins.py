@@ -152,7 +152,7 @@ def nearest_by_tfidf(queries: DataFrame, docs: DataFrame, query_id: str, doc_id:
     terms = docs.select(doc_id, *[F.col(c).alias(f"_{c}") for c in apart], F.explode(donor_terms(F.col(text_col), least)).alias("w"))
     terms = cut(terms.groupBy("w", doc_id, *theirs.values()).agg(F.count(F.lit(1)).alias("tf")))
     df = terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    limit = hot_threshold(terms.count())
+    limit = hot_threshold(terms.count())  # so at most 1,000 terms are split
     idf = df.select("w", F.log(1 + F.lit(n) / F.col("df")).alias("idf"), F.ceil(F.col("df") / limit).cast("int").alias("parts"))
     asked = queries.select(query_id, *apart, F.explode(F.array_distinct(donor_terms(F.col(text_col), least))).alias("w")).join(idf, "w")
     asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

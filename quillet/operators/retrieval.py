@@ -43,6 +43,15 @@ def write_index(docs: DataFrame, id: str, body: Column, path: str, buckets: int
     lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
 
 
+def read_index(queries: DataFrame, path: str, terms: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of write_index; of the postings only the buckets of asked terms are read (their numbers, at most
+    `buckets`, are told first, so the scan is pruned to those folders)."""
+    spark = queries.sparkSession
+    asked = queries.select(F.explode(terms).alias("term")).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct()
+    numbers = [r["b"] for r in asked.collect()]
+    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(numbers)).drop("bucket"), spark.read.parquet(f"{path}/lengths")
+
+
 def query_terms(c: Column, most: int = 24) -> Column:
     """Distinct terms of three or more characters without stop-words, in order, at most `most`."""
     found = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9][a-z0-9_-]{2,})"), F.lit(1))
@@ -52,16 +61,22 @@ def query_terms(c: Column, most: int = 24) -> Column:
 def bm25_scores(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) of all documents that share a term with a query, by BM25.
 
-    idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not positive. Only postings of asked terms are read.
+    idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not positive. Only postings of asked terms are read. Terms with
+    more than a thousandth of all occurrences (and 50,000) are split by a hash of the document, so none meets all its queries in one
+    task. post may come from read_index, which reads only the buckets of asked terms.
     """
-    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"), (F.sum("len") / 1000).alias("_heavy"))
     asked = queries.select(query_id, F.explode(F.array_distinct(terms)).alias("term"))
     wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     raw = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).withColumn("_idf", F.when(raw > 0, raw).otherwise(1e-6)).select("term", "_idf", "_avg")
+    parts = F.ceil(F.col("_df") / F.greatest("_heavy", F.lit(50_000.0))).cast("int")
+    idf = df.crossJoin(F.broadcast(stats)).withColumn("_idf", F.when(raw > 0, raw).otherwise(1e-6)).select("term", "_idf", "_avg", parts.alias("_parts"))
+    heavy = F.broadcast(idf.filter("_parts > 1").select("term", F.col("_parts").alias("_p")))  # at most 1,000 terms
+    spread = wanted.join(heavy, "term", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(id), F.col("_p")).cast("int"), F.lit(0))).drop("_p")
+    asked = asked.join(idf, "term").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     part = F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
-    return asked.join(idf, "term").join(wanted, "term").groupBy(query_id, id).agg(F.round(F.sum(part), 6).alias("score"))
+    return asked.join(spread, ["term", "_part"]).groupBy(query_id, id).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, top: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ frequency, as many as the pigeonhole principle demands. That loses no pair: two
 - either two of them are rare (in at most one of 1,000 sets each): pairs of rare members meet;
 - or one is rare and c-1 of the n others are shared, so one of the first n-(c-1)+1 others, in one order: it meets with it;
 - or none is rare and c of the others are shared, so three are among the first n-c+3.
-Sets under 9 members and over 64 use single members of the usual prefix instead; sets near those bounds use both.
+Sets under 9 members and over 40 use single members of the usual prefix instead; sets near those bounds use both.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RARE = 1000  # a member is rare in at most one of RARE sets; so at most RARE x (mean set size) members are not rare
-TINY, LONG = 8, 64
+TINY, LONG = 8, 40
 
 
 def shared_members(s: int, s2: int, t: float) -> int:
@@ -137,17 +137,18 @@ def _blocks(classes: DataFrame, common: np.ndarray, rank: np.ndarray, most: dict
 
 
 def fingerprint(w: Column) -> Column:
-    """64 bits of a set of member hashes: 58 of which each member flips one, and 6 for the set's size (63: that or more)."""
-    flip = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(x, 8), F.lit(58)).cast("int"))
+    """64 bits of a set of member hashes: 54 of which each member flips one, and 10 for the set's size (1023: that or more)."""
+    flip = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(x, 8), F.lit(54)).cast("int"))
     parity = F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(flip(x)))
-    return F.shiftleft(parity, 6).bitwiseOR(F.least(F.size(w), F.lit(63)).cast("bigint"))
+    return F.shiftleft(parity, 10).bitwiseOR(F.least(F.size(w), F.lit(1023)).cast("bigint"))
 
 
 def within_radius(a: str, b: str, t: float) -> Column:
-    """Whether two codes differ in no more bits than sets of these sizes may differ in members; always so for long sets."""
-    sa, sb = F.col(a).bitwiseAND(F.lit(63)), F.col(b).bitwiseAND(F.lit(63))
+    """Whether two codes differ in no more bits than sets of these sizes may differ in members. From 1,023 members on any two
+    codes do: the radius is above 54 then."""
+    sa, sb = F.col(a).bitwiseAND(F.lit(1023)), F.col(b).bitwiseAND(F.lit(1023))
     radius = sa + sb - 2 * F.ceil(F.lit(t / (1 + t)) * (sa + sb) - 1e-9)
-    return (F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 6)) <= radius) | (sa == 63) | (sb == 63)
+    return F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 10)) <= radius
 
 
 def name(w: Column) -> list[Column]:
@@ -177,7 +178,7 @@ def similar_sets(a: DataFrame, b: DataFrame, universe: DataFrame, t: float) -> D
     mask = (1 << min(63, 24 + n.bit_length())) - 1
     x = _blocks(a, h[by], by, most, mask, t).withColumnRenamed("code", "a_code")
     y = _blocks(b, h[by], by, most, mask, t).withColumnRenamed("code", "b_code")
-    near = x.join(y, "key").filter(within_radius("a_code", "b_code", t)).select("a_code", "b_code").distinct()
+    near = x.join(y.hint("merge"), "key").filter(within_radius("a_code", "b_code", t)).select("a_code", "b_code").distinct()
     left = a.select(F.col("code").alias("a_code"), F.col("cid").alias("a_cid"), F.col("w").alias("w1"))
     right = b.select(F.col("code").alias("b_code"), F.col("cid").alias("b_cid"), F.col("w").alias("w2"))
     pairs = near.join(left, "a_code").join(right, "b_code").withColumn("overlap", F.size(F.array_intersect("w1", "w2")))

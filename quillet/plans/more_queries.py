@@ -15,13 +15,13 @@ def state():
 
 
 
-@query("v01_decision_checks", "select case when options is null or len(options) < 2 then 'too_few_options' when len([o for o in options if o is null or o = '']) > 0 then 'empty_option' when len(list_distinct(options)) < len(options) then 'repeated_option' when gold is null or gold < 0 or gold >= len(options) then 'gold_out_of_range' else 'valid' end as outcome, count(*)::bigint as n from build_qa_choice group by 1")
+@query("v01_decision_checks", "select item_id, case when options is null or len(options) < 2 then 'too_few_options' when len([o for o in options if o is null or o = '']) > 0 then 'empty_option' when len(list_distinct(options)) < len(options) then 'repeated_option' when gold is null or gold < 0 or gold >= len(options) then 'gold_out_of_range' else 'valid' end as outcome from build_qa_choice")
 def p01(spark, d):
     ids = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.array(c))
     opts = F.transform("options", lambda o: F.when(o.isNotNull(), ids(o)))
     qa = t(spark, d, "build_qa_choice")
     out = F.coalesce(records.decision_problem(F.array(F.lit(1)), opts, F.col("gold")), F.lit("valid"))
-    return qa.groupBy(out.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return qa.select("item_id", out.alias("outcome"))
 
 
 @query("v17_encode_with_budget", "select rec_id, least(length(passage), 640)::int as kept, greatest(length(passage) - 640, 0)::int as dropped, unicode(passage[1]) + 1 as first_id from build_sci_decisions where passage is not null and passage <> ''")
@@ -63,11 +63,11 @@ def p22(spark, d):
     return sci.select("rec_id", F.when(F.col("b") == 0, F.array("a", "q")).otherwise(F.array("q", "a")).alias("options"), F.col("b").cast("int").alias("gold"))
 
 
-@query("v25_evidence_checks", r"select case when passage is null or q is null then 'bad_span' when trim(regexp_replace(passage, '[\s\x{b}\x{85}\p{Z}]+', ' ', 'g')) = '' then case when passage = '' then 'bad_span' else 'blank_evidence' end when document_id is null or trim(document_id) = '' then 'no_group' else 'usable' end as outcome, count(*)::bigint as n from build_sci_decisions group by 1")
+@query("v25_evidence_checks", r"select rec_id, case when passage is null or q is null then 'bad_span' when trim(regexp_replace(passage, '[\s\x{b}\x{85}\p{Z}]+', ' ', 'g')) = '' then case when passage = '' then 'bad_span' else 'blank_evidence' end when document_id is null or trim(document_id) = '' then 'no_group' else 'usable' end as outcome from build_sci_decisions")
 def p25(spark, d):
     sci = t(spark, d, "build_sci_decisions")
     why = decisions.evidence_problem(state(), F.lit(9), F.length("passage") + 9, F.col("document_id"))
-    return sci.groupBy(F.coalesce(why, F.lit("usable")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return sci.select("rec_id", F.coalesce(why, F.lit("usable")).alias("outcome"))
 
 
 @query("v26_repeated_identities", "with x as (select sha256(concat_ws('|', split_group, array_to_string(list_sort(options), '|'))) as identity from build_qa_choice where split_group is not null and options is not null and len([o for o in options if o is null]) = 0) select identity, count(*)::bigint as n from x group by 1 having count(*) > 1")
@@ -208,8 +208,8 @@ def f22(spark, d):
     return predictions(spark, d).select("item_id", F.round(scores.log_sum_exp(F.col("logits")), 6).alias("lse"))
 
 
-@query("c14_answers_by_group", f"with {PRED} select source, count(distinct item_id)::bigint as answers from s where source is not null group by 1")
+@query("c14_answers_by_group", f"with {PRED} select source || '|' || (item_id % 50) as state, string_agg(item_id || ':' || pred, ',' order by item_id::varchar) as answers from s where source is not null group by 1")
 def c14(spark, d):
     s = metrics.scored(predictions(spark, d)).filter("source is not null").select(F.concat_ws("|", "source", (F.col("item_id") % 50).cast("string")).alias("state"), "source", F.col("item_id").cast("string").alias("qid"), "pred")
     per = decisions.gather_answers(s, "state", "qid", "pred")
-    return per.groupBy(F.substring_index("state", "|", 1).alias("source")).agg(F.sum(F.size("answers")).alias("answers"))
+    return per.select("state", F.array_join(F.transform(F.array_sort(F.map_entries("answers")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("answers"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.functions import scores, text
-from quillet.operators import assemble, graph, joins, metrics, records, retrieval
+from quillet.operators import assemble, decisions, graph, joins, metrics, records, retrieval
 from quillet.plans.registry import query
 
 
@@ -95,10 +95,9 @@ CHOICE_SQL = r"""c as (select *, case
   when len(list_distinct([trim(regexp_replace(o, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g')) for o in options])) < 4 then 'invalid_options' end as reason from build_qa_choice)"""
 
 
-@query("v05_choice_schema", f"with {CHOICE_SQL} select coalesce(reason, 'kept') as reason, count(*)::bigint as n from c group by 1")
+@query("v05_choice_schema", f"with {CHOICE_SQL} select item_id, reason from c")
 def p05(spark, d):
-    routed = records.route(t(spark, d, "build_qa_choice"), records.choice_reasons())
-    return routed.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return records.route(t(spark, d, "build_qa_choice"), records.choice_reasons()).select("item_id", "reason")
 
 
 @query("v10_least_words", r"select row_id from articles where len(regexp_extract_all(abstract, '[^\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+')) >= 80")
@@ -119,10 +118,10 @@ def p19(spark, d):
     return qa.select("item_id", F.array_join(order.cast("array<string>"), ",").alias("canonical"))
 
 
-@query("v18_overflow_route", "select case when length(passage) > 2000 then 'input_overflow' else 'kept' end as route, count(*)::bigint as n, sum(least(length(passage), 2000))::bigint as chars from build_sci_decisions where passage is not null group by 1")
+@query("v18_overflow_route", "select rec_id, case when length(passage) > 2000 then 'input_overflow' end as reason, least(length(passage), 2000)::int as kept from build_sci_decisions where passage is not null")
 def p18(spark, d):
-    rows = t(spark, d, "build_sci_decisions").filter("passage is not null").withColumn("n", F.length("passage"))
-    return rows.groupBy(F.when(F.col("n") > 2000, "input_overflow").otherwise("kept").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("n", F.lit(2000)).cast("bigint")).alias("chars"))
+    rows = t(spark, d, "build_sci_decisions").filter("passage is not null").withColumn("b", decisions.with_budget(F.split("passage", ""), 2000))
+    return decisions.route_overflow(rows, F.col("b.dropped"), "exclude").select("rec_id", "reason", F.size("b.ids").alias("kept"))
 
 
 @query("v23_instruction_variants", f"with {PRED} select item_id || '_v' || v as qid, gold, (['Choose the best answer.', 'Pick one option.'])[v + 1] as instructions from pr, range(2) r(v)")
@@ -618,12 +617,12 @@ def s07(spark, d):
     return files.corpus_record(rows).select("id", "title", "body")
 
 
-@query("s18_merge_caches", "select doc_id % 997 as key, max(doc_id % 997) as vec from documents group by 1")
+@query("s18_merge_caches", "select sha256(text) as key, max(length(text))::int as vec from documents where text is not null group by 1")
 def s18(spark, d):
     from quillet.sources import files
 
-    a = t(spark, d, "documents").select((F.col("doc_id") % 997).alias("key"), (F.col("doc_id") % 997).alias("vec"))
-    return files.merge_caches([a.filter("key < 500"), a.filter("key >= 400")])
+    a = t(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("key"), F.length("text").alias("vec"))
+    return files.merge_caches([a.filter("doc_id % 3 < 2").drop("doc_id"), a.filter("doc_id % 3 > 0").drop("doc_id")])
 
 
 @query("s21_late_rows", "select date_trunc('day', created_at) as start, date_trunc('day', created_at) + interval 1 day as \"end\", count(*)::bigint as n, coalesce(sum((ingested_at::date - created_at::date > 0)::int), 0)::bigint as late from documents where created_at is not null group by 1, 2")

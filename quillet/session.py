@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -29,11 +30,14 @@ def local_session(app: str = "quillet", cores: str = "*", partitions: int = 8) -
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; make one only where it is unset."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; make one only where it is unset and all runs in one
+    process, as in tests. A machine's own folder is of no use to other machines, so elsewhere an unset folder fails."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", "") or ""
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillet-checkpoint-"))
 
 

@@ -67,6 +67,17 @@ def read_pairs(spark: SparkSession, directory: str, limit: int | None = None) ->
     return df.withColumns({c: F.slice(c, 1, limit) for c in ("ctx", "ok", "bad")}) if limit else df
 
 
+def read_decisions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Encoded decisions (ctx, opts, gold, kind, option_keys, encoding, qid, split_group, source) from JSON lines; a row that
+    is no valid decision fails the query, naming its file and why."""
+    df = read_jsonl(spark, paths, "ctx array<int>, opts array<array<int>>, gold int, kind string, option_keys array<string>, encoding string, qid string, split_group string, source string")
+    ctx, opts, gold = F.col("ctx"), F.col("opts"), F.col("gold")
+    why = F.when(ctx.isNull() | (F.size(ctx) == 0), "empty_context").when(opts.isNull() | (F.size(opts) < 2), "too_few_options").when(F.exists(opts, lambda o: o.isNull() | (F.size(o) == 0)), "empty_option")
+    why = why.when(F.size(F.array_distinct(opts)) < F.size(opts), "repeated_option").when(gold.isNull() | (gold < 0) | (gold >= F.size(opts)), "gold_out_of_range")
+    bad = F.raise_error(F.concat(F.lit("bad decision in "), F.col("file"), F.lit(": "), why)).cast("int")
+    return df.withColumn("gold", F.when(why.isNotNull(), bad).otherwise(gold))
+
+
 def explode_requests(df: DataFrame, questions: str = "questions", labelled_only: bool = True) -> DataFrame:
     """One row per question of a map of questions: qid, question; only those with a label, if asked."""
     out = df.select(*[c for c in df.columns if c != questions], F.explode(F.map_entries(questions)).alias("_e")).select("*", F.col("_e.key").alias("qid"), F.col("_e.value").alias("question")).drop("_e")

@@ -196,3 +196,23 @@ def test_nearest_leaves_out_stop_words_and_falls_back(spark):
     assert got == {"a": 2, "c": 2}
     far = {r["qid"]: (r["doc"], r["score"]) for r in joins.nearest_by_tfidf(asked, docs, "qid", "doc", "t", apart=["grp"], fallback=True).collect()}
     assert far["a"][0] == 2 and far["b"][0] in (1, 3) and far["c"][0] in (1, 3) and far["c"][1] == 0.0
+
+
+def test_request_checks(spark):
+    q = lambda t, c=None, label=None, ask="do": {"x": (t, ask, c, label)}
+    rows = [
+        (1, "s", q("choice", ["a", "b"], "a"), None), (2, " ", q("noul"), "blank_state"), (3, "s", {}, "no_questions"), (4, "s", None, "no_questions"), (5, "s", q("other"), "unknown_type"), (6, "s", q("noul", ask=" "), "blank_instructions"),
+        (7, "s", q("choice", ["a", "a"], "a"), "bad_criteria"), (8, "s", q("choice", ["a", "b"], "c"), "bad_label"), (9, "s", q("noul", None, "yes"), "bad_label"), (10, "s", q("score", ["l", "h"], "2"), "bad_label"), (11, "s", q("score", ["l", "h"], "1"), None),
+        (12, "s", q("noul", ["t"], "true"), "bad_criteria"), (13, "s", q("noul", None, "true"), None), (14, "s", q("score", ["l", "h"]), None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, s string, q map<string,struct<type:string,instructions:string,criteria:array<string>,label:string>>")
+    assert {r["id"]: r["reason"] for r in builders.request_reasons(df, "s", "q").collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_certified_questions_need_their_text(spark):
+    body = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, body, "fulltext"), (2, body, "abstract"), (3, "short", "fulltext"), (4, body + " easy", "fulltext"), (5, body + " wrong", "fulltext"), (6, None, "fulltext")], "id int, t string, k string")
+    reply = lambda w: F.concat(F.lit('{"question": "'), F.when(w.contains("easy"), "easy").when(w.contains("wrong"), "wrong").otherwise("hard"), F.lit('", "options": ["a", "b", "c", "d"], "answer": 2}'))
+    answer = lambda state, q, o, k: F.when(q == "easy", 2).when(q == "wrong", 0).when(state == "", F.when(k == 1, 2).otherwise(0)).otherwise(2)
+    got = builders.certified_questions(docs, "id", "t", "k", reply, answer).collect()
+    assert [(r["id"], r["question"], r["gold"]) for r in got] == [(1, "hard", 2)] and 0 <= got[0]["bucket"] < 10

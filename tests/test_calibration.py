@@ -54,3 +54,12 @@ def test_injected_source(spark):
     injected.register(spark, "numbers", "n int, part int", lambda options, part, parts: [(i, part) for i in range(int(options["upto"])) if i % parts == part])
     df = spark.read.format("numbers").option("upto", "10").option("parts", "3").load()
     assert sorted(r["n"] for r in df.collect()) == list(range(10)) and df.select("part").distinct().count() == 3
+
+
+def test_evaluation_of_suites(spark):
+    fitted, report = calibration.evaluate(spark, rows(spark, 0, 100), rows(spark, 1000, 100), {"one": rows(spark, 5000, 50), "two": rows(spark, 6000, 10)}, "id")
+    got = {r["suite"]: r for r in report.collect()}
+    assert got["one"]["n"] == 50 and got["two"]["accuracy"] == 0.9 and got["two"]["accepted"] == 8 and got["one"]["recall_4"] == 1.0
+    assert fitted["provenance"]["temperature"]["rows"] == 100
+    with pytest.raises(ValueError, match="share"):
+        calibration.evaluate(spark, rows(spark, 0, 100), rows(spark, 1000, 100), {"one": rows(spark, 50, 10)}, "id")

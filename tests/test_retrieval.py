@@ -83,3 +83,22 @@ def test_evidence_for_all_types(spark, tables):
     want = {r: "\n\n".join(map(part, hits))[:2400] for r, _, q in asked if q and (hits := best(score(terms(q))))}
     got = {r["rec_id"]: r["evidence"] for r in QUERIES["t03_evidence"](spark, d).collect()}
     assert got == want and {asked[r][1] for r in got} == set(TYPES)
+
+
+def test_written_index_gives_the_same_hits(spark, tables, tmp_path):
+    from pyspark.sql import functions as F
+
+    d, *_ = tables
+    articles = spark.read.parquet(f"{d}/articles.parquet")
+    body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")), F.coalesce("mesh", F.lit("")))
+    retrieval.write_index(articles, "row_id", body, str(tmp_path / "ix"), 8)
+    asked = spark.read.parquet(f"{d}/build_sci_decisions.parquet").filter("q is not null").select("rec_id", retrieval.query_terms(F.col("q")).alias("terms"))
+    got = retrieval.bm25(asked, *retrieval.read_index(asked, str(tmp_path / "ix"), "terms", 8), "rec_id", "row_id", "terms")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, QUERIES["t01_bm25_top3"](spark, d).select(*got.columns).collect()))
+
+
+def test_stop_words_of_queries(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.sql("select 'Above all, which enzyme must act only through the same beta-cell very often?' as q").select(retrieval.query_terms(F.col("q"))).first()[0]
+    assert got == ["enzyme", "act", "beta-cell", "often"]

@@ -116,3 +116,13 @@ def test_states_are_scored_at_once(spark):
     bad = spark.createDataFrame([("bad", "a", "x")], "state string, qid string, ask string")
     r = remote.score_states(bad, score, "state", "qid", ["ask"], retries=0).first()
     assert r["answer"] is None and "ValueError" in r["error"]
+
+
+def test_decisions_are_checked(spark, tmp_path):
+    good = {"ctx": [1], "opts": [[1], [2, 3]], "gold": 1, "kind": "choice", "qid": "q"}
+    (tmp_path / "a.jsonl").write_text(json.dumps(good) + "\n")
+    assert files.read_decisions(spark, str(tmp_path / "a.jsonl")).first()["gold"] == 1
+    for change, why in (({"ctx": []}, "empty_context"), ({"opts": [[1]]}, "too_few"), ({"opts": [[1], [1]]}, "repeated"), ({"opts": [[1], []]}, "empty_option"), ({"gold": 2}, "out_of_range")):
+        (tmp_path / "b.jsonl").write_text(json.dumps({**good, **change}) + "\n")
+        with pytest.raises(Exception, match=why):
+            files.read_decisions(spark, str(tmp_path / "b.jsonl")).collect()
