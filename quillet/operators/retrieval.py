@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions import text
+from quillet.session import cut
 
 # Words that a query leaves out.
 STOPWORDS = (
@@ -58,30 +59,43 @@ def query_terms(c: Column, most: int = 24) -> Column:
     return F.slice(F.filter(F.array_distinct(found), lambda t: ~t.isin(STOPWORDS)), 1, most)
 
 
-def bm25_scores(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score) of all documents that share a term with a query, by BM25.
-
-    idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not positive. Only postings of asked terms are read. Terms with
-    more than a thousandth of all occurrences (and 50,000) are split by a hash of the document, so none meets all its queries in one
-    task. post may come from read_index, which reads only the buckets of asked terms.
-    """
-    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"), (F.sum("len") / 1000).alias("_heavy"))
-    asked = queries.select(query_id, F.explode(F.array_distinct(terms)).alias("term"))
+def contributions(asked: DataFrame, post: DataFrame, lengths: DataFrame, id: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(term, id, part, df) for the postings of asked terms (column term): what a term adds to a document's BM25 score, and in how many
+    documents it is. idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not positive."""
+    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"))
     wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    raw = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    parts = F.ceil(F.col("_df") / F.greatest("_heavy", F.lit(50_000.0))).cast("int")
-    idf = df.crossJoin(F.broadcast(stats)).withColumn("_idf", F.when(raw > 0, raw).otherwise(1e-6)).select("term", "_idf", "_avg", parts.alias("_parts"))
-    heavy = F.broadcast(idf.filter("_parts > 1").select("term", F.col("_parts").alias("_p")))  # at most 1,000 terms
-    spread = wanted.join(heavy, "term", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(id), F.col("_p")).cast("int"), F.lit(0))).drop("_p")
-    asked = asked.join(idf, "term").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = df.crossJoin(F.broadcast(stats)).withColumn("_idf", F.when(raw > 0, raw).otherwise(1e-6)).drop("_n")
     part = F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
-    return asked.join(spread, ["term", "_part"]).groupBy(query_id, id).agg(F.round(F.sum(part), 6).alias("score"))
+    return wanted.join(idf, "term").select("term", id, part.alias("part"), "df")
 
 
 def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, top: int = 3) -> DataFrame:
-    """The `top` documents per query by BM25: (query_id, id, score, rank), ties by smaller id."""
-    return top_ranked(bm25_scores(queries, post, lengths, query_id, id, terms), query_id, id, top)
+    """The `top` documents per query by BM25: (query_id, id, score, rank), ties by smaller id.
+
+    Exact, without joining every query with all postings of its frequent terms: the top-th largest part of any of its terms
+    bounds a query's top-th score from below. Terms whose largest parts stay below that bound even together can't lift a
+    document into the result alone; candidates come from the postings of the other, rarer terms, those that could not
+    get in with all that is left are dropped, and the rest look up their remaining terms by (term, document), a key that is
+    never hot. post may come from read_index, which reads the buckets of asked terms only.
+    """
+    slack = 1e-5  # scores are rounded to 1e-6
+    asked = queries.select(query_id, F.explode(F.array_distinct(terms)).alias("term"))
+    parts = cut(contributions(asked, post, lengths, id))
+    best = top_ranked(parts.select("term", id, F.col("part").alias("score")), "term", id, top)
+    bounds = best.groupBy("term").agg(F.max("score").alias("most"), F.when(F.count(F.lit(1)) == top, F.min("score")).alias("kth"))
+    mine = Window.partitionBy(query_id)
+    each = asked.join(bounds, "term").withColumn("least", F.coalesce(F.max("kth").over(mine), F.lit(0.0)))
+    each = cut(each.withColumn("needed", F.sum("most").over(mine.orderBy("most", "term")) + slack >= F.col("least")))
+    found = each.filter("needed").join(parts, "term").groupBy(query_id, id).agg(F.sum("part").alias("score"))
+    others = each.filter(~F.col("needed")).groupBy(query_id).agg(F.sum("most").alias("_rest"), F.collect_list("term").alias("_terms"))
+    found = cut(found.join(others, query_id, "left"))
+    kth = top_ranked(found.select(query_id, id, "score"), query_id, id, top).filter(F.col("rank") == top).select(query_id, F.col("score").alias("_kth"))
+    near = found.join(kth, query_id, "left").filter(F.col("_kth").isNull() | (F.col("score") + F.coalesce("_rest", F.lit(0.0)) + slack >= F.col("_kth")))
+    more = near.select(query_id, id, F.explode("_terms").alias("term")).join(parts.select("term", id, "part"), ["term", id]).groupBy(query_id, id).agg(F.sum("part").alias("_more"))
+    total = near.join(more, [query_id, id], "left").select(query_id, id, F.round(F.col("score") + F.coalesce("_more", F.lit(0.0)), 6).alias("score"))
+    return top_ranked(total, query_id, id, top)
 
 
 def top_ranked(scores: DataFrame, query_id: str, id: str, top: int) -> DataFrame:
@@ -97,26 +111,34 @@ def two_stage(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id:
     """Documents that hold all of a query's four longest terms, by BM25 of those; queries with fewer than `top` are filled
     up with documents that hold both terms of one of the four pairs among the eight longest: (.., score, rank, stage).
 
-    Length order is stable. Both stages join postings of asked terms only.
+    Length order is stable. Each conjunction starts from the postings of its rarest term and looks the others up by (term,
+    document), so frequent terms' postings are never joined with their queries.
     """
     by = F.transform(F.array_sort(F.transform(terms, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))), lambda s: s["t"])
-    q = queries.select(query_id, by.alias("_r")).filter(F.size("_r") > 0)
+    q = queries.select(query_id, F.slice(by, 1, 8).alias("_r")).filter(F.size("_r") > 0)
+    parts = cut(contributions(q.select(F.explode("_r").alias("term")), post, lengths, id))
+    df = parts.groupBy("term").agg(F.first("df").alias("df"))
     one = q.select(query_id, F.slice("_r", 1, 4).alias("_t"), F.lit(0).alias("_g"))
-    eight = F.slice("_r", 1, 8)
-    pairs = q.filter(F.size("_r") >= 2).select(query_id, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size(eight) - 1) / 2).cast("int")), lambda i: F.slice(eight, i * 2 + 1, 2))).alias("_g", "_t"))
+    pairs = q.filter(F.size("_r") >= 2).select(query_id, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_r") - 1) / 2).cast("int")), lambda i: F.slice("_r", i * 2 + 1, 2))).alias("_g", "_t"))
 
     def matching(groups: DataFrame) -> DataFrame:
-        each = groups.select(query_id, "_g", F.size("_t").alias("_need"), F.explode("_t").alias("term"))
-        got = each.join(post, "term").groupBy(query_id, "_g", "_need", id).agg(F.countDistinct("term").alias("_have"))
-        return got.filter("_have = _need").select(query_id, id).distinct()
-
-    first = bm25_scores(one.withColumnRenamed("_t", "_q"), post, lengths, query_id, id, "_q").join(matching(one), [query_id, id], "left_semi")
-    first = top_ranked(first, query_id, id, top)
-    full = first.groupBy(query_id).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= top)
-    asked = q.select(query_id, eight.alias("_q")).join(full, query_id, "left_anti")
-    more = bm25_scores(asked, post, lengths, query_id, id, "_q").join(matching(pairs), [query_id, id], "left_semi")
-    more = more.join(first.select(query_id, id), [query_id, id], "left_anti")
-    more = top_ranked(more, query_id, id, top)
+        each = groups.select(query_id, "_g", F.size("_t").alias("_need"), F.explode("_t").alias("term")).join(df, "term")
+        known = each.groupBy(query_id, "_g", "_need").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("_s")).filter(F.size("_s") == F.col("_need"))
+        start = known.withColumn("term", F.get("_s", 0)["term"]).join(parts.select("term", id), "term")
+        rest = start.select(query_id, "_g", "_need", id, F.explode_outer(F.transform(F.slice("_s", 2, 7), lambda s: s["term"])).alias("term"))
+        alone = rest.filter("term is null").select(query_id, id)
+        held = rest.filter("term is not null").join(parts.select("term", id), ["term", id]).groupBy(query_id, "_g", "_need", id).agg(F.count(F.lit(1)).alias("_have"))
+        return held.filter("_have = _need - 1").select(query_id, id).unionAll(alone).distinct()
+
+    def scored(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        each = rows.join(wanted, query_id).select(query_id, id, F.explode("_t").alias("term"))
+        sums = each.join(parts.select("term", id, "part"), ["term", id]).groupBy(query_id, id).agg(F.round(F.sum("part"), 6).alias("score"))
+        return top_ranked(sums, query_id, id, top)
+
+    first = cut(scored(matching(one), one.select(query_id, "_t")))
+    full = first.groupBy(query_id).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= top).select(query_id)
+    more = matching(pairs.join(full, query_id, "left_anti")).join(first.select(query_id, id), [query_id, id], "left_anti")
+    more = scored(more, q.select(query_id, F.col("_r").alias("_t")))
     both = first.select(query_id, id, "score", F.lit("and").alias("stage")).unionByName(more.select(query_id, id, "score", F.lit("pairs").alias("stage")))
     w = Window.partitionBy(query_id).orderBy("stage", F.desc("score"), F.asc(id))
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
