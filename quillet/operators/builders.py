@@ -238,12 +238,12 @@ def of_kind(items: DataFrame, questions: str, kind: str) -> DataFrame:
 
 def request_reasons(df: DataFrame, state: str, questions: str) -> DataFrame:
     """Requests with a map of questions (type, instructions, criteria: array of texts, label: text) -> reason: blank_state,
-    no_questions, unknown_type, blank_instructions, bad_criteria (choice: two or more different ones; score: two or more;
+    no_questions, unknown_type, blank_instructions, bad_criteria (choice: 2 to 255 different ones; score: 2 to 10;
     noul: none or two), bad_label (choice: a criterion, noul: true or false, score: a level; null is no label)."""
     values = F.map_values(questions)
     some = lambda f: F.exists(values, f)
     n = lambda q: F.coalesce(F.size(q["criteria"]), F.lit(0))
-    criteria = lambda q: ((q["type"] == "choice") & ((n(q) < 2) | (F.size(F.array_distinct(q["criteria"])) < n(q)))) | ((q["type"] == "score") & (n(q) < 2)) | ((q["type"] == "noul") & ~n(q).isin(0, 2))
+    criteria = lambda q: ((q["type"] == "choice") & ((n(q) < 2) | (n(q) > 255) | (F.size(F.array_distinct(q["criteria"])) < n(q)))) | ((q["type"] == "score") & ~n(q).between(2, 10)) | ((q["type"] == "noul") & ~n(q).isin(0, 2))
     level = lambda q: q["label"].try_cast("int")
     label = lambda q: q["label"].isNotNull() & (((q["type"] == "choice") & ~F.array_contains(q["criteria"], q["label"])) | ((q["type"] == "noul") & ~q["label"].isin("true", "false")) | ((q["type"] == "score") & (level(q).isNull() | (level(q) < 0) | (level(q) >= n(q)))))
     return records.route(df, [

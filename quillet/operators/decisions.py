@@ -40,6 +40,46 @@ def route_overflow(df: DataFrame, dropped: Column, policy: str) -> DataFrame:
     return df.withColumn("reason", F.when((dropped > 0) & F.lit(policy == "exclude"), "input_overflow"))
 
 
+def option_texts(kind: Column, criteria: Column) -> Column:
+    """(key, text) of each option of a question, criteria being an array of (key, description): choice: the key, or
+    `key: description`; noul: yes and no for true and false, with the descriptions if there are any; score: the
+    descriptions, with their level as key. Null criteria of a noul are none."""
+    empty = F.coalesce(criteria, F.array().cast("array<struct<key:string,description:string>>"))
+    plain = F.transform(empty, lambda c: F.struct(c["key"].alias("key"), F.when(c["description"].isNull(), c["key"]).otherwise(F.concat(c["key"], F.lit(": "), c["description"])).alias("text")))
+    given = lambda key: F.get(F.filter(empty, lambda c: c["key"] == key), 0)["description"]
+    side = lambda key, word: F.struct(F.lit(key).alias("key"), F.concat_ws(": ", F.lit(word), given(key)).alias("text"))
+    levels = F.transform(empty, lambda c, i: F.struct(i.cast("string").alias("key"), c["description"].alias("text")))
+    return F.when(kind == "choice", plain).when(kind == "noul", F.array(side("true", "yes"), side("false", "no"))).when(kind == "score", levels)
+
+
+def encode_requests(df: DataFrame, encode: Callable[[str], list[int]], max_ctx: int = 640, max_opt: int = 120, overflow: str = "error") -> DataFrame:
+    """Questions (state, kind, instructions, criteria) -> the same with ctx, opts, option_keys, ctx_dropped, opt_dropped and
+    reason: the context is `state`, a line break and `Question: instructions`; options are option_texts. Over its budget an
+    input fails (error), is cut (truncate) or gets reason input_overflow (exclude). A question of another kind, or with under
+    two or too many options (255, of a score 10), has null opts and reason invalid_question."""
+    ids = encoder(encode)
+    options = option_texts(F.col("kind"), F.col("criteria"))
+    rows = df.withColumn("_o", options).withColumn("_c", ids(F.concat(F.coalesce("state", F.lit("")), F.lit("\nQuestion: "), F.coalesce("instructions", F.lit("")))))
+    fine = F.col("_o").isNotNull() & (F.size("_o") >= 2) & (F.size("_o") <= F.when(F.col("kind") == "score", 10).otherwise(255)) & ~records.blank(F.col("instructions")) & ~F.exists("_o", lambda o: records.blank(o["text"]))
+    many = _many(encode)
+    rows = rows.withColumn("_o", F.when(F.coalesce(fine, F.lit(False)), F.col("_o"))).withColumn("_t", many(F.transform("_o", lambda o: o["text"])))
+    out = rows.withColumns({
+        "ctx": F.slice("_c", 1, max_ctx), "opts": F.transform("_t", lambda o: F.slice(o, 1, max_opt)), "option_keys": F.transform("_o", lambda o: o["key"]),
+        "ctx_dropped": F.greatest(F.size("_c") - max_ctx, F.lit(0)), "opt_dropped": F.transform("_t", lambda o: F.greatest(F.size(o) - max_opt, F.lit(0))),
+    }).drop("_c", "_o", "_t")
+    dropped = F.col("ctx_dropped") + F.coalesce(F.aggregate("opt_dropped", F.lit(0), lambda a, x: a + x), F.lit(0))
+    routed = route_overflow(out, dropped, overflow)
+    return routed.withColumn("reason", F.when(F.col("opts").isNull(), "invalid_question").otherwise(F.col("reason")))
+
+
+def _many(encode: Callable[[str], list[int]]):
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def ids(s: pd.Series) -> pd.Series:
+        return s.map(lambda texts: None if texts is None else [encode(t) for t in texts])
+
+    return ids
+
+
 def layout(ctx: Column, opts: Column, length: int, markers: bool = False) -> Column:
     """How context and options share `length` places: (ctx_cap, opt_cap, ctx_cut, bounds): bounds are the [start, end) of
     each option after the context, one place more each with markers."""

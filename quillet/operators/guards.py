@@ -151,3 +151,32 @@ def prediction_files(frames: dict[str, DataFrame], group: Column, keys: Column,
     first_violation(stats, F.col("n") != F.col("v"), "repeated identity")
     first_violation(stats, F.col("v") != len(frames), "prediction cohorts differ")
     first_violation(stats, F.col("lo") != F.col("hi"), "conflicting gold")
+
+
+def audit_battery(splits: dict[str, DataFrame], options: int, sizes: dict[str, int] | None = None) -> dict[str, int]:
+    """Rows per split (opts, ctx_dropped, opt_dropped, qid, split_group), failing unless every row has that many options and was not
+    cut, qids are unique, no group is in two splits, and splits named in `sizes` have those sizes. Splits are a handful."""
+    union, counts = None, {}
+    for name, df in splits.items():
+        cut_ = (F.col("ctx_dropped") > 0) | F.exists("opt_dropped", lambda x: x > 0)
+        first_violation(df, (F.size("opts") != options) | cut_ | F.col("opts").isNull(), f"unexpected options or truncation in {name}")
+        part = df.select("qid", "split_group", F.lit(name).alias("role"))
+        union = part if union is None else union.unionByName(part)
+    counts = {r["role"]: r["count"] for r in union.groupBy("role").count().collect()}
+    counts = {name: counts.get(name, 0) for name in splits}
+    first_violation(union.groupBy("qid").count(), F.col("count") > 1, "repeated qid")
+    spans = union.filter("split_group is not null").groupBy("split_group").agg(F.min("role").alias("a"), F.max("role").alias("b"))
+    first_violation(spans, F.col("a") != F.col("b"), "a group is in two splits")
+    for name, n in (sizes or {}).items():
+        if counts.get(name) != n:
+            raise ValueError(f"unexpected size of {name}: {counts.get(name)}")
+    return counts
+
+
+def item_rows(df: DataFrame, qid: str = "qid", options: str = "options", label: str = "label") -> DataFrame:
+    """Choice items with gold, the label's index; fails on a label that is no option (in the query) and on a repeated qid
+    (before it)."""
+    first_violation(df.groupBy(qid).count(), F.col("count") > 1, "repeated qid")
+    at = F.array_position(options, F.col(label)).cast("int") - 1
+    bad = F.raise_error(F.concat(F.lit("label is no option: "), F.col(qid).cast("string"))).cast("int")
+    return df.withColumn("gold", F.when(F.coalesce(at, F.lit(-1)) < 0, bad).otherwise(at))

@@ -236,6 +236,15 @@ REQUEST_SQL = f"""b as (select rec_id, a, 'Passage: ' || passage || chr(10) || '
  dg as (select *, qid || '__evidence_empty_' || substr(sha256(concat_ws(chr(1), 'empty', bare, grp, qid, kind, ask, array_to_string(options, chr(2)))), 1, 16) as new from em)"""
 
 
+@query("v17_encoded_requests", f"""with {REQUEST_SQL}, x as (select qid, kind, 'Passage: ' || passage || chr(10) || 'Question: ' || q || chr(10) || 'Question: ' || ask as c, case kind when 'noul' then ['yes', 'no'] else options end as o from rq)
+ select qid, least(length(c), 640)::int as ctx, greatest(length(c) - 640, 0)::int as dropped, [least(length(t), 120)::int for t in o] as opts, case when length(c) > 640 or len([t for t in o if length(t) > 120]) > 0 then 'input_overflow' end as reason from x""")
+def p17b(spark, d):
+    rows = _requests(spark, d)
+    criteria = F.when(F.col("kind") == "noul", None).otherwise(F.transform("options", lambda o: F.struct(o.alias("key"), F.when(F.col("kind") == "score", o).alias("description"))))
+    out = decisions.encode_requests(rows.withColumn("criteria", criteria), lambda t: [ord(c) + 1 for c in t], overflow="exclude")
+    return out.select("qid", F.size("ctx").alias("ctx"), F.col("ctx_dropped").alias("dropped"), F.transform("opts", lambda o: F.size(o)).alias("opts"), "reason")
+
+
 @query("c06_empty_controls", f"with {REQUEST_SQL} select new as qid, qid as reference_qid, gold as reference_gold, bare as state, 9 as span_end, grp as source_group from dg")
 def c06(spark, d):
     return builders.evidence_controls(_requests(spark, d), "empty").select("qid", "reference_qid", "reference_gold", "state", "span_end", "source_group")

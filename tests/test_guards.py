@@ -83,3 +83,34 @@ def test_pools_readouts_and_losses(spark):
     assert math.isclose(r["d"], sum(p * math.log(p / (x / sum(e))) for p, x in zip((0.2, 0.3, 0.5), e)) / 3 * 4, rel_tol=1e-9)
     with pytest.raises(Exception, match="different single ids"):
         df.select(scores.label_readout(F.array(F.array(F.lit(1)), F.array(F.lit(1))), F.create_map(F.lit(1), F.lit(0.0)))).collect()
+
+
+def test_encoded_requests_and_their_audit(spark):
+    from quillet.operators import decisions
+
+    rows = [
+        ("a", "st", "choice", "ask", [("x", None), ("y", "why")], "g1"), ("b", "st", "noul", "ask", None, "g2"), ("c", "st", "noul", "ask", [("false", "bad"), ("true", "good")], "g2"), ("d", "", "score", "ask", [("0", "low"), ("1", "high")], "g3"),
+        ("e", "st", "choice", "ask", [("x", None)], "g4"), ("f", "st", "odd", "ask", None, "g4"), ("g", "st", "noul", " ", None, "g4"),
+    ]
+    df = spark.createDataFrame(rows, "qid string, state string, kind string, instructions string, criteria array<struct<key:string,description:string>>, split_group string")
+    got = {r["qid"]: r for r in decisions.encode_requests(df, lambda t: list(t.encode()), 640, 8, "truncate").collect()}
+    said = lambda q: [bytes(o).decode() for o in got[q]["opts"]]
+    assert bytes(got["a"]["ctx"]).decode() == "st\nQuestion: ask" and said("a") == ["x", "y: why"] and got["a"]["option_keys"] == ["x", "y"]
+    assert said("b") == ["yes", "no"] and said("c") == ["yes: goo", "no: bad"] and got["c"]["opt_dropped"] == [1, 0] and got["c"]["option_keys"] == ["true", "false"] and said("d") == ["low", "high"] and got["d"]["option_keys"] == ["0", "1"]
+    assert all(got[q]["reason"] == "invalid_question" and got[q]["opts"] is None for q in "efg") and got["a"]["reason"] is None
+    assert {r["qid"] for r in decisions.encode_requests(df, lambda t: list(t.encode()), 640, 8, "exclude").filter("reason = 'input_overflow'").collect()} == {"c"}
+    enc = decisions.encode_requests(df.filter("qid in ('a', 'b', 'd')"), lambda t: list(t.encode()))
+    a, b = enc.filter("qid = 'a'"), enc.filter("qid <> 'a'")
+    assert guards.audit_battery({"train": a, "eval": b}, 2, {"eval": 2}) == {"train": 1, "eval": 2}
+    for splits, options, sizes, match in (({"train": a, "eval": b}, 4, None, "options"), ({"train": a, "eval": a}, 2, None, "qid"), ({"train": a, "eval": b}, 2, {"eval": 3}, "size"), ({"train": a, "eval": b.withColumn("split_group", F.lit("g1"))}, 2, None, "two splits")):
+        with pytest.raises(ValueError, match=match):
+            guards.audit_battery(splits, options, sizes)
+
+
+def test_item_rows(spark):
+    df = spark.createDataFrame([("a", ["x", "y"], "y"), ("b", ["x"], "x")], "qid string, options array<string>, label string")
+    assert {r["qid"]: r["gold"] for r in guards.item_rows(df).collect()} == {"a": 1, "b": 0}
+    with pytest.raises(Exception, match="no option"):
+        guards.item_rows(df.withColumn("label", F.lit("z"))).collect()
+    with pytest.raises(ValueError, match="repeated"):
+        guards.item_rows(df.unionAll(df))
