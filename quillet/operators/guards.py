@@ -30,12 +30,12 @@ def first_violation(df: DataFrame, bad: Column, message: str) -> None:
         raise ValueError(message)
 
 
-def require_training_data(rows: DataFrame, forbidden: str = "gpqa") -> None:
-    """Fails if a row's source is `forbidden` or its task begins with it, or if a row is no choice in encoding systemone-v2."""
+def require_training_data(rows: DataFrame, encoding: str, forbidden: str = "gpqa") -> None:
+    """Fails if a row's source is `forbidden` or its task begins with it, or if a row is no choice in `encoding`."""
     have = set(rows.columns)
     text = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in have else F.lit("")
     first_violation(rows, (text("source") == forbidden) | text("task").startswith(forbidden), f"{forbidden} is forbidden in training and model selection")
-    first_violation(rows, ~(text("kind") == "choice") | ~(text("encoding") == "systemone-v2"), "training needs choice rows in encoding systemone-v2")
+    first_violation(rows, ~(text("kind") == "choice") | ~(text("encoding") == encoding.lower()), f"training needs choice rows in encoding {encoding}")
 
 
 def require_consistent_gold(rows: DataFrame, question: Column, options: Column, gold: Column) -> None:

@@ -8,11 +8,11 @@ from quillet.operators import guards
 
 
 def test_training_data(spark):
-    good = spark.createDataFrame([("choice", "systemone-v2", "arc", None)], "kind string, encoding string, source string, task string")
-    guards.require_training_data(good)
+    good = spark.createDataFrame([("choice", "ids-v2", "arc", None)], "kind string, encoding string, source string, task string")
+    guards.require_training_data(good, "ids-v2")
     for change in ({"source": F.lit("GPQA")}, {"task": F.lit("gpqa_choice")}, {"kind": F.lit("noul")}, {"encoding": F.lit(None).cast("string")}):
         with pytest.raises(ValueError):
-            guards.require_training_data(good.withColumns(change))
+            guards.require_training_data(good.withColumns(change), "ids-v2")
 
 
 def test_consistent_gold(spark):
