@@ -74,6 +74,16 @@ _CLASS[0xE0:0xF0] = 3
 _CLASS[0xF0:0xF5] = 4
 
 
+def _sequence(page: str) -> re.Pattern:
+    """A lead and a continuation byte of UTF-8 in the characters of a page: without any, a text has no span there."""
+    kind = _CLASS[_TABLES[page]]
+    of = lambda k: "".join(re.escape(chr(int(c))) for c in np.nonzero(k)[0])
+    return re.compile(f"[{of(kind >= 2)}][{of(kind == 1)}]")
+
+
+_SEQUENCE = {p: _sequence(p) for p in PAGES}
+
+
 # Letters and marks of that range which legacy pages hold, so that doubly encoded text has them on its way.
 _MODIFIERS = frozenset((0x192, 0x2C6, 0x2C7, *range(0x2D8, 0x2DE), 0x300, 0x301, 0x302, 0x303, 0x308))
 
@@ -285,10 +295,12 @@ def repair(text: str) -> tuple[str, int, bool] | None:
         if (new := _double_byte(now)) is not None:
             now, rounds = new, rounds + 1
             continue
-        points = np.frombuffer(now.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(now.encode("utf-32-le", "surrogatepass"), np.uint32) if any(s.search(now) for s in _SEQUENCE.values()) else np.zeros(0, np.uint32)
         best: list[tuple[int, int, str]] = []
         gain = 0
         for page in PAGES:
+            if not _SEQUENCE[page].search(now):
+                continue
             spans = utf8_spans(points, page)
             seqs = sum(len(t) for *_, t in spans)
             cover = sum(b - a for a, b, _ in spans)
