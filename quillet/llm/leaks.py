@@ -135,8 +135,8 @@ def build_index(rows: list[tuple]) -> Index:
         words = [w for w in _words(t) if w]
         if len(words) < WORDS:
             continue
-        x, _ = letters(["".join(words)])
-        number = np.repeat(np.arange(len(words)), [len(letters([w])[0]) for w in words])
+        x, sizes = letters(words)
+        number = np.repeat(np.arange(len(words)), sizes)
         g = qgrams(x)
         k = len(text)
         if n != last:
@@ -177,31 +177,25 @@ def build_index(rows: list[tuple]) -> Index:
 
 
 def _words(text: str) -> list[str]:
-    out, cur = [], []
-    for ch in text:
-        if unicodedata.category(ch)[0] in "LNM":
-            cur.append(ch)
-        elif cur:
-            out.append("".join(cur))
-            cur = []
-    if cur:
-        out.append("".join(cur))
-    return [w for w in out if any(unicodedata.category(c)[0] in "LN" for c in w)]
+    """Runs of letters, digits and marks that hold a letter or digit."""
+    kind = {c: unicodedata.category(c)[0] for c in set(text)}
+    parts = text.translate({ord(c): " " for c, k in kind.items() if k not in "LNM"}).split()
+    marks = {c for c, k in kind.items() if k == "M"}
+    return [w for w in parts if not marks or any(c not in marks for c in w)]
 
 
 def _surely(word: np.ndarray, useful: np.ndarray) -> int:
     """Useful q-grams that any passage of WORDS words has left after its replaced words took the most they can."""
-    n = int(word[-1]) + 1
-    first = np.searchsorted(word, np.arange(n))
-    last = np.searchsorted(word, np.arange(n), "right")
+    n, m = int(word[-1]) + 1, len(useful)
+    first, last = np.searchsorted(word, np.arange(n)), np.searchsorted(word, np.arange(n), "right")
     have = np.concatenate([[0], np.cumsum(useful)])
-    m = len(useful)
-    least = 1 << 30
-    for a in range(n - WORDS + 1):
-        lo, hi = first[a], max(first[a], last[a + WORDS - 1] - Q + 1)
-        take = sorted((have[min(hi, last[w])] - have[max(lo, min(hi, first[w] - Q + 1))] for w in range(a, a + WORDS)), reverse=True)
-        least = min(least, int(have[min(m, hi)] - have[lo] - sum(take[: WORDS // REPLACED])))
-    return least
+    a = np.arange(n - WORDS + 1)
+    lo = first[a]
+    hi = np.maximum(lo, last[a + WORDS - 1] - Q + 1)
+    w = a[:, None] + np.arange(WORDS)  # the words of each passage
+    begin = np.maximum(lo[:, None], np.minimum(hi[:, None], first[w] - Q + 1))
+    taken = np.sort(have[np.minimum(hi[:, None], last[w])] - have[begin], axis=1)[:, -(WORDS // REPLACED) :].sum(1)
+    return int((have[np.minimum(m, hi)] - have[lo] - taken).min())
 
 
 def align(a: np.ndarray, b: np.ndarray, free: bool = False) -> np.ndarray:
