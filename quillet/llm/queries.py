@@ -42,14 +42,8 @@ _COPIES = f"""q as (select 'build_qa_choice' as tab, item_id as id, {_canonical(
  u as (select tab, id, k1, array_to_string(list_sort(list_distinct(os)), chr(2)) as k2, k3 from q union all select tab, id, k1, k2, k3 from s),
  c as (select tab, id, min(id) over (partition by tab, k1, k2, k3) as first_id, count(*) over (partition by tab, k1, k2, k3) as copies from u)"""
 
-SQL = {
-    "p3_found": f"with {_W} select least(a, b) as item_a, greatest(a, b) as item_b from f",
-    "p3_classes": f"""with {_W}, k as (select item_id, train, md5(array_to_string(list_sort(ws), chr(2))) as k from w where len(ws) > 0), c as (select k, min(item_id) as cid, sum(train::int)::bigint as train, sum((not train)::int)::bigint as held from k group by 1)
- select distinct x.cid as train_cid, y.cid as heldout_cid, x.train as train_items, y.held as heldout_items from f join k a on a.item_id = f.a join k b on b.item_id = f.b join c x on x.k = a.k join c y on y.k = b.k""",
-    "p3_report": f"with {_W} select split, source, count(*)::bigint as items, count(h.b)::bigint as leaked from w left join (select distinct b from f) h on h.b = w.item_id where not train and len(ws) > 0 group by 1, 2",
-    "p4_found": f"with {_COPIES} select tab, first_id, id as copy_id from c where id <> first_id",
-    "p4_collapsed": f"with {_COPIES} select tab, first_id, copies::bigint as copies from c where id = first_id",
-    "p1_found": r"""
+# groups of problem 1: label(tab, rec_id, root)
+_GROUPS = r"""
 with recursive
 sci as (
   select rec_id, coalesce(source, '') || '|' || pid as name, coalesce('0' || coalesce(source, '') || '|' || pid, '1' || lpad(rec_id::varchar, 20, '0')) as node,
@@ -68,9 +62,29 @@ walk(tab, node, seen) as (
   select tab, a, a from edge
   union select w.tab, w.node, e.b from walk w join edge e on e.tab = w.tab and e.a = w.seen),
 root as (select tab, node, min(seen) as root from walk group by all),
-label as (select r.tab, r.rec_id, coalesce(t.root, r.node) as root from rec r left join root t on t.tab = r.tab and t.node = r.node)
+label as (select r.tab, r.rec_id, coalesce(t.root, r.node) as root from rec r left join root t on t.tab = r.tab and t.node = r.node)"""
+
+SQL = {
+    "p3_found": f"with {_W} select least(a, b) as item_a, greatest(a, b) as item_b from f",
+    "p3_classes": f"""with {_W}, k as (select item_id, train, md5(array_to_string(list_sort(ws), chr(2))) as k from w where len(ws) > 0), c as (select k, min(item_id) as cid, sum(train::int)::bigint as train, sum((not train)::int)::bigint as held from k group by 1)
+ select distinct x.cid as train_cid, y.cid as heldout_cid, x.train as train_items, y.held as heldout_items from f join k a on a.item_id = f.a join k b on b.item_id = f.b join c x on x.k = a.k join c y on y.k = b.k""",
+    "p3_report": f"with {_W} select split, source, count(*)::bigint as items, count(h.b)::bigint as leaked from w left join (select distinct b from f) h on h.b = w.item_id where not train and len(ws) > 0 group by 1, 2",
+    "p4_found": f"with {_COPIES} select tab, first_id, id as copy_id from c where id <> first_id",
+    "p4_collapsed": f"with {_COPIES} select tab, first_id, copies::bigint as copies from c where id = first_id",
+    "p1_found": f"""{_GROUPS}
 select tab, rec_id, case when root[1] = '0' then root[2:] end as group_key
 from (select *, count(*) over (partition by tab, root) as n from label) where n >= 2""",
+    "p1_splits": f"""{_GROUPS},
+size as (select tab, root, root[1] || case tab when 'build_sci_decisions' then '0' else '1' end || root[2:] as g, count(*) as n from label group by all), tot as (select tab, sum(n)::double as t from size group by 1),
+big as (select tab, root, n, row_number() over (partition by tab order by n desc, g) as r from size join tot using (tab) where n > 0.005 * t),
+deal(tab, r, a, b, c, root, split) as (
+  select tab, 0::bigint, 0.65::double * t, 0.15::double * t, 0.2::double * t, null::varchar, null::varchar from tot
+  union all select d.tab, x.r, d.a - case when d.a >= d.b and d.a >= d.c then x.n else 0 end, d.b - case when d.b > d.a and d.b > d.c then x.n else 0 end, d.c - case when d.c > d.a and d.c >= d.b then x.n else 0 end, x.root,
+    case when d.a >= d.b and d.a >= d.c then 'train' when d.c >= d.b then 'eval' else 'dev' end from deal d join big x on x.tab = d.tab and x.r = d.r + 1),
+rest as (select tab, greatest(0, arg_max(a, r)) as a, greatest(0, arg_max(b, r)) as b, greatest(0, arg_max(c, r)) as c from deal group by 1),
+spot as (select tab, root, n, ('0x' || substr(sha256('quillet|' || g), 1, 8))::bigint / 4294967296.0::double as s from size)
+select l.tab, l.rec_id, l.root as group_id, p.n::bigint as group_size, coalesce(d.split, case when s < r.a / (r.a + r.b + r.c) then 'train' when s < r.a / (r.a + r.b + r.c) + r.b / (r.a + r.b + r.c) then 'dev' else 'eval' end) as split
+from label l join spot p using (tab, root) join rest r using (tab) left join deal d on d.tab = l.tab and d.root = l.root""",
     "p6_found": """
 select 'build_sci_decisions' as tab, rec_id as item_id from build_sci_decisions where length(passage) > 2400
 union all select 'articles', row_id from articles where length(abstract) > 2400""",

@@ -40,7 +40,7 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: str = "quil
         lack[to] -= row["n"]
     rest = {s: max(0.0, x) for s, x in lack.items()}
     whole = sum(rest.values()) or 1.0
-    spot = F.pmod(F.xxhash64(F.lit(seed), "group_root"), F.lit(1 << 30)) / float(1 << 30)
+    spot = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "group_root"), 256), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
     edge, pick = 0.0, None
     names = list(shares)
     for s in names[:-1]:
