@@ -1,16 +1,21 @@
 """Problem 3: same or near-same records across splits.
 
-Every distinct set of words is one class with a similarity-hash bit fingerprint: CELLS cells of 16 bits, each the hash of
+Every distinct set of words is one class. Classes of train and held-out splits that may be similar meet in the core's prefix
+join: keys of a class's words in order of frequency, as many as the pigeonhole principle demands, then the Hamming radius of
+a bit fingerprint, then the words. It loses no pair of similarity T or more (see operators/similar.py). Pairs of classes
+become pairs of items only where they are listed.
+
+blocked_classes() is the way by blocks of a similarity hash, for texts whose sets are too long for the prefix join. It may
+miss pairs, so no query uses it. A class has a similarity-hash bit fingerprint there: CELLS cells of 16 bits, each the hash of
 the set's least member under one of CELLS random orders, so two fingerprints agree in a cell as often as the sets have
-words in common. The fingerprint is permuted PERMUTATIONS times and cut into blocks of BLOCK cells; classes of train and
-held-out splits that agree in any block of their permuted codes meet. A second code of PARITY bits, of which each word
+words in common. The fingerprint is permuted PERMUTATIONS times and cut into blocks of BLOCK cells; classes that agree in any
+block of their permuted codes meet. A second code of PARITY bits, of which each word
 flips one, lies within a Hamming radius that size and wanted similarity of the sets fix; pairs outside it are dropped in
-the join, which loses nothing, and the rest is verified word by word. Pairs of classes become pairs of items only where
-they are listed.
+the join, which loses nothing, and the rest is verified word by word.
 
 Every class has the same number of blocks, whatever its length. A pair of similarity s meets in a block with probability
 s^BLOCK, so it is found with 1 - (1 - s^BLOCK)^(blocks): 0.993 at s = 0.6, 0.999 at 0.65, above 0.9999 from 0.7 on; equal
-sets always. overlaps(.., exact=True) adds the pairs of the core's exact prefix join, which loses none.
+sets always.
 """
 
 from __future__ import annotations
@@ -65,11 +70,10 @@ def within_radius(t: float) -> Column:
 
 
 def word_classes(items: DataFrame) -> DataFrame:
-    """(id, side, w) -> one row per distinct set of words: k1, k2 (its 128 bits), cid (smallest id), w, c1, c2, train,
-    heldout (numbers of items)."""
+    """(id, side, w) -> one row per distinct set of words: k1, k2 (its 128 bits), cid (smallest id), w, train, heldout
+    (numbers of items)."""
     one = lambda s: F.sum((F.col("side") == s).cast("bigint")).alias(s)
-    groups = items.groupBy(*similar.name(F.col("w"))).agg(F.first("w").alias("w"), F.min("id").alias("cid"), one("train"), one("heldout"))
-    return groups.select("*", *parity_code(F.col("w")))
+    return items.groupBy(*similar.name(F.col("w"))).agg(F.first("w").alias("w"), F.min("id").alias("cid"), one("train"), one("heldout"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +141,7 @@ def _blocks(classes: DataFrame, mask: int, hot: tuple[np.ndarray, np.ndarray] |
                     key = _part(key, (mixed >> np.uint64(33)).astype(np.int64) % n)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c1[row]), pa.array(c2[row])], ["key", "c1", "c2"])
 
-    return classes.select("c1", "c2", "w").mapInArrow(run, "key bigint, c1 bigint, c2 bigint")
+    return classes.select(*parity_code(F.col("w")), "w").mapInArrow(run, "key bigint, c1 bigint, c2 bigint")
 
 
 def _hot_blocks(classes: DataFrame, mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +152,22 @@ def _hot_blocks(classes: DataFrame, mask: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["key"] for r in got], np.int64), np.array([-(-r["n"] // HOT) for r in got], np.int64)
 
 
+def prefix_classes(classes: DataFrame, t: float = T) -> DataFrame:
+    """Classes -> (train_cid, heldout_cid) of all with at least a share t of all their words in common. A class of both
+    sides is paired with itself."""
+    sets = classes.withColumn("code", similar.fingerprint(F.col("w")))
+    found = similar.similar_sets(sets.filter("train > 0"), sets.filter("heldout > 0"), sets, t)
+    return found.select(F.col("a_cid").alias("train_cid"), F.col("b_cid").alias("heldout_cid"))
+
+
 def similar_classes(classes: DataFrame, t: float = T) -> DataFrame:
+    """The pairs of classes that count: all of them, by prefix_classes()."""
+    return prefix_classes(classes, t)
+
+
+def blocked_classes(classes: DataFrame, t: float = T) -> DataFrame:
     """Classes -> (train_cid, heldout_cid) of all that agree in a block and have at least a share t of all their words in
-    common. A class of both sides is paired with itself, without a join; a set of one word is similar to no other."""
+    common; a pair that agrees in none is missed (see the module's head). A class of both sides is paired with itself, without a join; a set of one word is similar to no other."""
     mask = (1 << min(62, 24 + classes.count().bit_length())) - 1
     many = classes.filter("size(w) > 1")
     train, held = many.filter("train > 0"), many.filter("heldout > 0")
@@ -159,8 +176,9 @@ def similar_classes(classes: DataFrame, t: float = T) -> DataFrame:
     y = _blocks(held, mask, hot, spread=True).withColumnsRenamed({"c1": "b1", "c2": "b2"})
     other = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     near = x.join(y.hint("merge"), "key").filter(other & within_radius(t)).select("a1", "a2", "b1", "b2").distinct()
-    left = train.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("cid").alias("train_cid"), F.col("w").alias("w1"))
-    right = held.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("cid").alias("heldout_cid"), F.col("w").alias("w2"))
+    code = parity_code(F.col("w"))
+    left = train.select(code[0].alias("a1"), code[1].alias("a2"), F.col("cid").alias("train_cid"), F.col("w").alias("w1"))
+    right = held.select(code[0].alias("b1"), code[1].alias("b2"), F.col("cid").alias("heldout_cid"), F.col("w").alias("w2"))
     # sets of equal codes: equal or all but equal
     twins = left.join(right, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("train_cid") != F.col("heldout_cid")))
     met = near.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("train_cid", "w1", "heldout_cid", "w2").unionAll(twins.select("train_cid", "w1", "heldout_cid", "w2"))
@@ -175,16 +193,11 @@ def overlaps(items: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFram
     classes (train_cid, heldout_cid), a class that has items of both sides being paired with itself.
 
     Items without words or side have no pairs. Repeated items are members of one class, so copies cost nothing until
-    pairs of items are listed. exact adds what the blocks of the code may miss (see the module's head).
+    pairs of items are listed. exact names the prefix join whatever similar_classes is; both lose no pair.
     """
     classes = cut(word_classes(items))
     items = cut(items.select("id", "side", "split", "source", F.struct(*similar.name(F.col("w"))).alias("k")))
-    pairs = similar_classes(classes)
-    if exact:
-        sets = classes.withColumn("code", similar.fingerprint(F.col("w")))
-        rest = similar.similar_sets(sets.filter("train > 0"), sets.filter("heldout > 0"), sets, T)
-        pairs = pairs.unionAll(rest.select("a_cid", "b_cid")).distinct()
-    pairs = cut(pairs)
+    pairs = cut(prefix_classes(classes) if exact else similar_classes(classes))
     linked = pairs.select(F.explode(F.array("train_cid", "heldout_cid")).alias("cid")).distinct()
     keys = classes.join(linked, "cid").select(F.struct("k1", "k2").alias("k"), "cid", (F.col("train") + F.col("heldout")).alias("n"))
     rows = classes.agg(F.coalesce(F.sum(F.col("train") + F.col("heldout")), F.lit(0))).first()[0]

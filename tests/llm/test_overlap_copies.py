@@ -86,6 +86,25 @@ def test_exact_adds_what_is_missed(spark, monkeypatch):
     assert overlap.overlaps(rows)[1].count() < 60 == overlap.overlaps(rows, exact=True)[1].count()
 
 
+def test_pairs_at_the_threshold_are_all_found(spark):
+    rng = random.Random(1)
+    vocabulary, rows = [f"w{i}" for i in range(50_000)], []
+    for i in range(1500):  # 15 of 25 words in common: similarity 0.6
+        words = rng.sample(vocabulary, 25)
+        rows += [(2 * i, " ".join(words[:20]), "train", "a"), (2 * i + 1, " ".join(words[:15] + words[20:]), "test", "a")]
+    _, pairs = overlap.overlaps(items(spark, rows))
+    assert {tuple(r) for r in pairs.select("train_cid", "heldout_cid").collect()} == {(i, i + 1) for i in range(0, 3000, 2)}
+    assert overlap.blocked_classes(overlap.word_classes(items(spark, rows))).count() < 1500
+
+
+def test_blocks_split_hot_blocks_without_loss(spark, monkeypatch):
+    stem = [f"stem{i}" for i in range(12)]
+    rows = [(i, " ".join(stem + [f"u{i}", f"v{i}"]), "train" if i % 2 else "test", "a") for i in range(120)]
+    monkeypatch.setattr(overlap, "PROBE", 1)
+    monkeypatch.setattr(overlap, "HOT", 7)
+    assert overlap.blocked_classes(overlap.word_classes(items(spark, rows))).count() == 60 * 60
+
+
 def test_a_question_of_39_words_in_one_of_65(spark):
     vocabulary = [f"word{i}" for i in range(65)]
     members, pairs = overlap.overlaps(items(spark, [(1, " ".join(vocabulary), "train", "a"), (2, " ".join(vocabulary[:39]), "test", "a")]))
