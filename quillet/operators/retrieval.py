@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions import text
-from quillet.session import cut
+from quillet.operators import blocks
 
 # Words that a query leaves out.
 STOPWORDS = (
@@ -30,11 +32,22 @@ def chunk(df: DataFrame, id: str, body: str, size: int = 350, overlap: int = 60,
 
 
 def postings(docs: DataFrame, id: str, body: Column) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf, len) and (id, len); terms are lower-case runs of letters and digits. Empty documents have no rows."""
+    """(term, id, tf, len) and (id, len); terms are lower-case runs of letters and digits. Empty documents have no rows.
+    One row of docs per id; it is counted where it lies, without a shuffle."""
     w = docs.select(id, F.regexp_extract_all(F.lower(body), F.lit("([a-z0-9]+)"), F.lit(1)).alias("_w")).filter(F.size("_w") > 0)
-    lengths = w.select(id, F.size("_w").alias("len"))
-    rows = w.select(id, F.size("_w").alias("len"), F.explode("_w").alias("term"))
-    return rows.groupBy("term", id, "len").agg(F.count(F.lit(1)).alias("tf")), lengths
+
+    def count(batches):
+        for b in batches:
+            lists = b.column("_w")
+            words = lists.flatten().dictionary_encode()
+            size = np.diff(lists.offsets.to_numpy())
+            n = len(words.dictionary)
+            key, tf = np.unique(np.repeat(np.arange(len(size)), size) * n + words.indices.to_numpy(), return_counts=True)
+            row = key // n
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key - row * n)), b.column(id).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(tf)], ["term", id, "len", "tf"])
+
+    kind = docs.select(id).schema[0].dataType.simpleString()
+    return w.mapInArrow(count, f"term string, `{id}` {kind}, len int, tf bigint"), w.select(id, F.size("_w").alias("len"))
 
 
 def write_index(docs: DataFrame, id: str, body: Column, path: str, buckets: int = 64) -> None:
@@ -59,89 +72,82 @@ def query_terms(c: Column, most: int = 24) -> Column:
     return F.slice(F.filter(F.array_distinct(found), lambda t: ~t.isin(STOPWORDS)), 1, most)
 
 
-def contributions(asked: DataFrame, post: DataFrame, lengths: DataFrame, id: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(term, id, part, df) for the postings of asked terms (column term): what a term adds to a document's BM25 score, and in how many
-    documents it is. idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not positive."""
-    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"))
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).withColumn("_idf", F.when(raw > 0, raw).otherwise(1e-6)).drop("_n")
-    part = F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
-    return wanted.join(idf, "term").select("term", id, part.alias("part"), "df")
+def _bm25_weight(lengths: DataFrame, k1: float = 1.2, b: float = 0.75):
+    """What a posting adds to a document's BM25 score, and the tokens of all documents. idf = ln((N - n + 0.5) / (n + 0.5)),
+    1e-6 where that is not positive."""
+    n, mean, total = lengths.agg(F.count(F.lit(1)), F.avg("len"), F.coalesce(F.sum("len"), F.lit(0))).first()
+
+    def weigh(tf, doc, extra, df):
+        raw = np.log((n - df + 0.5) / (df + 0.5))
+        idf, length = np.where(raw > 0, raw, 1e-6), np.array(extra, np.float64)
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+
+    return weigh, total
 
 
 def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, top: int = 3) -> DataFrame:
     """The `top` documents per query by BM25: (query_id, id, score, rank), ties by smaller id.
 
-    Exact, without joining every query with all postings of its frequent terms: the top-th largest part of any of its terms
-    bounds a query's top-th score from below. Terms whose largest parts stay below that bound even together can't lift a
-    document into the result alone; candidates come from the postings of the other, rarer terms, those that could not
-    get in with all that is left are dropped, and the rest look up their remaining terms by (term, document), a key that is
-    never hot. post may come from read_index, which reads the buckets of asked terms only.
+    Exact, and no query is joined with postings: queries pass the blocks of the index of asked terms (see blocks). post may
+    come from read_index, which reads the buckets of asked terms only.
     """
-    slack = 1e-5  # scores are rounded to 1e-6
-    asked = queries.select(query_id, F.explode(F.array_distinct(terms)).alias("term"))
-    parts = cut(contributions(asked, post, lengths, id))
-    best = top_ranked(parts.select("term", id, F.col("part").alias("score")), "term", id, top)
-    bounds = best.groupBy("term").agg(F.max("score").alias("most"), F.when(F.count(F.lit(1)) == top, F.min("score")).alias("kth"))
-    mine = Window.partitionBy(query_id)
-    each = asked.join(bounds, "term").withColumn("least", F.coalesce(F.max("kth").over(mine), F.lit(0.0)))
-    each = cut(each.withColumn("needed", F.sum("most").over(mine.orderBy("most", "term")) + slack >= F.col("least")))
-    found = each.filter("needed").join(parts, "term").groupBy(query_id, id).agg(F.sum("part").alias("score"))
-    others = each.filter(~F.col("needed")).groupBy(query_id).agg(F.sum("most").alias("_rest"), F.collect_list("term").alias("_terms"))
-    found = cut(found.join(others, query_id, "left"))
-    kth = top_ranked(found.select(query_id, id, "score"), query_id, id, top).filter(F.col("rank") == top).select(query_id, F.col("score").alias("_kth"))
-    near = found.join(kth, query_id, "left").filter(F.col("_kth").isNull() | (F.col("score") + F.coalesce("_rest", F.lit(0.0)) + slack >= F.col("_kth")))
-    more = near.select(query_id, id, F.explode("_terms").alias("term")).join(parts.select("term", id, "part"), ["term", id]).groupBy(query_id, id).agg(F.sum("part").alias("_more"))
-    total = near.join(more, [query_id, id], "left").select(query_id, id, F.round(F.col("score") + F.coalesce("_more", F.lit(0.0)), 6).alias("score"))
-    return top_ranked(total, query_id, id, top)
-
-
-def top_ranked(scores: DataFrame, query_id: str, id: str, top: int) -> DataFrame:
-    """The `top` rows per query by (score descending, id), with rank; in two levels over a salt."""
-    order = [F.desc("score"), F.asc(id)]
-    first = Window.partitionBy(query_id, "_salt").orderBy(*order)
-    second = Window.partitionBy(query_id).orderBy(*order)
-    a = scores.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(16))).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= top)
-    return a.withColumn("rank", F.row_number().over(second)).filter(F.col("rank") <= top).drop("_salt", "_r")
+    weigh, tokens = _bm25_weight(lengths)
+    asked = queries.select(query_id, F.array_distinct(terms).alias("_t"))
+    index = blocks.Index(post, asked.select(F.explode("_t").alias("term")), id, F.col("len"), tokens)
+    each = blocks.spread(asked.filter(F.size("_t") > 0).select(query_id, _hashes(F.col("_t")).alias("terms")))
+    found = index.over(each, lambda block, columns, i, places, best: block.any_of(places[places >= 0].tolist(), best, top), weigh, "_best")
+    return blocks.ranked(found, query_id, "_best", id)
+
+
+def _hashes(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.xxhash64(t))
 
 
 def two_stage(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, top: int = 3) -> DataFrame:
     """Documents that hold all of a query's four longest terms, by BM25 of those; queries with fewer than `top` are filled
     up with documents that hold both terms of one of the four pairs among the eight longest: (.., score, rank, stage).
 
-    Length order is stable. Each conjunction starts from the postings of its rarest term and looks the others up by (term,
-    document), so frequent terms' postings are never joined with their queries.
+    Length order is stable. Queries pass the blocks of the index of asked terms twice (see blocks); a conjunction starts from
+    the postings of its rarest term and looks the others up, so frequent terms' postings are never joined with queries.
     """
     by = F.transform(F.array_sort(F.transform(terms, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))), lambda s: s["t"])
     q = queries.select(query_id, F.slice(by, 1, 8).alias("_r")).filter(F.size("_r") > 0)
-    parts = cut(contributions(q.select(F.explode("_r").alias("term")), post, lengths, id))
-    df = parts.groupBy("term").agg(F.first("df").alias("df"))
-    one = q.select(query_id, F.slice("_r", 1, 4).alias("_t"), F.lit(0).alias("_g"))
-    pairs = q.filter(F.size("_r") >= 2).select(query_id, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_r") - 1) / 2).cast("int")), lambda i: F.slice("_r", i * 2 + 1, 2))).alias("_g", "_t"))
-
-    def matching(groups: DataFrame) -> DataFrame:
-        each = groups.select(query_id, "_g", F.size("_t").alias("_need"), F.explode("_t").alias("term")).join(df, "term")
-        known = each.groupBy(query_id, "_g", "_need").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("_s")).filter(F.size("_s") == F.col("_need"))
-        start = known.withColumn("term", F.get("_s", 0)["term"]).join(parts.select("term", id), "term")
-        rest = start.select(query_id, "_g", "_need", id, F.explode_outer(F.transform(F.slice("_s", 2, 7), lambda s: s["term"])).alias("term"))
-        alone = rest.filter("term is null").select(query_id, id)
-        held = rest.filter("term is not null").join(parts.select("term", id), ["term", id]).groupBy(query_id, "_g", "_need", id).agg(F.count(F.lit(1)).alias("_have"))
-        return held.filter("_have = _need - 1").select(query_id, id).unionAll(alone).distinct()
-
-    def scored(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-        each = rows.join(wanted, query_id).select(query_id, id, F.explode("_t").alias("term"))
-        sums = each.join(parts.select("term", id, "part"), ["term", id]).groupBy(query_id, id).agg(F.round(F.sum("part"), 6).alias("score"))
-        return top_ranked(sums, query_id, id, top)
-
-    first = cut(scored(matching(one), one.select(query_id, "_t")))
-    full = first.groupBy(query_id).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= top).select(query_id)
-    more = matching(pairs.join(full, query_id, "left_anti")).join(first.select(query_id, id), [query_id, id], "left_anti")
-    more = scored(more, q.select(query_id, F.col("_r").alias("_t")))
-    both = first.select(query_id, id, "score", F.lit("and").alias("stage")).unionByName(more.select(query_id, id, "score", F.lit("pairs").alias("stage")))
-    w = Window.partitionBy(query_id).orderBy("stage", F.desc("score"), F.asc(id))
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    weigh, tokens = _bm25_weight(lengths)
+    index = blocks.Index(post, q.select(F.explode("_r").alias("term")), id, F.col("len"), tokens)
+
+    def both(block, columns, i, places, best):
+        four = places[:4]
+        if (four < 0).any():
+            return best
+        docs = block.all_of(four.tolist())
+        return blocks.merged(best, block.top(docs, block.scores(four.tolist(), docs), top), top) if len(docs) else best
+
+    def pairs(block, columns, i, places, best):
+        first = columns["_first"][i]
+        if len(first) >= top or len(places) < 2:
+            return best
+        here, had = places[places >= 0].tolist(), [x["id"] for x in first]
+        groups = [places[k : k + 2] for k in range(0, len(places), 2)]
+        docs = [block.all_of(g.tolist()) for g in groups if len(g) == 2 and (g >= 0).all()]
+
+        def add(docs, best):
+            docs = docs[~np.isin(block.ids[docs], had)] if had else docs
+            return blocks.merged(best, block.top(docs, block.scores(here, docs), top), top) if len(docs) else best
+
+        best = add(np.unique(np.concatenate(docs)), best) if docs else best
+        if len(groups[-1]) == 1 and (last := int(groups[-1][0])) >= 0:  # all documents of a single term, but for those that can't get in
+            docs = block.docs(last)
+            if len(best) >= top:
+                others = sum(block.most[t] for t in here if t != last)
+                docs = docs[block.w[block.start[last] : block.start[last + 1]] >= best[top - 1][0] - others - blocks.SLACK]
+            best = add(docs, best)
+        return best
+
+    each = blocks.spread(q.select(query_id, _hashes(F.col("_r")).alias("terms")))
+    found = index.over(index.over(each, both, weigh, "_first"), pairs, weigh, "_more")
+    named = lambda c, stage: F.transform(c, lambda s: F.struct(s["score"].alias("score"), s["id"].alias("id"), F.lit(stage).alias("stage")))
+    rows = found.select(query_id, F.posexplode(F.slice(F.concat(named("_first", "and"), named("_more", "pairs")), 1, top)).alias("_p", "_s"))
+    return rows.select(query_id, F.col("_s.id").alias(id), F.col("_s.score").alias("score"), F.col("_s.stage").alias("stage"), (F.col("_p") + 1).alias("rank"))
 
 
 def evidence(hits: DataFrame, docs: DataFrame, query_id: str, id: str, title: str, body: str, per_doc: int = 600, limit: int = 2400) -> DataFrame:

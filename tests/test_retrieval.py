@@ -85,6 +85,41 @@ def test_evidence_for_all_types(spark, tables):
     assert got == want and {asked[r][1] for r in got} == set(TYPES)
 
 
+def moved(spark):
+    """Rows that all shuffles of this session wrote so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    return sum(x.shuffleWriteRecords() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())))
+
+
+@pytest.fixture(scope="module")
+def frequent(spark):
+    """Questions and documents that share a few frequent terms."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(WORDS[:8]) for _ in range(n))
+    docs = [(i, None, say(6), None) for i in range(400)]
+    asked = [(i, say(4)) for i in range(400)]
+    post, lengths = retrieval.postings(spark.createDataFrame([(i, b) for i, _, b, _ in docs], "id bigint, b string"), "id", F.col("b"))
+    questions = spark.createDataFrame(asked, "q bigint, t string").select("q", retrieval.query_terms(F.col("t")).alias("terms"))
+    return docs, asked, questions, post, lengths
+
+
+@pytest.mark.parametrize("size", [10**9, 900])
+def test_frequent_terms_move_no_pairs_of_questions_and_documents(spark, frequent, monkeypatch, size):
+    from quillet.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_TOKENS", size)
+    docs, asked, questions, post, lengths = frequent
+    _, score = scorer(docs)
+    before = moved(spark)
+    got = {(r["q"], r["id"], r["rank"]) for r in retrieval.bm25(questions, post, lengths, "q", "id", "terms").collect()}
+    assert got == {(q, i, k + 1) for q, t in asked for k, i in enumerate(best(score(terms(t))))}
+    assert moved(spark) - before < 20_000  # 400 x 400 pairs, most of which share a term
+
+
 def test_written_index_gives_the_same_hits(spark, tables, tmp_path):
     from pyspark.sql import functions as F
 
