@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions import text
-from quillet.operators import similar
+from quillet.operators import blocks, similar
 from quillet.operators.records import hash_order
-from quillet.session import cut, hot_threshold
+from quillet.session import cut
 
 
 def attach_last(left: DataFrame, right: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -137,33 +138,45 @@ def donor_terms(c: Column, least: int = 4) -> Column:
     return F.filter(text.tokens(c, least), lambda t: ~t.isin(DONOR_STOPWORDS))
 
 
+def _marks(columns: list[str]) -> Column:
+    """A hash of each column, null for null."""
+    return F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in columns]).cast("array<bigint>")
+
+
 def nearest_by_tfidf(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text_col: str, least: int = 4, apart: list[str] | None = None, fallback: bool = False) -> DataFrame:
     """The document with the largest sum of idf x frequency over the distinct terms of each query; ties go to the
     smallest id. idf = ln(1 + N / df).
 
     apart: columns of both tables in which query and document must differ (null differs from nothing). fallback: queries
     without a common term take one of the 64 first documents by hash that is apart, with score 0; else they have no row.
-    The terms of documents are salted where more than a thousandth of the postings are of one term, so none of these meets
-    its queries in one task.
+    No query is joined with the documents of its terms: queries pass blocks of the documents' index (see blocks).
     """
     apart = apart or []
-    theirs = {c: f"_{c}" for c in apart}
     n = docs.count()
-    terms = docs.select(doc_id, *[F.col(c).alias(f"_{c}") for c in apart], F.explode(donor_terms(F.col(text_col), least)).alias("w"))
-    terms = cut(terms.groupBy("w", doc_id, *theirs.values()).agg(F.count(F.lit(1)).alias("tf")))
-    df = terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    limit = hot_threshold(terms.count())  # so at most 1,000 terms are split
-    idf = df.select("w", F.log(1 + F.lit(n) / F.col("df")).alias("idf"), F.ceil(F.col("df") / limit).cast("int").alias("parts"))
-    asked = queries.select(query_id, *apart, F.explode(F.array_distinct(donor_terms(F.col(text_col), least))).alias("w")).join(idf, "w")
-    asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    given = terms.join(F.broadcast(idf.filter("parts > 1").select("w", F.col("parts").alias("_p"))), "w", "left")
-    given = given.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(doc_id), F.col("_p")).cast("int"), F.lit(0))).drop("_p")
-    met = asked.join(given, ["w", "_part"])
-    for c in apart:
-        met = met.filter(F.col(c) != F.col(f"_{c}"))
-    scores = met.groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("idf") * F.col("tf")), 6).alias("score"))
-    best = scores.groupBy(query_id).agg(F.max(F.struct("score", (-F.col(doc_id)).alias("neg"))).alias("b"))
-    found = best.select(query_id, (-F.col("b.neg")).alias(doc_id), F.col("b.score").alias("score"))
+    words = docs.select(F.col(doc_id).alias("_d"), donor_terms(F.col(text_col), least).alias("_w"), _marks(apart).alias("_m")).filter(F.size("_w") > 0)
+    tokens = words.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0]
+    post = words.select(F.col("_d").alias(doc_id), "_m", F.explode("_w").alias("term"), F.lit(1).alias("tf"))
+    asked = queries.select(query_id, F.array_distinct(donor_terms(F.col(text_col), least)).alias("_t"), _marks(apart).alias("marks"))
+    index = blocks.Index(post, asked.select(F.explode("_t").alias("term")), doc_id, F.col("_m"), tokens)
+
+    def weigh(tf, doc, extra, df):
+        return np.log(1 + n / df) * tf
+
+    def nearest(block, columns, i, places, best):
+        def fit(at):  # marks: a hash per column, null for null
+            ok = np.ones(len(at), bool)
+            for k, mark in enumerate(columns["marks"][i]):
+                if mark is None:
+                    return np.zeros(len(at), bool)
+                theirs, known = block.marked(k)
+                ok &= known[at] & (theirs[at] != mark)
+            return ok
+
+        return block.any_of(places[places >= 0].tolist(), best, 1, fit if apart else None)
+
+    each = blocks.spread(asked.filter(F.size("_t") > 0).select(query_id, "marks", F.transform("_t", lambda t: F.xxhash64(t)).alias("terms")), query_id)
+    each = each.groupBy(query_id).agg(F.flatten(F.collect_list("terms")).alias("terms"), F.first("marks").alias("marks"))  # rows of one id are one query
+    found = blocks.ranked(index.over(each, nearest, weigh, "_best"), query_id, "_best", doc_id).drop("rank")
     if not fallback:
         return found
     some = docs.select(F.struct(F.sha2(F.concat_ws("|", F.lit("fallback"), F.col(doc_id).cast("string")), 256).alias("h"), F.col(doc_id).alias("d"), *[F.col(c).alias(c) for c in apart]).alias("s"))

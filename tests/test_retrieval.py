@@ -139,6 +139,27 @@ def test_two_stages_move_no_pairs_of_questions_and_documents(spark, frequent, mo
     assert moved(spark) - before < 20_000
 
 
+@pytest.mark.parametrize("size", [10**9, 900])
+def test_nearest_by_tfidf_moves_no_pairs_of_queries_and_documents(spark, frequent, monkeypatch, size):
+    from quillet.operators import blocks, joins
+
+    monkeypatch.setattr(blocks, "BLOCK_TOKENS", size)
+    docs, asked, *_ = frequent
+    group = lambda i: None if i % 11 == 0 else f"g{i % 5}"
+    tf = {i: Counter(w for w in b.split() if len(w) > 3) for i, _, b, _ in docs}
+    df = Counter(w for c in tf.values() for w in c)
+    want = {}
+    for q, t in asked:
+        mine = {w for w in t.split() if len(w) > 3}
+        scores = {i: round(sum(math.log(1 + len(docs) / df[w]) * c[w] for w in mine), 6) for i, c in tf.items() if mine & set(c) and group(i) and group(q) and group(i) != group(q)}
+        want |= {q: best(scores, 1)[0]} if scores else {}
+    d = spark.createDataFrame([(i, b, group(i)) for i, _, b, _ in docs], "doc bigint, t string, grp string")
+    q = spark.createDataFrame([(i, t, group(i)) for i, t in asked], "q bigint, t string, grp string")
+    before = moved(spark)
+    assert {r["q"]: r["doc"] for r in joins.nearest_by_tfidf(q, d, "q", "doc", "t", apart=["grp"]).collect()} == want
+    assert moved(spark) - before < 20_000
+
+
 def test_written_index_gives_the_same_hits(spark, tables, tmp_path):
     from pyspark.sql import functions as F
 
