@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import text
 from quillet.operators import assemble, decisions, graph, joins, records, retrieval
+from quillet.session import cut
 
 # Wordings of the questions, and the levels of a score from the lowest.
 ASK_CHOICE = "Which answer correctly answers the question according to the supplied passage?"
@@ -403,10 +404,12 @@ def transplants(requests: DataFrame, donor: str, seed: str = "7331") -> DataFram
         d = joins.ring_donors(rows.select(one, "source_group", "_e"), ["_w"], "source_group", "_e", seed).select("source_group", "_e", "donor_group", F.col("donor_content").alias("_by"))
         rows = rows.join(d, ["source_group", "_e"], "left").withColumn("intended", empty)
     elif donor == "near":
-        asked = rows.select("qid", F.concat_ws(" ", text.question_tail(F.col("state")), F.array_join("options", " ")).alias("t"), F.col("source_group").alias("grp"), F.col("_e").alias("evid"))
-        texts = rows.groupBy(F.col("source_group").alias("grp"), F.col("_e").alias("evid")).agg(F.min(F.xxhash64("qid")).alias("did")).withColumn("t", F.col("evid"))
-        near = joins.nearest_by_tfidf(asked, texts, "qid", "did", "t", apart=["grp", "evid"], fallback=True)
-        rows = rows.join(near.select("qid", "did"), "qid", "left").join(texts.select("did", F.col("grp").alias("donor_group"), F.col("evid").alias("_by")), "did", "left").drop("did").withColumn("intended", empty)
+        mark = F.when(F.col("_e").isNotNull(), F.xxhash64("_e"))
+        # both once: the requests behind them are dear
+        asked = cut(rows.select("qid", F.concat_ws(" ", text.question_tail(F.col("state")), F.array_join("options", " ")).alias("t"), F.col("source_group").alias("grp"), mark.alias("evid")))
+        texts = cut(rows.groupBy(F.col("source_group").alias("grp"), F.col("_e").alias("t")).agg(F.min(F.xxhash64("qid")).alias("did")))
+        near = joins.nearest_by_tfidf(asked, texts.withColumn("evid", F.when(F.col("t").isNotNull(), F.xxhash64("t"))), "qid", "did", "t", apart=["grp", "evid"], fallback=True)
+        rows = rows.join(near.select("qid", "did"), "qid", "left").join(texts.select("did", F.col("grp").alias("donor_group"), F.col("t").alias("_by")), "did", "left").drop("did").withColumn("intended", empty)
     elif donor == "provenance":
         by = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.min_by(F.struct("source_group", "_e"), "qid").alias(f"_at_{c}"))
         each = rows.withColumn("_p", F.explode("provenance"))
