@@ -97,6 +97,7 @@ def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str,
     each = blocks.spread(asked.filter(F.size("_t") > 0).select(query_id, _hashes(F.col("_t")).alias("terms")), query_id)
     each = each.groupBy(query_id).agg(F.flatten(F.collect_list("terms")).alias("terms"))  # rows of one id are one query
     found = index.over(each, lambda block, columns, i, places, best: block.any_of(places[places >= 0].tolist(), best, top), weigh, "_best")
+    index.close()
     return blocks.ranked(found, query_id, "_best", id)
 
 
@@ -146,6 +147,7 @@ def two_stage(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id:
 
     each = blocks.spread(q.select(query_id, _hashes(F.col("_r")).alias("terms")), query_id)
     found = index.over(index.over(each, both, weigh, "_first"), pairs, weigh, "_more")
+    index.close()
     named = lambda c, stage: F.transform(c, lambda s: F.struct(s["score"].alias("score"), s["id"].alias("id"), F.lit(stage).alias("stage")))
     rows = found.select(query_id, F.posexplode(F.slice(F.concat(named("_first", "and"), named("_more", "pairs")), 1, top)).alias("_p", "_s"))
     return rows.select(query_id, F.col("_s.id").alias(id), F.col("_s.score").alias("score"), F.col("_s.stage").alias("stage"), (F.col("_p") + 1).alias("rank"))

@@ -47,6 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a frame that cut made, which nothing reads any more. Spark itself deletes them only when the driver
+    happens to collect its garbage, so the frames of a loop would pile up on disk."""
+    jsc = df.sparkSession.sparkContext._jsc
+    files = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if files.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files.get())
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: At most this many keys can hold more than 1/HOT_SHARE of the rows each, so a table of them is safe to broadcast.
 HOT_SHARE = 1000
 

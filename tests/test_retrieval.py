@@ -85,6 +85,40 @@ def test_evidence_for_all_types(spark, tables):
     assert got == want and {asked[r][1] for r in got} == set(TYPES)
 
 
+def cut_while(monkeypatch, spark, run):
+    """What run gives, how many frames it cut and the most of them that lay in the checkpoint folder at once."""
+    from pathlib import Path
+
+    from quillet.operators import blocks
+
+    cut, seen, counts = blocks.cut, set(), []
+
+    def counted(df):
+        out = cut(df)
+        root = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+        seen.update(p for p in root.glob("rdd-*") if p not in old)
+        counts.append(sum(p.exists() for p in seen))
+        return out
+
+    cut(spark.range(1))  # makes the folder
+    old = set(Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")).glob("rdd-*"))
+    monkeypatch.setattr(blocks, "cut", counted)
+    return run(), len(counts), max(counts)
+
+
+def test_evidence_over_many_blocks_keeps_few_states_on_disk(spark, tables, monkeypatch):
+    from quillet.operators import blocks
+
+    d, articles, asked = tables
+    _, score = scorer(articles)
+    part = lambda i: f"Title: {articles[i][1] or ''}\n{(articles[i][2] or '')[:600]}"
+    want = {r: "\n\n".join(map(part, hits))[:2400] for r, _, q in asked if q and (hits := best(score(terms(q))))}
+    monkeypatch.setattr(blocks, "BLOCK_TOKENS", 40)
+    got, made, most = cut_while(monkeypatch, spark, lambda: {r["rec_id"]: r["evidence"] for r in QUERIES["t03_evidence"](spark, d).collect()})
+    assert got == want
+    assert made > 8 and most <= 3  # the blocks, the questions before and after one of them
+
+
 def moved(spark):
     """Rows that all shuffles of this session wrote so far."""
     sc = spark.sparkContext
