@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillet.functions import text
 from quillet.operators import blocks
 
+FEW = 500  # documents of which all terms are looked up at once
+
 # Words that a query leaves out.
 STOPWORDS = (
     "a an the and or of to in is are was were be been for on at by with that this these those which what when where who whom how why not no "
@@ -105,6 +107,39 @@ def _hashes(terms: Column) -> Column:
     return F.transform(terms, lambda t: F.xxhash64(t))
 
 
+def _pairs(block: blocks.Block, places: np.ndarray, best: list, had: list, top: int) -> list:
+    """The best documents that hold both terms of a pair (0 and 1, 2 and 3, ..; a last single term is a pair of its own), by
+    the sum of all terms' weights, together with `best` of other blocks; those in `had` are left out.
+
+    Terms by falling largest weight. What a term's documents give is found with all they hold, so later terms only need
+    pairs without the terms so far; it ends without such a pair, or when what is left stays below the top-th score.
+    """
+    here = [t for t in places.tolist() if t >= 0]
+    pairs = [p for k in range(0, len(places), 2) if min(p := places[k : k + 2].tolist()) >= 0]
+    order = sorted(here, key=lambda t: -block.most[t])
+    left = sum(block.most[t] for t in here)
+    for t in order:
+        theta = best[top - 1][0] - blocks.SLACK if len(best) >= top else 0.0
+        if not pairs or left < theta:
+            break
+        left -= block.most[t]
+        docs = block.docs(t)
+        if theta > left:
+            docs = docs[block.w[block.start[t] : block.start[t + 1]] >= theta - left]
+        others = [[x for x in p if x != t] for p in pairs]
+        if len(docs) > FEW and all(others):  # of many documents, first those of a pair
+            docs = np.unique(np.concatenate([block.all_of(o, docs) for o in others]))
+        if len(docs):
+            held = {x: block.held(x, docs) for x in here}
+            ok = np.logical_or.reduce([np.logical_and.reduce([held[x][0] for x in p]) for p in pairs])
+            if had:
+                ok &= ~np.isin(block.ids[docs], had)
+            if ok.any():
+                best = blocks.merged(best, block.top(docs[ok], sum(held[x][1] for x in here)[ok], top), top)
+        pairs = [p for p in pairs if t not in p]
+    return best
+
+
 def two_stage(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id: str, id: str, terms: str, top: int = 3) -> DataFrame:
     """Documents that hold all of a query's four longest terms, by BM25 of those; queries with fewer than `top` are filled
     up with documents that hold both terms of one of the four pairs among the eight longest: (.., score, rank, stage).
@@ -126,24 +161,7 @@ def two_stage(queries: DataFrame, post: DataFrame, lengths: DataFrame, query_id:
 
     def pairs(block, columns, i, places, best):
         first = columns["_first"][i]
-        if len(first) >= top or len(places) < 2:
-            return best
-        here, had = places[places >= 0].tolist(), [x["id"] for x in first]
-        groups = [places[k : k + 2] for k in range(0, len(places), 2)]
-        docs = [block.all_of(g.tolist()) for g in groups if len(g) == 2 and (g >= 0).all()]
-
-        def add(docs, best):
-            docs = docs[~np.isin(block.ids[docs], had)] if had else docs
-            return blocks.merged(best, block.top(docs, block.scores(here, docs), top), top) if len(docs) else best
-
-        best = add(np.unique(np.concatenate(docs)), best) if docs else best
-        if len(groups[-1]) == 1 and (last := int(groups[-1][0])) >= 0:  # all documents of a single term, but for those that can't get in
-            docs = block.docs(last)
-            if len(best) >= top:
-                others = sum(block.most[t] for t in here if t != last)
-                docs = docs[block.w[block.start[last] : block.start[last + 1]] >= best[top - 1][0] - others - blocks.SLACK]
-            best = add(docs, best)
-        return best
+        return best if len(first) >= top or len(places) < 2 else _pairs(block, places, best, [x["id"] for x in first], top)
 
     each = blocks.spread(q.select(query_id, _hashes(F.col("_r")).alias("terms")), query_id)
     found = index.over(index.over(each, both, weigh, "_first"), pairs, weigh, "_more")

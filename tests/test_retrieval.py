@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillet.operators import retrieval
@@ -211,3 +212,70 @@ def test_stop_words_of_queries(spark):
 
     got = spark.sql("select 'Above all, which enzyme must act only through the same beta-cell very often?' as q").select(retrieval.query_terms(F.col("q"))).first()[0]
     assert got == ["enzyme", "act", "beta-cell", "often"]
+
+
+@pytest.fixture
+def pairs_step(spark, frequent, monkeypatch):
+    """The step of two_stage for pairs of terms: (block, columns, row, places, best) -> best."""
+    from pyspark.sql import functions as F
+
+    from quillet.operators import blocks
+
+    steps = []
+
+    class Taken:
+        def __init__(self, *_):
+            pass
+
+        def over(self, questions, step, weigh, into):
+            steps.append(step)
+            return questions.withColumn(into, F.array().cast("array<struct<score:double,id:bigint>>"))
+
+        def close(self):
+            pass
+
+    monkeypatch.setattr(blocks, "Index", Taken)
+    _, _, questions, post, lengths = frequent
+    retrieval.two_stage(questions, post, lengths, "q", "id", "terms")
+    return steps[1]
+
+
+def block_of(holds, ids):
+    """A block of the documents ids, holds[t] being the places of those that hold term t: each weighs 1 / their number there."""
+    import pickle
+
+    from quillet.operators import blocks
+
+    size = [len(h) for h in holds]
+    doc = np.array([d for h in holds for d in sorted(h)], np.int32)
+    piece = pickle.dumps((np.arange(len(holds)), np.r_[0, np.cumsum(size)], doc, np.ones(len(doc), np.int8), np.array(ids), [1] * len(ids)))
+    return blocks.Block(piece, np.array(size), lambda tf, doc, extra, df: tf / df)
+
+
+def test_pairs_give_the_best_of_all_documents(pairs_step):
+    rng = random.Random(3)
+    for case in range(150):
+        n, terms, best, scores = 60, rng.randrange(2, 9), [], {}
+        had = [{"id": i} for i in range(rng.randrange(3))]
+        absent = rng.randrange(8) if case % 3 == 0 else None
+        for part in range(2):
+            holds = [rng.sample(range(n), rng.randrange(1, [5, 55][rng.random() < 0.6])) for _ in range(terms)]
+            block = block_of(holds, range(part * n, part * n + n))
+            places = [-1 if t == absent else t for t in range(terms)]
+            best = pairs_step(block, {"_first": [had]}, 0, np.array(places), best)
+            for d in range(n):
+                mine = [t >= 0 and d in holds[t] for t in places]
+                if any(all(mine[k : k + 2]) for k in range(0, terms, 2)) and {"id": part * n + d} not in had:
+                    scores[part * n + d] = round(sum(1 / len(holds[t]) for t in places if t >= 0 and d in holds[t]), 6)
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:3]
+        assert [i for _, i in best] == want and all(abs(s - scores[i]) < 1e-5 for s, i in best)
+
+
+def test_pairs_of_frequent_terms_are_not_looked_up_where_they_lose(pairs_step, monkeypatch):
+    from quillet.operators import blocks
+
+    held, looked = blocks.Block.held, []
+    monkeypatch.setattr(blocks.Block, "held", lambda self, t, docs: looked.append(len(docs)) or held(self, t, docs))
+    rare, often = range(2, 8), range(5000)
+    got = pairs_step(block_of([rare, rare, often, often], range(5000)), {"_first": [[]]}, 0, np.arange(4), [])
+    assert [i for _, i in got] == [2, 3, 4] and sum(looked) < 100
